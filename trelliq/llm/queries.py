@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, url_filter
+from . import packing, pieces, sharding, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_texts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 

@@ -83,10 +83,10 @@ def _round(linked: DataFrame, group: list[str], quota: list[int], scratch: Scrat
         F.col("_label").alias("l"),
         F.col("_c").alias("here"),
     )
-    best = counts.groupBy(*group).agg(F.max(vote).alias("_v")).select(*group, F.col("_v.l").alias("_to"), F.col("_v.here").alias("_votes"))
-    wish = linked.join(best, group)
-    mine = counts.withColumnRenamed("_c", "_mine")
-    wish = wish.join(mine, [*group, "_label"])
+    # one row a group, with at most one count a shard: one join, whose hot groups Spark may split
+    best = counts.groupBy(*group).agg(F.max(vote).alias("_v"), F.map_from_entries(F.collect_list(F.struct("_label", "_c"))).alias("_by"))
+    wish = linked.join(best.select(*group, F.col("_v.l").alias("_to"), F.col("_v.here").alias("_votes"), "_by"), group)
+    wish = wish.withColumn("_mine", F.element_at("_by", F.col("_label")))
     wants = (F.col("_to") != F.col("_label")) & (F.col("_votes") >= F.col("_mine"))
     # groups that gain most go first, whole groups together: the bin is a hash of the group below its size class
     size_class = F.least(F.floor(F.log2(F.col("_n").cast("double"))), F.lit(15)).cast("int")
