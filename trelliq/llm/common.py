@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a salted bucket: what one window partition sorts at most, about.
 BUCKET_ROWS = 20_000
@@ -163,3 +164,37 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def as_python_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else os.path.expanduser(path)
+
+
+def map_text(docs: DataFrame, text_col: str, keep: list[str], extra: str, make) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and those of the schema ``extra`` that ``make(text array)`` gives for each Arrow batch.
+
+    ``make`` returns the extra columns as Arrow arrays in order. The text travels back only if it is in ``keep``. A
+    column of ``docs`` with the name of an extra one is not kept: the extra one takes its place.
+    """
+    fields = T._parse_datatype_string(extra).fields
+    names = [f.name for f in fields]
+    keep = [c for c in keep if c not in names]
+    sent = list(dict.fromkeys([*keep, text_col]))
+    at = sent.index(text_col)
+    out = T.StructType([*[docs.schema[c] for c in keep], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(i) for i, c in enumerate(sent) if c in keep]
+            yield pa.RecordBatch.from_arrays([*arrays, *make(batch.column(at))], [*keep, *names])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, out)
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """About ``most`` of ``rows`` rows, by a hash of the key: the same ones at every run."""
+    if rows <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(7919), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / rows))

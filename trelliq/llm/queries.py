@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pieces, sharding, url_filter
-from .common import table
+from . import packing, pieces, quality, sharding, url_filter
+from .common import fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +34,13 @@ def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_fourier_ridge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
