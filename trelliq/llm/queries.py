@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, sharding, url_filter
+from . import langid, packing, pieces, quality, sharding, url_filter
 from .common import fold, table
 
 
@@ -41,6 +41,12 @@ def op7_fourier_ridge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_viterbi_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = langid.label_documents(docs, langid.fit(docs), keep=["doc_id"])
+    return labelled.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
