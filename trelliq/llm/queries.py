@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_vectors, packing, pieces, quality, sharding, url_filter
+from . import langid, near_vectors, neighbours, packing, pieces, quality, sharding, url_filter
 from .common import fold, table
 
 
@@ -55,8 +55,12 @@ def op9_packed_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_matrices(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
