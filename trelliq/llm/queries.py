@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_vectors, neighbours, packing, pieces, quality, sharding, url_filter
+from . import langid, near_vectors, neighbours, packing, pieces, quality, sharding, shingles, url_filter
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_texts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
