@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-_TOKEN = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(<[^<>\s]*>|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\?\w+|\$\w+|[A-Za-z_][\w-]*:[\w.-]*|:[\w.-]+|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|&&|\|\||!=|<=|>=|[{}().;,*+=<>!])""")
+_TOKEN = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(<[^<>\s]*>|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\?\w+|\$\w+|[A-Za-z_][\w-]*:(?:[\w-]+(?:\.[\w-]+)*)?|:(?:[\w-]+(?:\.[\w-]+)*)?|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|&&|\|\||!=|<=|>=|[{}().;,*+=<>!])""")
 _WORDS = {"PREFIX", "SELECT", "DISTINCT", "WHERE", "FILTER", "OPTIONAL", "UNION", "MINUS", "GROUP", "ORDER", "BY", "LIMIT", "OFFSET", "ASC", "DESC", "AS", "COUNT", "SUM", "MIN", "MAX", "AVG", "REGEX", "BOUND", "STR"}
 
 
