@@ -1,13 +1,14 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. Every document starts on a hashed shard; in each round linked documents move
-to the shard that holds most of their neighbours, as far as that shard's quota of rows admits them. At last every
-shard is filled to its quota exactly, with unlinked documents first to give way, so row counts differ by one at most.
+to the shard that holds most of their neighbours, as far as that shard's quota of rows admits them, and are held
+there. At last every shard is filled to its quota exactly, rows that aren't held giving way first, so row counts differ
+by one at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets_for, ranked
@@ -20,7 +21,7 @@ def _quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Puts every row of ``docs`` on a shard; law ``rows``: counts are at most one apart.
 
     Equal texts share a shard where the quotas allow it; a group larger than the room left is split over few shards.
@@ -46,54 +47,72 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col:
 
     group = ["_h", "text_crc32", "size"]
     groups = scratch.keep(base.filter(~F.col("_null")).groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1"), "groups")
-    linked = base.filter(~F.col("_null")).join(groups, group).withColumn("_label", start)
-    linked = scratch.keep(linked.select("doc_id", *group, "_spread", "_n", "_label"), "linked")
+    linked = base.filter(~F.col("_null")).join(groups, group)
+    label, held = _giants(groups, group, quota, start)
+    linked = scratch.keep(linked.select("doc_id", *group, "_spread", "_n", label.alias("_label"), held.alias("_held")), "linked")
     for _ in range(rounds):
-        linked, old, moved = _round(linked, group, quota, scratch), linked, 0
-        moved = linked.filter("_moved").count()
-        scratch.drop(old)
-        linked = _without_flag(linked)
-        if not moved:
+        new = _round(linked, group, quota, scratch)
+        if new is None:
             break
+        scratch.drop(linked)
+        linked = new
     member = groups.select(*group, F.lit(True).alias("_in"))
     lonely = base.join(member, group, "left").filter(F.col("_in").isNull() | F.col("_null"))
-    lonely = lonely.select("doc_id", *group, "_spread", F.lit(0).cast("long").alias("_n"), start.alias("_label"))
-    everyone = linked.select("doc_id", *group, "_spread", "_n", "_label").unionByName(lonely)
+    lonely = lonely.select("doc_id", *group, "_spread", F.lit(0).cast("long").alias("_n"), start.alias("_label"), F.lit(False).alias("_held"))
+    everyone = linked.unionByName(lonely)
     return _fill(everyone, quota, rows, scratch)
 
 
-def _without_flag(df: DataFrame) -> DataFrame:
-    out = df.drop("_moved")
-    out._scratch_path = df._scratch_path
-    return out
+def _giants(groups: DataFrame, group: list[str], quota: list[int], start: Column) -> tuple[Column, Column]:
+    """First shard of a row, and whether it is held there: groups above half a quota are dealt to as few shards as hold them.
 
-
-def _round(linked: DataFrame, group: list[str], quota: list[int], scratch: Scratch) -> DataFrame:
-    """One round of moves. Votes are counts per group and shard, never pairs; admission is by a histogram per target."""
+    There are fewer than two of them a shard, so they are planned one by one; their rows take a share by their own hash.
+    """
+    room = list(quota)
+    label, held = start, F.lit(False)
+    for g in groups.filter(F.col("_n") * 2 > max(quota)).orderBy(F.desc("_n"), *group).collect():
+        left, cuts, seen = g["_n"], [], 0
+        for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+            take = min(left, room[s])
+            if not take:
+                break
+            seen, left, room[s] = seen + take, left - take, room[s] - take
+            cuts.append((s, seen / g["_n"]))
+        lot = F.pmod(F.col("_spread"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        dealt = F.lit(cuts[-1][0] if cuts else 0)
+        for s, upto in reversed(cuts[:-1]):
+            dealt = F.when(lot < upto, s).otherwise(dealt)
+        mine = (F.col("_h") == g["_h"]) & (F.col("text_crc32") == g["text_crc32"]) & (F.col("size") == g["size"])
+        label, held = F.when(mine, dealt).otherwise(label), held | mine
+    return label.cast("int"), held
+
+
+def _round(linked: DataFrame, group: list[str], quota: list[int], scratch: Scratch) -> DataFrame | None:
+    """One round: rows not yet held move to the shard of most neighbours that has room, and are held there.
+
+    Votes are counts per group and shard, never pairs; a shard's room is its quota less the rows that it holds, as the
+    others are still to move; who is admitted is decided by a histogram per target. None if every row is held.
+    """
     shards = len(quota)
-    counts = linked.groupBy(*group, "_label").agg(F.count("*").alias("_c"))
-    load = {r["_label"]: r["_s"] for r in counts.groupBy("_label").agg(F.sum("_c").alias("_s")).collect()}  # a row a shard
-    room = [max(0, quota[s] - load.get(s, 0)) for s in range(shards)]
-    has_room = F.array(*[F.lit(float(x)) for x in room])
-    # most neighbours first; between equals the shard with more room, then a hash so that equal groups spread
-    vote = F.struct(
-        F.when(F.element_at(has_room, F.col("_label") + 1) > 0, F.col("_c")).otherwise(0).alias("c"),
-        F.element_at(has_room, F.col("_label") + 1).alias("r"),
-        F.xxhash64(*group, "_label").alias("h"),
-        F.col("_label").alias("l"),
-        F.col("_c").alias("here"),
-    )
-    # one row a group, with at most one count a shard: one join, whose hot groups Spark may split
-    best = counts.groupBy(*group).agg(F.max(vote).alias("_v"), F.map_from_entries(F.collect_list(F.struct("_label", "_c"))).alias("_by"))
-    wish = linked.join(best.select(*group, F.col("_v.l").alias("_to"), F.col("_v.here").alias("_votes"), "_by"), group)
-    wish = wish.withColumn("_mine", F.element_at("_by", F.col("_label")))
-    wants = (F.col("_to") != F.col("_label")) & (F.col("_votes") >= F.col("_mine"))
-    # groups that gain most go first, whole groups together: the bin is a hash of the group below its size class
+    counts = linked.groupBy(*group, "_label").agg(F.count("*").alias("_c"), F.count_if("_held").alias("_kept"))
+    sums = counts.groupBy("_label").agg(F.sum("_kept").alias("h"), F.sum(F.col("_c") - F.col("_kept")).alias("u")).collect()  # a row a shard
+    held = {r["_label"]: r["h"] for r in sums}
+    if not sum(r["u"] for r in sums):
+        return None
+    room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
+    roomy = [s for s in range(shards) if room[s]] or [0]
+    has_room = F.element_at(F.array(*[F.lit(int(x)) for x in room]), F.col("_label") + 1)
+    # most neighbours first, then most room, then a hash; where no neighbour's shard has room, any that has, by the group's hash
+    vote = F.when(has_room > 0, F.struct(F.col("_c").alias("c"), has_room.alias("r"), F.xxhash64(*group, "_label").alias("h"), F.col("_label").alias("l")))
+    spare = F.element_at(F.array(*map(F.lit, roomy)), F.pmod(F.xxhash64(*group), F.lit(len(roomy))).cast("int") + 1)
+    best = counts.groupBy(*group).agg(F.max(vote).alias("_v"))
+    wish = linked.join(best.select(*group, F.coalesce("_v.l", spare).alias("_to")), group)
+    # larger groups go first, groups together: the bin is a hash of the group below its size class
     size_class = F.least(F.floor(F.log2(F.col("_n").cast("double"))), F.lit(15)).cast("int")
     bin_ = ((15 - size_class) * (ADMIT_BINS // 16) + F.pmod(F.xxhash64(*group), F.lit(ADMIT_BINS // 16))).cast("int")
-    wish = wish.withColumn("_wants", wants).withColumn("_bin", bin_)
+    wish = wish.withColumn("_bin", bin_)
     asked: dict[int, dict[int, int]] = {}
-    for r in wish.filter("_wants").groupBy("_to", "_bin").agg(F.count("*").alias("c")).collect():  # shards x ADMIT_BINS rows at most
+    for r in wish.filter("not _held").groupBy("_to", "_bin").agg(F.count("*").alias("c")).collect():  # shards x ADMIT_BINS rows at most
         asked.setdefault(r["_to"], {})[r["_bin"]] = r["c"]
     whole: list[int] = []
     part: list[float] = []
@@ -108,20 +127,20 @@ def _round(linked: DataFrame, group: list[str], quota: list[int], scratch: Scrat
         part.append(share)
     at = F.col("_to") + 1
     cut_at, share_at = F.element_at(F.array(*map(F.lit, whole)), at), F.element_at(F.array(*map(F.lit, part)), at)
-    # of the bin that fits in part, rows by their own hash; the exact quota is kept by the last step
-    lot = F.pmod(F.col("_spread"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    admitted = F.col("_wants") & ((F.col("_bin") < cut_at) | ((F.col("_bin") == cut_at) & (lot < share_at)))
-    out = wish.select("doc_id", *group, "_spread", "_n", F.when(admitted, F.col("_to")).otherwise(F.col("_label")).alias("_label"), admitted.alias("_moved"))
+    # of the bin that fits in part, whole groups by their hash; the last step keeps the exact quota
+    lot = F.pmod(F.xxhash64(F.lit(3), *group), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    admitted = ~F.col("_held") & ((F.col("_bin") < cut_at) | ((F.col("_bin") == cut_at) & (lot < share_at)))
+    out = wish.select("doc_id", *group, "_spread", "_n", F.when(admitted, F.col("_to")).otherwise(F.col("_label")).alias("_label"), (F.col("_held") | admitted).alias("_held"))
     return scratch.keep(out, "round")
 
 
 def _fill(everyone: DataFrame, quota: list[int], rows: int, scratch: Scratch) -> DataFrame:
-    """Keeps a shard's first rows up to its quota, linked rows first, and deals the rest to the shards with room."""
+    """Keeps a shard's first rows up to its quota, held rows first, and deals the rest to the shards with room."""
     shards = len(quota)
-    tier = F.when(F.col("_n") > 0, F.lit(0)).otherwise(F.lit(1))
+    tier = F.when(F.col("_held"), F.lit(0)).otherwise(F.lit(1))
     placed = everyone.withColumn("_tier", tier)
     order = [F.col(c) for c in ("_h", "text_crc32", "size", "doc_id", "_spread")]
-    # two tiers a shard: the place within the tier, then after the linked rows of the shard
+    # two tiers a shard: the place within the tier, then after the held rows of the shard
     placed = scratch.keep(ranked(placed, ["_label", "_tier"], order, buckets_for(rows // shards), "_place"), "placed")
     tiers = {(r["_label"], r["_tier"]): r["c"] for r in placed.groupBy("_label", "_tier").agg(F.count("*").alias("c")).collect()}  # two rows a shard
     ahead = F.element_at(F.array(*[F.lit(tiers.get((s, 0), 0)) for s in range(shards)]), F.col("_label") + 1)
