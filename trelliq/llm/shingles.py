@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ BAND = 1.25
 CELL = 2000
 FAN_OUT = 16
 #: Rounds in which cells are tried against one member each.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def bands(most: int) -> np.ndarray:
@@ -206,7 +205,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     scratch = Scratch(docs.sparkSession, "shingles")
 
     def features(texts: pa.Array) -> list[pa.Array]:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for a, b, data, offsets in text_slices(texts):
             value, at = shingle_sets(data, offsets, words)
             size = np.diff(at)
@@ -220,12 +219,11 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
             out[1].append(pa.array(h[0].view(np.int64)))
             out[2].append(pa.array(h[1].view(np.int64)))
             out[3].append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key)))
-            out[4].append(pa.array(points(value, at), pa.binary()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return [pa.concat_arrays(x) if x else pa.array([], k) for x, k in zip(out, kinds, strict=True)]
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    known = map_text(named, "_text", ["doc_id"], "n long, h1 long, h2 long, cells array<long>, point binary", features)
+    known = map_text(named, "_text", ["doc_id"], "n long, h1 long, h2 long, cells array<long>", features)
     known = scratch.keep(known, "sets")
     same = ["n", "h1", "h2"]
     reps = scratch.keep(known.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
@@ -233,42 +231,46 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     firsts = known.filter("n > 0").join(reps.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
     listed = firsts.select(F.explode("cells").alias("cell"), F.col("doc_id").alias("rep"))
     full = listed.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("cell")
-    shared = scratch.keep(listed.join(full, "cell").distinct(), "cells")
-    taking = shared.select("rep").distinct()
-    named_points = firsts.select(F.col("doc_id").alias("rep"), "n", "point").dropDuplicates(["rep"])
-    member = scratch.keep(named_points.join(taking, "rep", "left_semi"), "points")
-    # the sets themselves, of those that share a cell with another, from their texts
-    sets = map_text(named.join(taking.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "_text", ["doc_id"], "shingles binary", lambda t: [pa.array([v for _, _, d, o in text_slices(t) for v in _as_bytes(*shingle_sets(d, o, words))], pa.binary())])
-    sets = scratch.keep(sets.select(F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["rep"]), "shingles")
+    shared = scratch.keep(listed.join(full, "cell"), "cells")
+    # points and sets of those that share a cell with another, from their texts
+    taking = shared.select(F.col("rep").alias("doc_id")).distinct()
+
+    def held(texts: pa.Array) -> list[pa.Array]:
+        out: list[list] = [[], [], []]
+        for _, _, data, offsets in text_slices(texts):
+            value, at = shingle_sets(data, offsets, words)
+            out[0].append(np.diff(at))
+            out[1] += points(value, at)
+            out[2] += _as_bytes(value, at)
+        return [pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
+
+    chosen = named.join(taking, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    member = scratch.keep(map_text(chosen, "_text", ["doc_id"], "n long, point binary, shingles binary", held).withColumnRenamed("doc_id", "rep"), "members")
 
     t = float(similarity)
-    links, tested, label = None, None, None
+    links, label = None, None
     for turn in range(ROUNDS + 1):
-        if label is not None:
-            here = shared.join(label, "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
-            open_ = here.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell")
-            here = here.join(open_, "cell")
-        else:
-            here = shared.withColumn("component", F.col("rep"))
+        here = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
         if turn < ROUNDS:
-            # one member of each cell: the same order for all cells at first, so that a document meets few; then each cell its own
-            lot = F.struct(F.xxhash64(F.lit(turn), "rep", *(["cell"] if turn else [])).alias("h"), "rep", "component")
-            centre = here.groupBy("cell").agg(F.min(lot).alias("m")).select("cell", F.col("m.rep").alias("c"), F.col("m.component").alias("cc"))
-            pairs = here.join(centre, "cell").filter(F.col("component") != F.col("cc")).select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
+            # one member of each cell, by an order that all cells share, so that a document meets few others; then it
+            # has met all in its cell and leaves it. Cells with one component are done.
+            lot = F.struct(F.xxhash64("rep").alias("h"), "rep", "component")
+            centre = here.groupBy("cell").agg(F.min(lot).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell", F.col("m.rep").alias("c"), F.col("m.component").alias("cc"))
+            left = scratch.keep(here.join(centre, "cell").filter("rep <> c"), "open")
+            pairs = left.filter("component <> cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
+            scratch.drop(shared)
+            shared = left.select("cell", "rep")
+            shared._scratch_path = left._scratch_path
         else:
-            pairs = _search(scratch.keep(here, "open"), member, t)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = scratch.keep(_verify(pairs, member, sets, similarity), "checked")
+            open_ = here.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell")
+            pairs = _search(scratch.keep(here.join(open_, "cell"), "open"), member, t)
+        checked = scratch.keep(_verify(pairs.distinct(), member, similarity), "checked")
         found = checked.filter("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        some, new = checked.agg(F.count("*"), F.count_if("linked")).first()  # one row
-        if new:
+        if checked.filter("linked").limit(1).count():
             scratch.drop(label)
             label = scratch.keep(components(links, scratch).select(F.col("node").alias("rep"), "component"), "labels")
-        if not some:
+        if turn < ROUNDS and shared.isEmpty():
             break
     if label is None:
         label = reps.select("rep", F.col("rep").alias("component")).limit(0)
@@ -282,8 +284,8 @@ def _as_bytes(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [raw[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
 
 
-def _verify(pairs: DataFrame, member: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """a, b and whether they are linked: first the bound on the points, then the sets of pairs that pass it."""
+def _verify(pairs: DataFrame, member: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b and whether they are linked, for the pairs that pass the bound on the points: only their sets are compared."""
     t = float(similarity)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +316,7 @@ def _verify(pairs: DataFrame, member: DataFrame, sets: DataFrame, similarity: Fr
                 linked[i] = shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
-    held = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))
+    held = lambda x: member.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))
     passed = may.filter("may").join(held("a"), "a").join(held("b"), "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long, linked boolean")
     return passed
 
@@ -325,22 +327,47 @@ def _search(open_: DataFrame, member: DataFrame, t: float) -> DataFrame:
     split = open_.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a member goes to every pair of parts that its own part is in
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cell", "rep", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(member, "rep")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        raw = [np.frombuffer(p, np.uint16) for p in pdf["point"]]
-        g = min(map(len, raw))
-        p, n = np.stack([coarse(r, g) for r in raw]).astype(np.int32), pdf["n"].to_numpy()
-        rep, component, part = (pdf[c].to_numpy() for c in ("rep", "component", "part"))
+    dealt = dealt.select("cell", "rep", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = dealt.join(member.select("rep", "n", "point"), "rep")
+
+    def one(rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray]:
+        points_ = [np.frombuffer(p, np.uint16) for p in raw]
+        g = min(map(len, points_))
+        p = np.stack([coarse(x, g) for x in points_]).astype(np.int32)
         tree = CountTree(p, n)
         a, b = [], []
         for i in range(len(rep)):
             at = tree.search(p[i], int(n[i]), t)
-            at = at[(at > i) & (component[at] != component[i])]
-            if key[1] != key[2]:
+            at = at[(rep[at] > rep[i]) & (component[at] != component[i])]
+            if apart:
                 at = at[part[at] != part[i]]
-            a.append(np.full(len(at), rep[i])), b.append(rep[at])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).astype("int64")
+            a.append(np.full(len(at), rep[i]))
+            b.append(rep[at])
+        return np.concatenate(a), np.concatenate(b)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells one after the other, as rows come sorted; the last of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+
+        def run(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            tab = pa.Table.from_batches(held)
+            cell, i, j, rep, component, part, n = (tab.column(c).to_numpy() for c in ("cell", "i", "j", "rep", "component", "part", "n"))
+            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.concatenate([[0], edge, [len(cell)]])
+            upto = len(cuts) - 1 if last else len(cuts) - 2
+            raw = tab.column("point").slice(0, int(cuts[upto])).to_pylist()
+            out = [one(rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], i[x] != j[x]) for x, y in zip(cuts[:upto].tolist(), cuts[1 : upto + 1].tolist(), strict=True) if y - x > 1]
+            held = tab.slice(int(cuts[upto])).to_batches() if not last else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in (0, 1)], ["a", "b"])
 
-    return dealt.groupBy("cell", "i", "j").applyInPandas(search, "a long, b long")
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                yield from run(False)
+        if held:
+            yield from run(True)
+
+    order = ["cell", "i", "j", "rep"]
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long")
