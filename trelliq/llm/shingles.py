@@ -230,7 +230,12 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     # one row a distinct set: rows that aren't their set's first go before the cells are listed
     firsts = known.filter("n > 0").join(reps.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
     listed = firsts.select(F.explode("cells").alias("cell"), F.col("doc_id").alias("rep"))
-    full = listed.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("cell")
+    # of cells with the same members one is enough: near copies agree in most of their cells. Members are compared by
+    # their number and the sums of both halves of their hashes
+    hash_ = F.xxhash64("rep")
+    halves = [F.sum(F.shiftrightunsigned(hash_, 32)).alias("s1"), F.sum(hash_.bitwiseAND(F.lit((1 << 32) - 1))).alias("s2")]
+    full = listed.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m"), *halves).filter("lo <> hi")
+    full = full.groupBy("m", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
     shared = scratch.keep(listed.join(full, "cell"), "cells")
     # points and sets of those that share a cell with another, from their texts
     taking = shared.select(F.col("rep").alias("doc_id")).distinct()
@@ -252,9 +257,10 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     for turn in range(ROUNDS + 1):
         here = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
         if turn < ROUNDS:
-            # one member of each cell, by an order that all cells share, so that a document meets few others; then it
-            # has met all in its cell and leaves it. Cells with one component are done.
-            lot = F.struct(F.xxhash64("rep").alias("h"), "rep", "component")
+            # one member of each cell meets all others in it and leaves it; cells with one component are done. At first
+            # all cells choose by one order, so that a document meets few others, then each by its own, so that what is
+            # left of a large group meets many of its members at once
+            lot = F.struct(F.xxhash64("rep", *(["cell"] if turn else [])).alias("h"), "rep", "component")
             centre = here.groupBy("cell").agg(F.min(lot).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell", F.col("m.rep").alias("c"), F.col("m.component").alias("cc"))
             left = scratch.keep(here.join(centre, "cell").filter("rep <> c"), "open")
             pairs = left.filter("component <> cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
