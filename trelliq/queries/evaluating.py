@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evaluation as ops
 from ..plans.graphquery import graph_query
-from .base import iri, read, register, star_triples, table
+from .base import read, register, star_triples, table
 from .profiling import values_sql
 from .retrieving import BM25_RANKED, bm25_ranked
 
@@ -212,6 +212,3 @@ def _(spark, d):
     top = bm25_ranked(spark, d).filter("rank <= 8").join(docs, "doc_id", "left")
     checked = F.when(F.col("lang").isNull(), F.raise_error(F.lit("a candidate without record")).cast("string")).otherwise(F.col("lang"))
     return top.select("item_id", "doc_id", checked.alias("lang"), "source", F.col("rank").cast("long"))
-
-
-__all__ = ["REGISTRY", "iri"]

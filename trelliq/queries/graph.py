@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.graphquery import graph_query
-from ..plans.materialize import n_triples
-from .base import NS, STAR_SQL, iri, register, star_triples
+from .base import STAR_SQL, iri, register, star_triples
 
 REGISTRY: dict = {}
 PREFIX = "PREFIX : <urn:tpch:> "
@@ -36,6 +35,3 @@ ask("sparql_path_plus", "SELECT ?a ?b WHERE { ?a :inRegion+ ?b }", f"SELECT {N}
 @register(REGISTRY, "sparql_scan", f"SELECT p, count(*) AS n, count(DISTINCT o) AS objects FROM (SELECT DISTINCT * FROM ({STAR_SQL})) GROUP BY p")
 def _(spark, d):
     return star_triples(spark, d).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("o").alias("objects"))
-
-
-__all__ = ["NS", "REGISTRY", "n_triples"]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Column, TableMeta, star_catalog
 from ..functions import text
 from ..operators import profiling as ops
+from ..operators.patterns import patterns
 from .base import register, table
 
 REGISTRY: dict = {}
@@ -92,7 +93,7 @@ def _(spark, d):
     return ops.value_samples(table(spark, d, "part"), ["p_type"], "p_name")
 
 
-@register(REGISTRY, "prof_table_roles", values_sql([(t, "subtype_table" if t == "labels" else "join_table" if t == "conv_pairs" else "entity_table", False) for t in STAR.tables], "table_name, role, join_like"))
+@register(REGISTRY, "prof_table_roles", values_sql([(t, "subtype_table" if t == "labels" else "entity_table", False) for t in STAR.tables], "table_name, role, join_like"))
 def _(spark, d):
     return spark.createDataFrame([(t.name, t.role, t.join_like) for t in STAR.tables.values()], "table_name string, role string, join_like boolean")
 
@@ -100,12 +101,12 @@ def _(spark, d):
 _KEYED = {"region": ("r_regionkey", ()), "nation": ("n_nationkey", ("n_regionkey",)), "customer": ("c_custkey", ("c_nationkey",)), "orders": ("o_orderkey", ("o_custkey",)), "lineitem": ("", ("l_orderkey", "l_partkey", "l_suppkey")), "labels": ("doc_id", ())}
 
 
-@register(REGISTRY, "prof_column_roles", values_sql([(t, c, "primary_key" if c == pk else "foreign_key" if c in fks else "attribute", c == "r_regionkey" and False) for t, (pk, fks) in _KEYED.items() for c in STAR.tables[t].names], "table_name, column_name, column_role, discriminator"))
+@register(REGISTRY, "prof_column_roles", values_sql([(t, c, "primary_key" if c == pk else "foreign_key" if c in fks else "attribute", False) for t, (pk, fks) in _KEYED.items() for c in STAR.tables[t].names], "table_name, column_name, column_role, discriminator"))
 def _(spark, d):
     return STAR.columns_frame(spark).filter(F.col("table_name").isin(*_KEYED)).select("table_name", "column_name", "column_role", "discriminator")
 
 
-@register(REGISTRY, "prof_schema_graph", "SELECT * FROM (VALUES ('contains_column', 15 + 62 - 14), ('primary_key', 14), ('foreign_key', 9), ('reverse_foreign_key', 9), ('primary_key_as_foreign_key', 1)) t(kind, n)".replace("15 + 62 - 14", str(sum(len(t.names) for t in STAR.tables.values()))))
+@register(REGISTRY, "prof_schema_graph", values_sql([("contains_column", sum(len(t.names) for t in STAR.tables.values())), ("primary_key", 14), ("foreign_key", 9), ("reverse_foreign_key", 9), ("primary_key_as_foreign_key", 1)], "kind, n"))
 def _(spark, d):
     return ops.schema_graph(spark, STAR).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
@@ -139,19 +140,17 @@ def _(spark, d):
     return cells.groupBy(F.lit("labels").alias("table_name"), "column_name").agg(F.count_distinct("v").alias("distinct_values"), F.count_if(text.truthy(F.col("v"))).alias("truthy_rows")).filter("truthy_rows > 0")
 
 
-@register(REGISTRY, "prof_pattern_counts", values_sql([("ENTITY_CLASS", 12), ("SUBTYPE_CLASS", 1), ("DATA_ATTRIBUTE", sum(len(t.names) - len(set(t.primary_key) | t.fk_columns) for t in STAR.tables.values())), ("FOREIGN_KEY_LINK", 8)], "pattern_type, n").replace("12)", "13)"))
-def _(spark, d):
-    from ..operators.patterns import patterns
-
-    return spark.createDataFrame(patterns(STAR), "pattern_type string, tables string, columns string, score double").groupBy("pattern_type").agg(F.count("*").cast("int").alias("n"))
+_ATTRIBUTES = sum(len(t.names) - len(set(t.primary_key) | t.fk_columns) for t in STAR.tables.values())
 
 
-@register(REGISTRY, "prof_pattern_rank", values_sql([("PRIMARY_IDENTITY", "labels", 1), ("x", "x", 2)], "pattern_type, tables, place").replace(", ('x', 'x', 2)", "").replace("PRIMARY_IDENTITY", "SUBTYPE_CLASS"))
+@register(REGISTRY, "prof_pattern_counts", values_sql([("ENTITY_CLASS", 13), ("SUBTYPE_CLASS", 1), ("DATA_ATTRIBUTE", _ATTRIBUTES), ("FOREIGN_KEY_LINK", 8)], "pattern_type, n"))
 def _(spark, d):
-    from pyspark.sql import Window
+    rows = spark.createDataFrame(patterns(STAR), "pattern_type string, tables string, columns string, score double")
+    return rows.groupBy("pattern_type").agg(F.count("*").cast("int").alias("n"))
 
-    from ..operators.patterns import patterns
 
+@register(REGISTRY, "prof_pattern_rank", values_sql([("SUBTYPE_CLASS", "labels", 1)], "pattern_type, tables, place"))
+def _(spark, d):
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(patterns(STAR))], "position int, pattern_type string, tables string, columns string, score double")
     ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "position")).cast("int"))  # a row a pattern of the schema
     return ranked.filter("place = 1").select("pattern_type", "tables", "place")

@@ -52,7 +52,7 @@ def _linked() -> Catalog:
 @register(
     REGISTRY,
     "samp_join_like",
-    f"SELECT l_orderkey, l_partkey FROM lineitem WHERE {keep_sql('bought', chr(10).join(['l_orderkey || ', chr(39) + '|' + chr(39) + ' || l_partkey']), 0.4)} AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE {keep_sql('orders', 'o_orderkey', 0.4)}) AND l_partkey IN (SELECT p_partkey FROM part WHERE {keep_sql('part', 'p_partkey', 0.4)})",
+    f"SELECT l_orderkey, l_partkey FROM lineitem WHERE {keep_sql('bought', "l_orderkey || '|' || l_partkey", 0.4)} AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE {keep_sql('orders', 'o_orderkey', 0.4)}) AND l_partkey IN (SELECT p_partkey FROM part WHERE {keep_sql('part', 'p_partkey', 0.4)})",
 )
 def _(spark, d):
     frames = read(spark, d, "orders", "part") | {"bought": table(spark, d, "lineitem").select("l_orderkey", "l_partkey")}

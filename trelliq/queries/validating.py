@@ -253,16 +253,24 @@ def _(spark, d):
     return ops.overlay(a, b)
 
 
-@register(REGISTRY, "val_pattern_compile", values_sql([("class:0", "nation", NS + "Nation"), ("data:0", "nation", NS + "nationName"), ("object:0", "customer", NS + "inNation")], "rule_id, source_table, target"))
+_COMPILED = [("class:0", "customer", NS + "Customer"), ("class:1", "nation", NS + "Nation"), ("data:0", "nation", NS + "nationName"), ("object:0", "customer", NS + "inNation")]
+
+
+@register(REGISTRY, "val_pattern_compile", values_sql(_COMPILED, "rule_id, source_table, target"))
 def _(spark, d):
     from ..plans.compiler import Match, compile_rules
 
-    chosen = [Match("source-class:nation", NS + "Nation"), Match("source-data:nation.n_name", NS + "nationName", (NS + "Nation",)), Match("source-object:customer.c_nationkey", NS + "inNation", (), (NS + "Nation",)), Match("source-data:ghost.x", NS + "x")]
-    chosen.insert(1, Match("source-class:customer", NS + "Person"))
-    chosen[3] = Match("source-object:customer.c_nationkey", NS + "inNation")
-    rules = compile_rules([*chosen, Match("source-discriminator:customer.c_mktsegment:x", None)], STAR)
-    held = compile_rules([Match("source-class:customer", NS + "Customer"), Match("source-class:nation", NS + "Nation"), Match("source-object:customer.c_nationkey", NS + "inNation")], STAR)
-    return rules_frame(spark, [*rules, *[r for r in held if r.kind == "object"]]).select("rule_id", "source_table", "target")
+    chosen = [
+        Match("source-class:customer", NS + "Customer"),
+        Match("source-class:nation", NS + "Nation"),
+        Match("source-class:orders", NS + "Unrelated"),  # no word in common
+        Match("source-data:nation.n_name", NS + "nationName", (NS + "Nation",)),
+        Match("source-data:nation.n_name", NS + "partName", (NS + "Part",)),  # another domain
+        Match("source-data:customer.c_nationkey", NS + "key"),  # a key is no literal
+        Match("source-data:ghost.x", NS + "x"),
+        Match("source-object:customer.c_nationkey", NS + "inNation", (), (NS + "Nation",)),
+    ]
+    return rules_frame(spark, compile_rules(chosen, STAR)).select("rule_id", "source_table", "target")
 
 
 _ACTIONS = [("replace", "class", 0, "C2"), ("drop", "data", 0, None), ("add", "data", None, "d9"), ("drop", "object", 7, None)]
