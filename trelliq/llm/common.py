@@ -89,13 +89,13 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], buckets: int, name
     return placed.join(before, on).withColumn(name, (F.col("_row") - 1 + F.col("_before")).cast("long")).drop("_salt", "_row", "_s", "_before", *[f"_by{i}" for i in range(len(by))])
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches small enough that a Python worker holds few long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def text_slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of slices of about `most` bytes; a longer text is a slice alone. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

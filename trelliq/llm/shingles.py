@@ -26,6 +26,8 @@ BAND = 1.25
 #: Members of a cell that one task searches at once; larger cells are searched in pairs of parts.
 CELL = 2000
 FAN_OUT = 16
+#: Bytes of text that are shingled at once: a few hundred bytes of memory each.
+SLICE = 1 << 19
 #: Rounds in which cells are tried against one member each.
 ROUNDS = 3
 
@@ -206,7 +208,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
 
     def features(texts: pa.Array) -> list[pa.Array]:
         out: list[list] = [[], [], [], []]
-        for a, b, data, offsets in text_slices(texts):
+        for _, _, data, offsets in text_slices(texts, SLICE):
             value, at = shingle_sets(data, offsets, words)
             size = np.diff(at)
             sums = np.zeros((2, len(value) + 1), np.uint64)
@@ -242,7 +244,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
 
     def held(texts: pa.Array) -> list[pa.Array]:
         out: list[list] = [[], [], []]
-        for _, _, data, offsets in text_slices(texts):
+        for _, _, data, offsets in text_slices(texts, SLICE):
             value, at = shingle_sets(data, offsets, words)
             out[0].append(np.diff(at))
             out[1] += points(value, at)
@@ -305,7 +307,7 @@ def _verify(pairs: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], ["a", "b", "may"])
 
     side = lambda x: member.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    bounded_batches(pairs.sparkSession)
+    bounded_batches(pairs.sparkSession, 256)  # a row holds two sets
     may = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long, may boolean")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,9 +125,9 @@ def _threshold(scores: DataFrame) -> DataFrame:
     below, everything = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = counts.select(
         ((F.col("bin") * (8 / BINS)) - 4).alias("edge"),
-        (F.lit(1.0) - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(everything) + F.coalesce(F.sum("d").over(below), F.lit(0)) / F.sum("d").over(everything)).alias("gain"),
+        (F.try_divide(F.coalesce(F.sum("d").over(below), F.lit(0)), F.sum("d").over(everything)) - F.try_divide(F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("a").over(everything))).alias("gain"),
     )
-    best = edges.agg(F.max(F.struct("gain", -F.abs("edge"), "edge")).alias("m"))
+    best = edges.filter("gain is not null").agg(F.max(F.struct("gain", -F.abs("edge"), "edge")).alias("m"))
     return best.select(F.coalesce(F.col("m.edge"), F.lit(0.0)).alias("_cut"))
 
 
