@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Values of a truthy row filter, trimmed and lower-cased.
+# What a truthy row filter takes (trimmed, lower-cased), abbreviations, and nouns for persons.
 TRUTHY = ("1", "t", "true", "yes", "y")
+SPELT_OUT = {"conf": ("conference",), "pc": ("program", "committee")}
+PERSONS = {"chairman": "chair", "people": "person"}
 
 
 def tokens(text: Column) -> Column:
@@ -21,16 +23,17 @@ def word_set(text: Column) -> Column:
 
     def expand(w: Column) -> Column:
         none = F.array().cast("array<string>")
-        spelt = F.when(w == "conf", F.array(F.lit("conference"))).when(w == "pc", F.array(F.lit("program"), F.lit("committee"))).otherwise(none)
+        spelt = none
+        for short, full in SPELT_OUT.items():
+            spelt = F.when(w == short, F.array(*map(F.lit, full))).otherwise(spelt)
         ies = F.when(w.endswith("ies"), F.array(F.concat(F.substr(w, F.lit(1), F.length(w) - 3), F.lit("y")))).otherwise(none)
         plural = F.when(w.endswith("s") & (F.length(w) > 3), F.array(F.substr(w, F.lit(1), F.length(w) - 1))).otherwise(none)
         return F.concat(F.array(w), spelt, ies, plural)
 
     grown = F.flatten(F.transform(base, expand))
     none = F.array().cast("array<string>")
-    chair = F.when(F.array_contains(grown, "chairman"), F.array(F.lit("chair"))).otherwise(none)
-    person = F.when(F.array_contains(grown, "people"), F.array(F.lit("person"))).otherwise(none)
-    return F.array_distinct(F.concat(grown, chair, person))
+    more = [F.when(F.array_contains(grown, a), F.array(F.lit(b))).otherwise(none) for a, b in PERSONS.items()]
+    return F.array_distinct(F.concat(grown, *more))
 
 
 def lexical_bonus(source: Column, candidate: Column) -> Column:

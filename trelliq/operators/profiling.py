@@ -10,23 +10,24 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, TableMeta
 from ..functions import text
 
-#: Words of table and column names that tell what values are.
+# Words of names that tell what values are, short identifier names, and the shape of an ISBN.
 NAME_WORDS = {
-    "title": {"title", "name", "label", "heading"},
-    "abstract": {"abstract", "summary", "description"},
-    "review": {"review", "comment", "comments", "remark", "note", "text"},
+    "title": {"title", "name", "label"},
+    "abstract": {"abstract", "summary"},
+    "review": {"review", "comment", "text", "description"},
     "isbn": {"isbn"},
+    "date": {"date", "time", "year"},
     "email": {"email", "mail"},
-    "url": {"url", "uri", "link", "website", "homepage"},
-    "date": {"date", "year", "time", "deadline"},
+    "url": {"url", "uri", "link", "homepage", "web"},
 }
+ID_NAMES = {"pid", "rid", "aid", "oid", "cid", "uid"}
 ISBN = r"\b(?:97[89][-\s]?)?\d[-\s]?\d{2,5}[-\s]?\d{2,7}[-\s]?[0-9x]\b"
 
 
 def identifier_likeness(meta: TableMeta, column: str, near_unique: Column) -> Column:
     low = column.lower()
     score = 0.6 * (column in meta.primary_key) + 0.5 * (column in meta.fk_columns)
-    score += 0.4 * (low == "id" or low.endswith("_id") or low in {"pid", "rid", "aid", "oid", "cid", "uid"})
+    score += 0.4 * (low == "id" or low.endswith("_id") or low in ID_NAMES)
     return F.least(F.lit(1.0), F.lit(float(score)) + F.when(near_unique, 0.2).otherwise(0.0))
 
 

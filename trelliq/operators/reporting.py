@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def likely_cause(sql_rows: Column, graph_rows: Column, f1: Column) -> Column:
-    """Why a query pair failed, first reason that holds; null where F1 is 1."""
-    return F.when(f1 >= 1, None).when(sql_rows == 0, "empty_sql_result").when(graph_rows == 0, "empty_graph_result").when(graph_rows < sql_rows, "missing_graph_rows").when(graph_rows > sql_rows, "extra_graph_rows").otherwise("value_mismatch")
+def failure_mode(sql_rows: Column, graph_rows: Column, precision: Column, recall: Column, categories: Column) -> Column:
+    """What went wrong with a query pair, first test that holds; null where nothing did or both sides are empty."""
+    low = F.lower(categories)
+    linked = F.contains(low, F.lit("object")) | F.array_contains(F.split(low, r"[,;\s]+"), "ref")
+    return (
+        F.when(((sql_rows == 0) & (graph_rows == 0)) | ((precision == 1) & (recall == 1)), None).when((graph_rows == 0) & (sql_rows > 0), "zero_sparql_answers").when((sql_rows == 0) & (graph_rows > 0), "overgenerated_sparql_answers")
+        .when((recall < 1) & linked, "missing_or_wrong_link_path").when(recall < 1, "missing_attribute_or_class").when((precision < 1) & (graph_rows > sql_rows), "overgenerated_sparql_answers").otherwise("other")
+    )
+
+
+def likely_cause(sql_rows: Column, graph_rows: Column) -> Column:
+    """A failed pair's likely cause from its numbers of rows."""
+    return (
+        F.when((sql_rows > 0) & (graph_rows == 0), "missing RDF class/property/path").when((graph_rows > 0) & (sql_rows == 0), "false-positive RDF output")
+        .when(sql_rows == graph_rows, "value or literal-normalization mismatch").otherwise("partial coverage or extra rows")
+    )
 
 
 def append_ledger(ledger: DataFrame, run: DataFrame) -> DataFrame:

@@ -69,9 +69,21 @@ def grounded(rules: DataFrame, columns: DataFrame, targets: DataFrame) -> DataFr
     return known.join(tables, "source_table", "left_semi").join(named, ["source_table", "source_column"], "left").filter((F.col("source_column") == "") | F.col("_c")).drop("_c")
 
 
-def strip_role_prefix(uri: Column, known: DataFrame | None = None) -> Column:
-    """A target without the prefix that a role puts before it: ``kind:uri`` becomes ``uri``."""
-    return F.regexp_replace(uri, "^(class|data_property|object_property|target-class|target-data|target-object):", "")
+# Roles that may stand before a target, words of targets that are identifiers.
+ROLE_PREFIXES = ("class", "data_property", "datatype_property", "object_property")
+IDENTIFIER_WORDS = ("id", "identifier", "paperid", "paper_id", "doi", "url", "email", "isbn", "issn", "code")
+
+
+def strip_role_prefix(uri: Column) -> Column:
+    """A target without the role before it, where a URI is left."""
+    return F.regexp_replace(uri, f"^({'|'.join(ROLE_PREFIXES)}):(?=http://|https://|urn:)", "")
+
+
+def identifier_target(target: Column) -> Column:
+    """A target one of whose words, or whose text without ``-`` and ``_``, holds an identifier word."""
+    squeezed = F.regexp_replace(F.lower(target), "[-_]", "")
+    inside = [F.contains(squeezed, F.lit(w.replace("_", ""))) for w in IDENTIFIER_WORDS]
+    return F.arrays_overlap(text.word_set(target), F.array(*map(F.lit, IDENTIFIER_WORDS))) | reduce(lambda a, b: a | b, inside)
 
 
 def side_score(words: Column, listed: Column, empty: int) -> Column:
@@ -89,8 +101,7 @@ def match_issues(matches: DataFrame, columns: DataFrame) -> DataFrame:
     """Kind mismatches, and keys matched to properties that aren't identifiers."""
     parts = matches.withColumn("table_name", F.regexp_extract("source_id", r"^source-data:([^.]+)\.", 1)).withColumn("column_name", F.regexp_extract("source_id", r"^source-data:[^.]+\.(.+)$", 1))
     m = parts.join(columns.select("table_name", "column_name", "is_fk", "column_role"), ["table_name", "column_name"], "left")
-    words = text.word_set(text.local_name(F.col("target")))
-    like = F.arrays_overlap(words, F.array(*map(F.lit, ("id", "identifier", "key", "number", "code"))))
+    like = identifier_target(F.col("target"))
     data = F.col("target_kind") == "data_property"
     fk = F.coalesce("is_fk", F.lit(False))
     generic = fk | (F.lower("column_name") == "id") | ((F.col("column_role") == "primary_key") & F.lower("column_name").endswith("_id"))

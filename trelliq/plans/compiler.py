@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, replace
 
 from ..catalog import Catalog, TableMeta
+from ..functions.text import PERSONS, SPELT_OUT
 from .rules import Rule, RowFilter
 
 
@@ -28,9 +29,9 @@ def word_set(text: str) -> frozenset[str]:
     for w in re.split(r"\W+", spaced.lower()):
         if not w:
             continue
-        out |= {w} | {"conf": {"conference"}, "pc": {"program", "committee"}}.get(w, set())
+        out |= {w, *SPELT_OUT.get(w, ())}
         out |= ({w[:-3] + "y"} if w.endswith("ies") else set()) | ({w[:-1]} if w.endswith("s") and len(w) > 3 else set())
-    return frozenset(out | ({"chair"} if "chairman" in out else set()) | ({"person"} if "people" in out else set()))
+    return frozenset(out | {b for a, b in PERSONS.items() if a in out})
 
 
 def local_name(uri: str) -> str:

@@ -143,13 +143,13 @@ def _(spark, d):
 _ATTRIBUTES = sum(len(t.names) - len(set(t.primary_key) | t.fk_columns) for t in STAR.tables.values())
 
 
-@register(REGISTRY, "prof_pattern_counts", values_sql([("ENTITY_CLASS", 13), ("SUBTYPE_CLASS", 1), ("DATA_ATTRIBUTE", _ATTRIBUTES), ("FOREIGN_KEY_LINK", 8)], "pattern_type, n"))
+@register(REGISTRY, "prof_pattern_counts", values_sql([("SCHEMA_ENTITY", 12), ("ASSOCIATION_ENTITY", 1), ("SUBCLASS_PKFK", 1), ("IDENTIFIER_AS_URI", 12), ("LITERAL_ATTRIBUTE", _ATTRIBUTES), ("FK_OBJECT", 8)], "pattern_type, n"))
 def _(spark, d):
     rows = spark.createDataFrame(patterns(STAR), "pattern_type string, tables string, columns string, score double")
     return rows.groupBy("pattern_type").agg(F.count("*").cast("int").alias("n"))
 
 
-@register(REGISTRY, "prof_pattern_rank", values_sql([("SUBTYPE_CLASS", "labels", 1)], "pattern_type, tables, place"))
+@register(REGISTRY, "prof_pattern_rank", values_sql([("SUBCLASS_PKFK", "labels", 1)], "pattern_type, tables, place"))
 def _(spark, d):
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(patterns(STAR))], "position int, pattern_type string, tables string, columns string, score double")
     ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "position")).cast("int"))  # a row a pattern of the schema

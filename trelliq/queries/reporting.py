@@ -19,11 +19,18 @@ def _(spark, d):
     return ops.compare(s, ours, base).withColumn("delta", F.round("delta", 6))
 
 
-@register(REGISTRY, "rep_failure_modes", "SELECT o_orderpriority AS scenario, CASE WHEN f1 >= 1 THEN NULL WHEN a = 0 THEN 'empty_sql_result' WHEN b = 0 THEN 'empty_graph_result' WHEN b < a THEN 'missing_graph_rows' WHEN b > a THEN 'extra_graph_rows' ELSE 'value_mismatch' END AS category, count(*) AS n FROM (SELECT o_orderpriority, o_orderkey % 4 AS a, o_custkey % 3 AS b, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.5 END AS f1 FROM orders) GROUP BY ALL")
+_PAIRS = "(SELECT o_orderkey % 4 AS a, o_custkey % 3 AS b, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.5 END AS p, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.5 END AS r, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Object' WHEN o_orderpriority = '5-LOW' THEN 'x, ref' ELSE 'attrib' END AS c FROM orders)"
+_MODE = "CASE WHEN (a = 0 AND b = 0) OR (p = 1 AND r = 1) THEN NULL WHEN b = 0 AND a > 0 THEN 'zero_sparql_answers' WHEN a = 0 AND b > 0 THEN 'overgenerated_sparql_answers' WHEN r < 1 AND c IN ('Object', 'x, ref') THEN 'missing_or_wrong_link_path' WHEN r < 1 THEN 'missing_attribute_or_class' WHEN p < 1 AND b > a THEN 'overgenerated_sparql_answers' ELSE 'other' END"
+_CAUSE = "CASE WHEN a > 0 AND b = 0 THEN 'missing RDF class/property/path' WHEN b > 0 AND a = 0 THEN 'false-positive RDF output' WHEN a = b THEN 'value or literal-normalization mismatch' ELSE 'partial coverage or extra rows' END"
+
+
+@register(REGISTRY, "rep_failure_modes", f"SELECT {_MODE} AS category, {_CAUSE} AS cause, count(*) AS n FROM {_PAIRS} GROUP BY ALL")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    f1 = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.5)
-    return o.groupBy(F.col("o_orderpriority").alias("scenario"), ops.likely_cause(F.col("o_orderkey") % 4, F.col("o_custkey") % 3, f1).alias("category")).agg(F.count("*").alias("n"))
+    o, s = table(spark, d, "orders"), F.col("o_orderstatus")
+    a, b = F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    listed = F.when(F.col("o_orderpriority") == "1-URGENT", "Object").when(F.col("o_orderpriority") == "5-LOW", "x, ref").otherwise("attrib")
+    mode = ops.failure_mode(a, b, F.when(s == "F", 1.0).otherwise(0.5), F.when(s == "O", 1.0).otherwise(0.5), listed)
+    return o.groupBy(mode.alias("category"), ops.likely_cause(a, b).alias("cause")).agg(F.count("*").alias("n"))
 
 
 _LEDGER = [("a", 1, 0.8, 45.0, "passed", None, "first"), ("a", 2, 0.88, 35.0, "passed", "empty_graph_result", "second"), ("b", 1, 0.5, 50.0, "blocked", "missing_graph_rows", "x"), ("b", 2, 0.4, 10.0, "blocked", "empty_graph_result", "y"), ("b", 3, 0.4, 10.0, "pending", "empty_graph_result", "z")]
