@@ -25,6 +25,7 @@ from .graph import components
 BAND = 1.25
 #: Members of a cell that one task searches at once; larger cells are searched in pairs of parts.
 CELL = 2000
+CELL_SHINGLES = 4_000_000
 FAN_OUT = 16
 #: Bytes of text that are shingled at once: a few hundred bytes of memory each.
 SLICE = 1 << 19
@@ -254,7 +255,6 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     chosen = named.join(taking, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     member = scratch.keep(map_text(chosen, "_text", ["doc_id"], "n long, point binary, shingles binary", held).withColumnRenamed("doc_id", "rep"), "members")
 
-    t = float(similarity)
     links, label = None, None
     for turn in range(ROUNDS + 1):
         here = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
@@ -266,13 +266,14 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
             centre = here.groupBy("cell").agg(F.min(lot).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell", F.col("m.rep").alias("c"), F.col("m.component").alias("cc"))
             left = scratch.keep(here.join(centre, "cell").filter("rep <> c"), "open")
             pairs = left.filter("component <> cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
+            tried = _verify(pairs.distinct(), member, similarity)
             scratch.drop(shared)
             shared = left.select("cell", "rep")
             shared._scratch_path = left._scratch_path
         else:
             open_ = here.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell")
-            pairs = _search(scratch.keep(here.join(open_, "cell"), "open"), member, t)
-        checked = scratch.keep(_verify(pairs.distinct(), member, similarity), "checked")
+            tried = _search(scratch.keep(here.join(open_, "cell"), "open"), member, similarity)
+        checked = scratch.keep(tried, "checked")
         found = checked.filter("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         if checked.filter("linked").limit(1).count():
@@ -318,10 +319,7 @@ def _verify(pairs: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
                 if None in raw:
                     continue
                 x, y = (np.frombuffer(r, np.uint64) for r in raw)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                linked[i] = shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
+                linked[i] = _linked(x, y, similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     held = lambda x: member.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -329,29 +327,49 @@ def _verify(pairs: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
     return passed
 
 
-def _search(open_: DataFrame, member: DataFrame, t: float) -> DataFrame:
-    """Pairs of different components in the cells of ``open_`` that pass the tree's bound. Cells above CELL members go in pairs of parts."""
-    sizes = open_.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+def _linked(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
+    """Whether two sorted sets are as similar as asked for."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
+
+
+def _search(open_: DataFrame, member: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b, linked: links that join components of the cells of ``open_``, enough of them to span what is linked.
+
+    Cells go to tasks in parts of CELL members and CELL_SHINGLES shingles at most, in pairs of parts. A pair that passes
+    the tree's bound is verified where it is found, and only if the links found before don't join it already, so no more
+    rows come out than members went in.
+    """
+    t = float(similarity)
+    rows = open_.join(member.select("rep", "n"), "rep")
+    sizes = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
     split = open_.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a member goes to every pair of parts that its own part is in
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cell", "rep", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.join(member.select("rep", "n", "point"), "rep")
+    dealt = dealt.join(member, "rep")
 
-    def one(rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    def one(rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
         points_ = [np.frombuffer(p, np.uint16) for p in raw]
+        values = [np.frombuffer(v, np.uint64) for v in sets]
         g = min(map(len, points_))
         p = np.stack([coarse(x, g) for x in points_]).astype(np.int32)
         tree = CountTree(p, n)
-        a, b = [], []
+        _, root = np.unique(component, return_inverse=True)
+        out = []
         for i in range(len(rep)):
             at = tree.search(p[i], int(n[i]), t)
-            at = at[(rep[at] > rep[i]) & (component[at] != component[i])]
+            at = at[rep[at] > rep[i]]
             if apart:
                 at = at[part[at] != part[i]]
-            a.append(np.full(len(at), rep[i]))
-            b.append(rep[at])
-        return np.concatenate(a), np.concatenate(b)
+            while len(at := at[root[at] != root[i]]):
+                k, at = at[0], at[1:]
+                if _linked(values[i], values[k], similarity):
+                    out.append((int(rep[i]), int(rep[k])))
+                    root[root == root[k]] = root[i]
+        return out
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells one after the other, as rows come sorted; the last of a batch may go on in the next."""
@@ -364,11 +382,14 @@ def _search(open_: DataFrame, member: DataFrame, t: float) -> DataFrame:
             edge = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = np.concatenate([[0], edge, [len(cell)]])
             upto = len(cuts) - 1 if last else len(cuts) - 2
-            raw = tab.column("point").slice(0, int(cuts[upto])).to_pylist()
-            out = [one(rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], i[x] != j[x]) for x, y in zip(cuts[:upto].tolist(), cuts[1 : upto + 1].tolist(), strict=True) if y - x > 1]
+            raw, sets = (tab.column(c).slice(0, int(cuts[upto])).to_pylist() for c in ("point", "shingles"))
+            out: list[tuple[int, int]] = []
+            for x, y in zip(cuts[:upto].tolist(), cuts[1 : upto + 1].tolist(), strict=True):
+                if y - x > 1:
+                    out += one(rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], sets[x:y], i[x] != j[x])
             held = tab.slice(int(cuts[upto])).to_batches() if not last else []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([True] * len(out))], ["a", "b", "linked"])
 
         for batch in batches:
             if len(batch):
@@ -378,4 +399,4 @@ def _search(open_: DataFrame, member: DataFrame, t: float) -> DataFrame:
             yield from run(True)
 
     order = ["cell", "i", "j", "rep"]
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long")
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long, linked boolean")
