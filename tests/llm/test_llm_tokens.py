@@ -90,7 +90,8 @@ def test_packing(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[doc][r.start : r.start + r.length], "<u4").tobytes())
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
-    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
+    # pieces of 700 and 2048 tokens leave gaps that nothing fills: the other packer's number is the mark, not the sum
+    assert -(-got.length.sum() // 2048) <= got.sequence_id.nunique() <= packing.best_fit_decreasing(got.length.to_numpy(), 2048)[2]
     assert packing.pack_documents(df.limit(0), BPE).count() == 0
 
 

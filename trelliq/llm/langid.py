@@ -244,7 +244,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
 
     rows = sample.mapInArrow(count, "lang string, two binary, four binary, script binary").collect()  # 4 x languages
     langs = sorted({r["lang"] for r in rows})
-    sums = {n: np.stack([sum(np.frombuffer(bytes(r[n]), np.float32).astype(float) for r in rows if r["lang"] == x) for x in langs]) if langs else np.zeros((0, 1)) for n in ("two", "four", "script")}
+    widths = {"two": 1 << 16, "four": 1 << BITS, "script": SCRIPT_COUNT}
+    sums = {n: np.stack([sum(np.frombuffer(bytes(r[n]), np.float32).astype(float) for r in rows if r["lang"] == x) for x in langs]) if langs else np.zeros((0, w)) for n, w in widths.items()}
 
     def logs(counts: np.ndarray) -> np.ndarray:
         p = np.log((counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * counts.shape[1]))
