@@ -22,11 +22,13 @@ from .common import Scratch, bounded_batches, gather, map_text, mix, run_hashes,
 from .graph import components
 
 #: Sizes of a band differ by this factor at most.
-BAND = 1.25
+BAND = 1.5
 #: Members of a cell that one task searches at once; larger cells are searched in pairs of parts.
 CELL = 2000
 CELL_SHINGLES = 4_000_000
 FAN_OUT = 16
+#: Numbers that are broadcast at most: some 16 MB in an executor.
+BROADCAST_ROWS = 500_000
 #: Bytes of text that are shingled at once: a few hundred bytes of memory each.
 SLICE = 1 << 19
 #: Rounds in which cells are tried against one member each.
@@ -48,7 +50,7 @@ def differing(size_a: int, size_b: int, similarity: Fraction) -> int:
 
 def cell_count(differ: int) -> int:
     """Coarse groups of a band: some more than ``differ``, as a few are empty."""
-    return differ + 2 + -(-differ * 3 // 20)
+    return differ + 2 + -(-differ // 8)
 
 
 def point_groups(size: np.ndarray) -> np.ndarray:
@@ -207,41 +209,44 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     """
     scratch = Scratch(docs.sparkSession, "shingles")
 
-    def features(texts: pa.Array) -> list[pa.Array]:
+    def features(texts: pa.Array, with_cells: bool) -> list[pa.Array]:
         out: list[list] = [[], [], [], []]
         for _, _, data, offsets in text_slices(texts, SLICE):
             value, at = shingle_sets(data, offsets, words)
-            size = np.diff(at)
             sums = np.zeros((2, len(value) + 1), np.uint64)
             with np.errstate(over="ignore"):
                 np.cumsum(mix(value ^ np.uint64(0x51)), out=sums[0, 1:])
                 np.cumsum(mix(value ^ np.uint64(0xA7)), out=sums[1, 1:])
                 h = sums[:, at[1:]] - sums[:, at[:-1]]
-            key, cut = cells(value, at, similarity)
-            out[0].append(pa.array(size.astype(np.int64)))
+            out[0].append(pa.array(np.diff(at).astype(np.int64)))
             out[1].append(pa.array(h[0].view(np.int64)))
             out[2].append(pa.array(h[1].view(np.int64)))
-            out[3].append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return [pa.concat_arrays(x) if x else pa.array([], k) for x, k in zip(out, kinds, strict=True)]
+            if with_cells:
+                key, cut = cells(value, at, similarity)
+                out[3].append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 3 + with_cells]
+        return [pa.concat_arrays(x) if x else pa.array([], k) for x, k in zip(out, kinds, strict=False)]
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    known = map_text(named, "_text", ["doc_id"], "n long, h1 long, h2 long, cells array<long>", features)
-    known = scratch.keep(known, "sets")
     same = ["n", "h1", "h2"]
+    known = map_text(named, "_text", ["doc_id"], "n long, h1 long, h2 long", lambda t: features(t, False))
+    known = scratch.keep(known, "sets")
     reps = scratch.keep(known.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
-    # one row a distinct set: rows that aren't their set's first go before the cells are listed
-    firsts = known.filter("n > 0").join(reps.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    listed = firsts.select(F.explode("cells").alias("cell"), F.col("doc_id").alias("rep"))
+    # cells are made anew from the texts for each of their two uses: that costs less than to keep so many
+    listed = map_text(named, "_text", [], "n long, h1 long, h2 long, cells array<long>", lambda t: features(t, True)).select(*same, F.explode("cells").alias("cell"))
+    # cells of at least two different sets; copies of one set fall together, mostly before the shuffle
+    full = scratch.keep(listed.groupBy("cell").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("cell"), "full")
+    shared = listed.join(_small(full), "cell").select("cell", *same).join(reps, same).select("cell", "rep").distinct()
+    shared = scratch.keep(shared, "cells")
     # of cells with the same members one is enough: near copies agree in most of their cells. Members are compared by
     # their number and the sums of both halves of their hashes
     hash_ = F.xxhash64("rep")
     halves = [F.sum(F.shiftrightunsigned(hash_, 32)).alias("s1"), F.sum(hash_.bitwiseAND(F.lit((1 << 32) - 1))).alias("s2")]
-    full = listed.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("m"), *halves).filter("lo <> hi")
-    full = full.groupBy("m", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
-    shared = scratch.keep(listed.join(full, "cell"), "cells")
+    chosen = shared.groupBy("cell").agg(F.count("*").alias("m"), *halves).groupBy("m", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
+    all_cells, shared = shared, scratch.keep(shared.join(chosen, "cell"), "cells")
+    scratch.drop(all_cells)
     # points and sets of those that share a cell with another, from their texts
-    taking = shared.select(F.col("rep").alias("doc_id")).distinct()
+    taking = scratch.keep(shared.select(F.col("rep").alias("doc_id")).distinct(), "taking")
 
     def held(texts: pa.Array) -> list[pa.Array]:
         out: list[list] = [[], [], []]
@@ -252,8 +257,10 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
             out[2] += _as_bytes(value, at)
         return [pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
 
-    chosen = named.join(taking, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    member = scratch.keep(map_text(chosen, "_text", ["doc_id"], "n long, point binary, shingles binary", held).withColumnRenamed("doc_id", "rep"), "members")
+    needed = named.join(_small(taking), "doc_id", "left_semi")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows: one of each id
+        needed = needed.dropDuplicates(["doc_id"])
+    member = scratch.keep(map_text(needed, "_text", ["doc_id"], "n long, point binary, shingles binary", held).withColumnRenamed("doc_id", "rep"), "members")
 
     links, label = None, None
     for turn in range(ROUNDS + 1):
@@ -288,6 +295,11 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     return known.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of single numbers, marked for a broadcast if it has BROADCAST_ROWS at most; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _as_bytes(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     raw = value.tobytes()
     return [raw[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
