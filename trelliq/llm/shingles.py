@@ -283,7 +283,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
             shared._scratch_path = left._scratch_path
         else:
             open_ = here.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell")
-            tried = _search(scratch.keep(here.join(open_, "cell"), "open"), member, similarity)
+            tried = _search(scratch.keep(here.join(open_, "cell"), "open"), member, similarity, scratch)
         checked = scratch.keep(tried, "checked")
         found = checked.filter("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
@@ -351,14 +351,24 @@ def _linked(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
     return shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
 
 
-def _search(open_: DataFrame, member: DataFrame, similarity: Fraction) -> DataFrame:
+def _search(open_: DataFrame, member: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
     """a, b, linked: links that join components of the cells of ``open_``, enough of them to span what is linked.
 
-    Cells go to tasks in parts of CELL members and CELL_SHINGLES shingles at most, in pairs of parts. A pair that passes
-    the tree's bound is verified where it is found, and only if the links found before don't join it already, so no more
-    rows come out than members went in.
+    Twice the same search: first on points alone, which leaves the members of a cell that may be linked with another,
+    then, for those, with their sets. A pair that passes the tree's bound is verified where it is found, and only if
+    the links found before don't join it already. So no more rows come out than members went in.
     """
-    t = float(similarity)
+    may = _trees(open_, member.select("rep", "n", "point", F.lit(None).cast("binary").alias("shingles")), similarity, "cell long, rep long")
+    left = scratch.keep(open_.join(may.distinct(), ["cell", "rep"], "left_semi"), "may")
+    return _trees(left, member, similarity, "a long, b long, linked boolean")
+
+
+def _trees(open_: DataFrame, member: DataFrame, similarity: Fraction, schema: str) -> DataFrame:
+    """A tree for each cell: rows (cell, rep) with a possible partner, or the verified links, as ``schema`` says.
+
+    Cells go to tasks in parts of CELL members and CELL_SHINGLES shingles at most, in pairs of parts.
+    """
+    t, verify = float(similarity), "linked" in schema
     rows = open_.join(member.select("rep", "n"), "rep")
     sizes = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
     split = open_.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -367,25 +377,28 @@ def _search(open_: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
     dealt = dealt.select("cell", "rep", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     dealt = dealt.join(member, "rep")
 
-    def one(rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
+    def one(cell: int, rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
         points_ = [np.frombuffer(p, np.uint16) for p in raw]
-        values = [np.frombuffer(v, np.uint64) for v in sets]
         g = min(map(len, points_))
         p = np.stack([coarse(x, g) for x in points_]).astype(np.int32)
         tree = CountTree(p, n)
         _, root = np.unique(component, return_inverse=True)
-        out = []
+        out, seen = [], np.zeros(len(rep), bool)
         for i in range(len(rep)):
             at = tree.search(p[i], int(n[i]), t)
-            at = at[rep[at] > rep[i]]
+            at = at[(rep[at] > rep[i]) & (root[at] != root[i])]
             if apart:
                 at = at[part[at] != part[i]]
+            if not verify:
+                seen[at] = True
+                seen[i] |= len(at) > 0
+                continue
             while len(at := at[root[at] != root[i]]):
                 k, at = at[0], at[1:]
-                if _linked(values[i], values[k], similarity):
+                if _linked(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64), similarity):
                     out.append((int(rep[i]), int(rep[k])))
                     root[root == root[k]] = root[i]
-        return out
+        return out if verify else [(cell, int(r)) for r in rep[seen]]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells one after the other, as rows come sorted; the last of a batch may go on in the next."""
@@ -402,10 +415,11 @@ def _search(open_: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
             out: list[tuple[int, int]] = []
             for x, y in zip(cuts[:upto].tolist(), cuts[1 : upto + 1].tolist(), strict=True):
                 if y - x > 1:
-                    out += one(rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], sets[x:y], i[x] != j[x])
+                    out += one(int(cell[x]), rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], sets[x:y], i[x] != j[x])
             held = tab.slice(int(cuts[upto])).to_batches() if not last else []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([True] * len(out))], ["a", "b", "linked"])
+                columns = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(out))], ["a", "b", "linked"]) if verify else pa.RecordBatch.from_arrays(columns, ["cell", "rep"])
 
         for batch in batches:
             if len(batch):
@@ -415,4 +429,4 @@ def _search(open_: DataFrame, member: DataFrame, similarity: Fraction) -> DataFr
             yield from run(True)
 
     order = ["cell", "i", "j", "rep"]
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long, linked boolean")
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, schema)
