@@ -114,6 +114,22 @@ def test_shards(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("singly", [64, 2])
+def test_shards_hold_every_group_whole(spark, monkeypatch, singly):
+    monkeypatch.setattr(sharding, "SINGLY", singly, raising=False)
+    rng = random.Random(6)
+    texts, k = ["hot"] * 2000, 0
+    while len(texts) < 4400:
+        texts += [f"group {k}"] * min(150, int(2 * rng.paretovariate(0.9)))
+        k += 1
+    texts += [f"alone {i}" for i in range(6000 - len(texts))]
+    p = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).toPandas()
+    counts = p.groupby("shard").size()
+    assert len(p) == 6000 and counts.max() - counts.min() <= 1
+    spread = p.assign(text=[texts[i] for i in p.doc_id]).groupby("text").shard.nunique()
+    assert spread["hot"] <= 6 and (spread.drop("hot") == 1).all()
+
+
 def test_urls(spark):
     cases = [
         ("http://x.com/a", "x.com", "/a", "com/", "allow"), ("https://EXAMPLE.com/en/x?q#f", "example.com", "/en/x", "example.com/en/", "block"), ("http://m.example.com/en/", "m.example.com", "/en/", "example.com/en/", "block"),

@@ -2,19 +2,24 @@
 
 Documents with equal texts are linked. Every document starts on a hashed shard; in each round linked documents move
 to the shard that holds most of their neighbours, as far as that shard's quota of rows admits them, and are held
-there. At last every shard is filled to its quota exactly, rows that aren't held giving way first, so row counts differ
-by one at most.
+there. Rounds go on until every linked document is held. At last every shard is filled to its quota exactly with the
+rows that have no link.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets_for, ranked
 
-#: Fineness of the admission order of one target shard in one round.
-ADMIT_BINS = 512
+#: Groups above this part of a quota, and the last that wait, are placed one by one: so many a shard at most.
+SINGLY = 64
+#: Size classes of groups (powers of two, larger ones first) and lots within a class that a shard admits or refuses as one.
+CLASSES, LOTS = 16, 32
+GROUP = ["_h", "text_crc32", "size"]
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -25,6 +30,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     """Puts every row of ``docs`` on a shard; law ``rows``: counts are at most one apart.
 
     Equal texts share a shard where the quotas allow it; a group larger than the room left is split over few shards.
+    Neighbours have a say in the first ``rounds`` rounds, room alone in those after.
     A null text has no bytes (size 1, checksum 0) and no link; empty texts are equal texts. Repeated rows are rows of
     their own, each with a slot. An empty table gives an empty result. Other columns are neither read nor returned.
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
@@ -45,93 +51,102 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     quota = _quotas(rows, shards)
     start = F.pmod(F.col("_spread"), F.lit(shards)).cast("int")
 
-    group = ["_h", "text_crc32", "size"]
-    groups = scratch.keep(base.filter(~F.col("_null")).groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1"), "groups")
-    linked = base.filter(~F.col("_null")).join(groups, group)
-    label, held = _giants(groups, group, quota, start)
-    linked = scratch.keep(linked.select("doc_id", *group, "_spread", "_n", label.alias("_label"), held.alias("_held")), "linked")
-    for _ in range(rounds):
-        new = _round(linked, group, quota, scratch)
-        if new is None:
-            break
-        scratch.drop(linked)
-        linked = new
-    member = groups.select(*group, F.lit(True).alias("_in"))
-    lonely = base.join(member, group, "left").filter(F.col("_in").isNull() | F.col("_null"))
-    lonely = lonely.select("doc_id", *group, "_spread", F.lit(0).cast("long").alias("_n"), start.alias("_label"), F.lit(False).alias("_held"))
-    everyone = linked.unionByName(lonely)
-    return _fill(everyone, quota, rows, scratch)
-
-
-def _giants(groups: DataFrame, group: list[str], quota: list[int], start: Column) -> tuple[Column, Column]:
-    """First shard of a row, and whether it is held there: groups above half a quota are dealt to as few shards as hold them.
-
-    There are fewer than two of them a shard, so they are planned one by one; their rows take a share by their own hash.
-    """
+    # a group is held as a whole, so rounds see groups and their rows' first shards, never rows
+    counts = base.filter(~F.col("_null")).groupBy(*GROUP, start.alias("_s")).agg(F.count("*").alias("_c"))
+    groups = counts.groupBy(*GROUP).agg(F.sum("_c").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_s", "_c"))).alias("_votes"))
+    groups = scratch.keep(groups.filter("_n > 1"), "groups")
     room = list(quota)
-    label, held = start, F.lit(False)
-    for g in groups.filter(F.col("_n") * 2 > max(quota)).orderBy(F.desc("_n"), *group).collect():
-        left, cuts, seen = g["_n"], [], 0
+    large = F.col("_n") * SINGLY > max(quota)
+    pieces = _singly(groups.filter(large).collect(), room)  # fewer than SINGLY a shard
+    held, waiting = _rounds(groups.filter(~large), room, rounds, scratch)
+    pieces += _singly(waiting.collect(), room)  # SINGLY a shard at most
+    return _fill(_labelled(base, start, pieces, held, scratch), quota, rows, scratch)
+
+
+def _singly(groups: Iterable[Row], room: list[int]) -> list[tuple]:
+    """(group's key, shard, first row, row after the last) of each piece; largest groups first; takes the rows off ``room``.
+
+    A group goes to the shard of most neighbours among those that hold it whole; where none does, to as few as hold it.
+    """
+    out = []
+    for g in sorted(groups, key=lambda g: (-g["_n"], *(g[c] for c in GROUP))):
+        key, n = [g[c] for c in GROUP], g["_n"]
+        whole = [s for s in range(len(room)) if room[s] >= n]
+        if whole:
+            to = max(whole, key=lambda s: (g["_votes"].get(s, 0), room[s], -s))
+            room[to] -= n
+            out.append((*key, to, 0, n))
+            continue
+        seen = 0
         for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
-            take = min(left, room[s])
+            take = min(n - seen, room[s])
             if not take:
                 break
-            seen, left, room[s] = seen + take, left - take, room[s] - take
-            cuts.append((s, seen / g["_n"]))
-        lot = F.pmod(F.col("_spread"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        dealt = F.lit(cuts[-1][0] if cuts else 0)
-        for s, upto in reversed(cuts[:-1]):
-            dealt = F.when(lot < upto, s).otherwise(dealt)
-        mine = (F.col("_h") == g["_h"]) & (F.col("text_crc32") == g["text_crc32"]) & (F.col("size") == g["size"])
-        label, held = F.when(mine, dealt).otherwise(label), held | mine
-    return label.cast("int"), held
-
-
-def _round(linked: DataFrame, group: list[str], quota: list[int], scratch: Scratch) -> DataFrame | None:
-    """One round: rows not yet held move to the shard of most neighbours that has room, and are held there.
-
-    Votes are counts per group and shard, never pairs; a shard's room is its quota less the rows that it holds, as the
-    others are still to move; who is admitted is decided by a histogram per target. None if every row is held.
+            out.append((*key, s, seen, seen + take))
+            seen, room[s] = seen + take, room[s] - take
+    return out
+
+
+def _rounds(waiting: DataFrame, room: list[int], rounds: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Groups held by rounds, with ``_label``, and the few that still wait; takes the held rows off ``room``.
+
+    A group wishes for a shard with room for all of it: that of most neighbours, else any by a lot weighted by room. Who
+    is admitted is decided by a histogram per shard, larger groups first; lots are drawn anew in each round. In rounds
+    by room alone what is wished for of a shard is about its room at most, so each leaves few groups.
     """
-    shards = len(quota)
-    counts = linked.groupBy(*group, "_label").agg(F.count("*").alias("_c"), F.count_if("_held").alias("_kept"))
-    sums = counts.groupBy("_label").agg(F.sum("_kept").alias("h"), F.sum(F.col("_c") - F.col("_kept")).alias("u")).collect()  # a row a shard
-    held = {r["_label"]: r["h"] for r in sums}
-    if not sum(r["u"] for r in sums):
-        return None
-    room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
-    roomy = [s for s in range(shards) if room[s]] or [0]
-    has_room = F.element_at(F.array(*[F.lit(int(x)) for x in room]), F.col("_label") + 1)
-    # most neighbours first, then most room, then a hash; where no neighbour's shard has room, any that has, by the group's hash
-    vote = F.when(has_room > 0, F.struct(F.col("_c").alias("c"), has_room.alias("r"), F.xxhash64(*group, "_label").alias("h"), F.col("_label").alias("l")))
-    spare = F.element_at(F.array(*map(F.lit, roomy)), F.pmod(F.xxhash64(*group), F.lit(len(roomy))).cast("int") + 1)
-    best = counts.groupBy(*group).agg(F.max(vote).alias("_v"))
-    wish = linked.join(best.select(*group, F.coalesce("_v.l", spare).alias("_to")), group)
-    # larger groups go first, groups together: the bin is a hash of the group below its size class
-    size_class = F.least(F.floor(F.log2(F.col("_n").cast("double"))), F.lit(15)).cast("int")
-    bin_ = ((15 - size_class) * (ADMIT_BINS // 16) + F.pmod(F.xxhash64(*group), F.lit(ADMIT_BINS // 16))).cast("int")
-    wish = wish.withColumn("_bin", bin_)
-    asked: dict[int, dict[int, int]] = {}
-    for r in wish.filter("not _held").groupBy("_to", "_bin").agg(F.count("*").alias("c")).collect():  # shards x ADMIT_BINS rows at most
-        asked.setdefault(r["_to"], {})[r["_bin"]] = r["c"]
-    whole: list[int] = []
-    part: list[float] = []
-    for s in range(shards):
-        left, cut, share = room[s], ADMIT_BINS, 0.0
-        for b in sorted(asked.get(s, {})):
-            if asked[s][b] > left:
-                cut, share = b, left / asked[s][b]
-                break
-            left -= asked[s][b]
-        whole.append(cut)
-        part.append(share)
-    at = F.col("_to") + 1
-    cut_at, share_at = F.element_at(F.array(*map(F.lit, whole)), at), F.element_at(F.array(*map(F.lit, part)), at)
-    # of the bin that fits in part, whole groups by their hash; the last step keeps the exact quota
-    lot = F.pmod(F.xxhash64(F.lit(3), *group), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    admitted = ~F.col("_held") & ((F.col("_bin") < cut_at) | ((F.col("_bin") == cut_at) & (lot < share_at)))
-    out = wish.select("doc_id", *group, "_spread", "_n", F.when(admitted, F.col("_to")).otherwise(F.col("_label")).alias("_label"), (F.col("_held") | admitted).alias("_held"))
-    return scratch.keep(out, "round")
+    shards = len(room)
+    left, number, voting = waiting.count(), 0, rounds > 0
+    held: list[DataFrame] = []
+    while left > SINGLY * shards:
+        number += 1
+        lot = lambda s: (F.pmod(F.xxhash64(F.lit(number), *GROUP, F.lit(s)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))  # noqa: B023,E731
+        say = lambda s: F.coalesce(F.col("_votes")[s], F.lit(0)) if voting else F.lit(0)  # noqa: B023,E731
+        wishes = [F.when(F.col("_n") <= room[s], F.struct(say(s).cast("long").alias("c"), (F.log(lot(s)) / max(1, room[s])).alias("w"), F.lit(s).alias("to"))) for s in range(shards)]
+        size_class = F.least(F.floor(F.log2(F.col("_n").cast("double"))), F.lit(CLASSES - 1)).cast("int")
+        wish = waiting.withColumn("_to", F.array_max(F.array(*wishes))["to"])
+        wish = wish.withColumn("_class", F.lit(CLASSES - 1) - size_class).withColumn("_lot", F.pmod(F.xxhash64(F.lit(number), *GROUP), F.lit(LOTS)).cast("int"))
+        wish = scratch.keep(wish, "wish")
+        asked = wish.filter("_to is not null").groupBy("_to", "_class", "_lot").agg(F.sum("_n").alias("n"), F.count("*").alias("g")).collect()  # shards x CLASSES x LOTS rows at most
+        admitted, before = [0] * (shards * CLASSES), left
+        for r in sorted(asked, key=lambda r: (r["_to"], r["_class"], r["_lot"])):
+            if r["n"] <= room[r["_to"]]:
+                admitted[r["_to"] * CLASSES + r["_class"]] |= 1 << r["_lot"]
+                room[r["_to"]] -= r["n"]
+                left -= r["g"]
+        word = F.element_at(F.array(*[F.lit(x).cast("long") for x in admitted]), F.col("_to") * CLASSES + F.col("_class") + 1)
+        goes = F.coalesce(F.getbit(word, F.col("_lot")) == 1, F.lit(False))
+        held.append(wish.filter(goes).select(*GROUP, F.col("_to").alias("_label")))
+        waiting = wish.filter(~goes).select(*GROUP, "_n", "_votes")
+        if not voting and left == before:  # not seen: the groups' rows are no more than all room, so some lot fits
+            raise RuntimeError(f"sharding: {left} groups wait and no shard admits any")
+        voting = voting and number < rounds and left * 2 <= before
+    return held, waiting
+
+
+def _labelled(base: DataFrame, start: Column, pieces: list[tuple], held: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Every row with its shard and whether it is held there."""
+    columns = ["doc_id", *GROUP, "_spread"]
+    parts = base.sparkSession.createDataFrame(pieces, "_h long, text_crc32 long, size long, _label int, _from long, _upto long")
+    plan = parts.groupBy(*GROUP).agg(F.count("*").alias("_parts"), F.first("_label").alias("_planned"))
+    known = base.filter(~F.col("_null")).join(F.broadcast(plan), GROUP, "left")
+    whole = known.filter("_parts = 1").select(*columns, F.col("_planned").alias("_label"), F.lit(True).alias("_held"))
+    out = whole
+    if any(p[4] for p in pieces):  # rows of a group in pieces are numbered, so that each piece has its rows exactly
+        most = max(p[5] for p in pieces)
+        placed = ranked(known.filter("_parts > 1").select(*columns), GROUP, [F.col("doc_id"), F.col("_spread")], buckets_for(most), "_place")
+        placed = placed.join(F.broadcast(parts), GROUP).filter("_place >= _from and _place < _upto")
+        placed = placed.select(*columns, "_label", F.lit(True).alias("_held"))
+        out = out.unionByName(placed)
+    rest = known.filter("_parts is null").select(*columns)
+    if held:
+        found = held[0]
+        for h in held[1:]:
+            found = found.unionByName(h)
+        rest = rest.join(found, GROUP, "left")
+    else:
+        rest = rest.withColumn("_label", F.lit(None).cast("int"))
+    rest = rest.unionByName(base.filter("_null").select(*columns, F.lit(None).cast("int").alias("_label")))
+    return out.unionByName(rest.select(*columns, F.coalesce("_label", start).alias("_label"), F.col("_label").isNotNull().alias("_held")))
 
 
 def _fill(everyone: DataFrame, quota: list[int], rows: int, scratch: Scratch) -> DataFrame:
