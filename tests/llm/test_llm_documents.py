@@ -198,6 +198,18 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.label_documents(docs.limit(3), empty).collect()} == {"und"}
 
 
+def test_no_letter_in_characters_of_many_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    m = langid.LanguageModel(["a", "b"], np.zeros((1 << 16, 2), np.float32), np.zeros((1 << langid.BITS, 2), np.float32), np.ones((13, 2), bool))
+    none = ["😀😀😀", "★★★ 12", "。。。", "٠١٢٣٤", "😀 " * 500, "", None]
+    some = ["x 😀😀😀", "漢字漢字漢字", "é 😀😀😀", "★★★ я"]
+    names, scores = m.label(pa.array(none + some, pa.string()))
+    assert names.to_pylist() == ["und"] * len(none) + ["a"] * len(some)
+    assert scores.to_pylist()[: len(none)] == [0.0] * len(none) and min(scores.to_pylist()[len(none) :]) > 0
+
+
 def test_viterbi_against_brute_force():
     import itertools
 

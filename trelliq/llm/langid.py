@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,14 +191,11 @@ class LanguageModel:
         total = by.sum(1)
         top = by.argmax(1)
         share = by.max(1) / np.maximum(total, 1) if count else np.zeros(0)
-        # no letter: where the bytes leave a doubt, the characters decide
+        # no letter: bytes outside ASCII leave a doubt, so the characters decide wherever no ASCII letter stands
         blank = total == 0
-        for i in np.flatnonzero(~blank & (total <= 8)).tolist():
+        sure = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), True).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~sure).tolist():
             blank[i] = not any(c.isalpha() for c in texts[i].as_py())
-        for i in np.flatnonzero(blank).tolist():
-            text = texts[i].as_py()
-            if text and not text.isascii() and any(c.isalpha() for c in text):
-                blank[i] = False
         names = [*self.langs, "und"]
         out = [pa.array([names[i] for i in np.where(blank, k, top)], pa.string()), pa.array(np.where(blank, 0.0, np.clip(share, 0, 1)))]
         if spans:
