@@ -198,6 +198,15 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.label_documents(docs.limit(3), empty).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(3000)] + [(10_000 + i, f"der hund und die katze {i}", "de") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, train_docs=20)
+    assert model.langs == ["de", "en"]
+    got = langid.label_documents(df.filter("lang = 'de'"), model).select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in got] == ["de"]
+
+
 def test_no_letter_in_characters_of_many_bytes():
     import numpy as np
     import pyarrow as pa

@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, hash_sample, map_text, text_slices
+from .common import Scratch, fold, map_text, text_slices
 
 #: Labelled documents that the models see at most, about: a bounded sample by a hash of the id.
 TRAIN_DOCS = 4000
+#: Of each language at least so many, or all that it has.
+TRAIN_EACH = 200
 BITS = 17
 #: Pseudo-count of every gram.
 ALPHA = 0.3
@@ -213,15 +215,20 @@ SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), (
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold: int = 4, held: int = 2) -> LanguageModel:
-    """Learns from rows with a text and a language whose crc32(id as text) mod ``hold`` isn't ``held``, from about ``train_docs`` at most.
+    """Learns from rows with a text and a language whose crc32(id as text) mod ``hold`` isn't ``held``, from about ``train_docs`` at most,
+    but ``TRAIN_EACH`` of each language: a rare one is learned at every size of the table.
 
     Each partition of the sample sums its counts; the driver adds a bounded number of them up. Without such rows there
     is no language and every text is ``und``.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, hold) != held))
-    sample = hash_sample(known, id_col, known.select(id_col).count(), train_docs)
-    sample = scratch.keep(sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), "sample").coalesce(4)
+    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
+    rows = sum(counts.values())
+    if rows > train_docs:
+        upto = {lang: int((1 << 30) * min(1, max(train_docs / rows, TRAIN_EACH / n))) for lang, n in counts.items()}
+        known = known.filter(F.pmod(F.xxhash64(F.lit(7919), F.col(id_col)), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])[F.col(lang_col).cast("string")])
+    sample = scratch.keep(known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), "sample").coalesce(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
