@@ -49,6 +49,19 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, block, leaf):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_length_the_sample_lacks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "FIT_ROWS", 5)
+    df, rows = table(spark, np.random.default_rng(3))
+    n = len(rows)
+    few = [(1000 + 10 * d + i, [1.0] * (d - 1) + [1.0 + 0.01 * i], 1, "x") for d in range(2, 8) for i in range(2)]
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df.unionByName(spark.createDataFrame(few, df.schema))).collect()}
+    assert len(got) == n + len(few)
+    for d in range(2, 7):
+        assert [(got[1000 + 10 * d + i].n_links, got[1000 + 10 * d + i].component_id) for i in range(2)] == [(1, 1000 + 10 * d)] * 2
+    want = {r.vec_id: r for r in near_vectors.near_vectors(df).collect()}
+    assert all(got[i] == want[i] for i in range(260))
+
+
 def test_neighbours(spark):
     df, rows = table(spark, np.random.default_rng(4), 900, 16)
     got = {}

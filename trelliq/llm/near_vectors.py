@@ -122,7 +122,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 x = matrix(column.take(pa.array(at)))
-                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions[int(d)]
+                turn = directions.get(int(d), np.eye(d, min(DIMENSIONS, d)))  # a length that the sample lacks: leading coordinates
+                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn
                 grid = np.floor(y / max(epsilon, 1e-6)).astype(np.int32)
                 for i, c, f in zip(at.tolist(), grid.tolist(), y.tolist(), strict=True):
                     cells[i], coords[i] = c, f
