@@ -62,7 +62,6 @@ def test_jaccard_against_all_pairs(spark, words, t):
 
 def test_jaccard_large_cell_and_shared_passage(spark, monkeypatch):
     monkeypatch.setattr(shingles, "CELL", 7)
-    monkeypatch.setattr(shingles, "ROUNDS", 1)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(80)]
     rows = []

@@ -1,15 +1,19 @@
-"""Jaccard join on word shingles by group-count vectors.
-
-Shingles are hashed into groups, and a document is the point of its group counts. Two sets as similar as asked for
-differ in at most D shingles, so of more than D coarse groups at least one holds the same shingles in both: such equal
-coarse groups are the cells that bring possible partners together, and no pair is lost. Inside a cell an R-tree over the
-points bounds the overlap of a query and a subtree by the sum of coordinate minima; pairs that pass the bound are
-verified on the sets themselves. Cells are first tried against one member each, so large groups of near copies grow
-together without their pairs being listed; only cells that still hold several components are searched.
+"""Jaccard join on word shingles by an R-tree over count vectors.
+
+Shingles are hashed into groups, and a set is the point of its group counts; the overlap of two sets is at most the sum
+of the minima of their coordinates. The tree's entries are leading groups of the finest grain: in one order of all
+groups (frequent ones last), two sets whose leading groups have none in common can't reach the overlap asked for, as the
+minima of the remaining coordinates sum up to too little. Below an entry stands a packed R-tree for each band of sizes,
+whose nodes keep coordinate maxima and size ranges, and a search follows the nodes whose sum of minima may suffice.
+
+The search runs twice. On points alone it leaves blocks: sets that a chain of possible partners joins. Each set then
+goes to its one block, where the tree is searched again and what survives the bound is verified on the sets. Every link
+comes out of a tree; no pair is listed before its bound has passed.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -18,29 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, gather, map_text, mix, run_hashes, text_slices
+from .common import Scratch, gather, mix, run_hashes, text_slices
 from .graph import components
 
-#: Sizes of a band differ by this factor at most.
-BAND = 1.5
-#: Members of a cell that one task searches at once; larger cells are searched in pairs of parts.
+log = logging.getLogger(__name__)
+
+#: Members of a group that one task searches at once, and their shingles; larger groups are searched in parts.
 CELL = 2000
 CELL_SHINGLES = 4_000_000
 FAN_OUT = 16
+#: Groups of a point at least.
+GROUPS = 32
 #: Numbers that are broadcast at most: some 16 MB in an executor.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that are shingled at once: a few hundred bytes of memory each.
 SLICE = 1 << 19
-#: Rounds in which cells are tried against one member each.
-ROUNDS = 3
-
-
-def bands(most: int) -> np.ndarray:
-    """Lower ends of the bands of set sizes, the last above ``most``."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
-    return np.array(out)
+#: Frequent shingles that stand last in the order of groups, at most; those that a task keeps count of; rows from which one counts.
+FREQUENT, TASK_FREQUENT, FREQUENT_ROWS = 200_000, 1 << 15, 32
+#: Rows of one entry that one task takes at most, where its count is known; documents of one set that one task joins.
+HOT_ROWS = 100_000
 
 
 def differing(size_a: int, size_b: int, similarity: Fraction) -> int:
@@ -48,18 +48,13 @@ def differing(size_a: int, size_b: int, similarity: Fraction) -> int:
     return int((1 - similarity) * (size_a + size_b) // (1 + similarity))
 
 
-def cell_count(differ: int) -> int:
-    """Coarse groups of a band: some more than ``differ``, as a few are empty."""
-    return differ + 2 + -(-differ // 8)
-
-
 def point_groups(size: np.ndarray) -> np.ndarray:
     """Groups of a point, a power of two that grows with the set, so that a group holds two to four shingles.
 
     The minima of unrelated counts of about three sum up to two thirds of a set, well below what a similarity of 0.8
     asks for (0.89); with twelve a group it would be 0.84, and many pairs would pass that aren't similar.
     """
-    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size / 4, 1))).astype(np.int64))
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(size / 4, 1))).astype(np.int64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,62 +94,103 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return value, np.searchsorted(doc, np.arange(n + 1))
 
 
-def cells(value: np.ndarray, offsets: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets): the cells of each set. A set has cells in its own band and in those of larger partners."""
-    size = np.diff(offsets)
-    edges = bands(int(size.max() / similarity) + 2 if len(size) else 1)
-    doc_out, key_out = [], []
-    own = np.searchsorted(edges, size, side="right") - 1
-    top = np.searchsorted(edges, np.floor(size / float(similarity) + 1e-9), side="right") - 1
-    for band in np.unique(np.concatenate([own, top])):
-        differ = differing(int(edges[band + 1]) - 1, int(edges[band + 1]) - 1, similarity) if band + 1 < len(edges) else 0
-        if band < 0 or not differ:
-            continue  # sets this small are similar only if equal
-        docs = np.flatnonzero((own <= band) & (band <= top) & (size > 0))
-        if not len(docs):
-            continue
-        parts = np.uint64(cell_count(differ))
-        at = gather(offsets[docs], size[docs])
-        v = value[at]
-        doc = np.repeat(np.arange(len(docs)), size[docs])
-        part = ((v >> np.uint64(32)) * parts) >> np.uint64(32)  # grows with the hash, so a part's shingles are neighbours
-        new = np.ones(len(v), bool)
-        new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
-        start = np.flatnonzero(new)
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(mix(v), start)
-            name = np.uint64(band) << np.uint64(40) | part[start]
-            key = mix(content ^ mix(name)) + np.diff(np.append(start, len(v))).astype(np.uint64)
-        owner = doc[start]
-        doc_out.append(docs[owner])
-        key_out.append(key)
-        # where too few groups are filled for one of them to be sure to agree, empty groups are cells as well
-        filled = np.bincount(owner, minlength=len(docs))
-        for i in np.flatnonzero(filled <= differ).tolist():
-            void = np.setdiff1d(np.arange(int(parts)), part[start][owner == i].astype(np.int64)).astype(np.uint64)
-            doc_out.append(np.full(len(void), docs[i]))
-            key_out.append(mix(mix(np.uint64(band) << np.uint64(40) | void) ^ np.uint64(0xE0E0E0E0)))
-    if not doc_out:
-        return np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
-    doc, key = np.concatenate(doc_out), np.concatenate(key_out)
-    order = np.argsort(doc, kind="stable")
-    return key[order].view(np.int64), np.searchsorted(doc[order], np.arange(len(size) + 1))
-
-
-def points(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Each set's group counts, 16 bits each; groups are the leading bits of the hash, so halving their number adds neighbours up."""
+def set_ids(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each set: equal sets have equal ones."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(value ^ np.uint64(0x51)), out=sums[1:])
+        return mix((sums[offsets[1:]] - sums[offsets[:-1]]) ^ mix(np.diff(offsets).astype(np.uint64))).view(np.int64)
+
+
+def points(value: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each set's group counts, a byte each; groups are the leading bits of the hash, so halving their number adds neighbours up.
+
+    Groups hold four shingles at most on average, by a hash: none comes near the 255 that a byte holds.
+    """
     size = np.diff(offsets)
     groups = point_groups(size)
     base = np.cumsum(groups) - groups
     shift = (64 - np.log2(groups).astype(np.int64)).astype(np.uint64)
     doc = np.repeat(np.arange(len(size)), size)
     at = base[doc] + (value >> shift[doc]).astype(np.int64)
-    flat = np.bincount(at, minlength=int(groups.sum())).astype(np.uint16).tobytes()
-    return [flat[2 * a : 2 * (a + g)] for a, g in zip(base.tolist(), groups.tolist(), strict=True)]
+    flat = np.bincount(at, minlength=int(groups.sum())).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(base, groups.sum()).astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+class Frequent:
+    """Shingles that many sets hold, counted in bounded memory: beyond ``most`` of them all counts sink by that of the next one."""
+
+    def __init__(self, most: int):
+        self.most, self.kept = most, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, value: np.ndarray) -> None:
+        found, count = np.unique(value, return_counts=True)
+        more = count > 1
+        self.new.append((found[more], count[more]))
+        if sum(len(f) for f, _ in self.new) > self.most:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        every, count = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        found, at = np.unique(every, return_inverse=True)
+        total = np.bincount(at, weights=count, minlength=len(found)).astype(np.int64)
+        if len(found) > self.most:
+            total -= np.partition(total, -self.most - 1)[-self.most - 1]
+            found, total = found[total > 0], total[total > 0]
+        self.kept, self.new = (found, total), []
+        return self.kept
+
 
+def entries(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, shingle, whether the smaller of a pair may enter by it) for the leading groups by which a set may meet a similar one.
 
-def coarse(point: np.ndarray, groups: int) -> np.ndarray:
-    return point.reshape(groups, -1).sum(1) if len(point) > groups else point
+    Of two similar sets the larger has one of the shared shingles among its first |x| - ceil(t |x|) + 1, the smaller
+    (or equal) among its first |y| - ceil(2t/(1+t) |y|) + 1.
+    """
+    size = np.diff(offsets)
+    up, down = similarity.numerator, similarity.denominator
+    probe = size - (up * size + down - 1) // down + 1
+    twice = 2 * similarity / (1 + similarity)
+    index = size - (twice.numerator * size + twice.denominator - 1) // twice.denominator + 1
+    # sets this small are similar only if equal
+    alone = (down - up) * (size + size * down // up) // (down + up) < 1
+    probe = np.where(alone, 0, probe)
+    doc = np.repeat(np.arange(len(size)), size)
+    last = np.isin(value, frequent)
+    plain = np.cumsum(~last)
+    before = np.concatenate([[0], plain])[offsets[:-1]]
+    plain_of = np.concatenate([[0], plain])[offsets[1:]] - before
+    rank = plain - 1 - before[doc]
+    here = np.flatnonzero(last)
+    owner = doc[here]
+    rank[here] = plain_of[owner] + (here - offsets[:-1][owner]) - (plain[here] - before[owner])
+    take = np.flatnonzero(rank < probe[doc])
+    return doc[take], value[take], rank[take] < index[doc[take]]
+
+
+def _partnered(key: np.ndarray, size: np.ndarray, enters: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Which rows of sorted (entry, size) have a partner of a fitting size under the same entry, one of both entering as the smaller one."""
+    up, down = similarity.numerator, similarity.denominator
+    group = np.zeros(len(key), np.int64)
+    group[1:] = np.cumsum(key[1:] != key[:-1])
+    place = group << 32 | size
+    low = np.searchsorted(place, group << 32 | (up * size + down - 1) // down)
+    high = np.searchsorted(place, place, side="right")
+    sums = np.concatenate([[0], np.cumsum(enters)])
+    smaller = sums[high] - sums[low] - enters > 0
+    larger = np.searchsorted(place, group << 32 | size * down // up, side="right") - np.searchsorted(place, place) > 1
+    return smaller | (enters & larger)
+
+
+def fold(flat: np.ndarray, start: np.ndarray, groups: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
+    """The points of ``rows`` with ``to`` groups, which none of them has less of."""
+    out = np.empty((len(rows), to), np.uint16)
+    for g in np.unique(groups[rows]).tolist():
+        here = np.flatnonzero(groups[rows] == g)
+        held = flat[start[rows[here]][:, None] + np.arange(g)]
+        out[here] = held if g == to else held.reshape(len(here), to, -1).sum(2, dtype=np.uint16)
+    return out
 
 
 class CountTree:
@@ -196,107 +232,284 @@ class CountTree:
             fits = (hi[at] >= t * size - 1e-9) & (lo[at] <= size / t + 1e-9)
             at = at[fits]
             least = np.maximum(lo[at], t * size)
-            bound = np.minimum(p[at], point).sum(1)
+            bound = np.minimum(p[at], point).sum(1, dtype=np.int64)
             at = at[bound >= t / (1 + t) * (size + least) - 1e-6]
             if not len(at):
                 break
         return self.order[at]
 
 
+class Forest:
+    """The trees of one group of members, one for each band of sizes (points of one number of groups)."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, groups: np.ndarray, sizes: np.ndarray, rows: np.ndarray):
+        self.flat, self.start, self.groups, self.sizes = flat, start, groups, sizes
+        self.bands = {int(g): rows[groups[rows] == g] for g in np.unique(groups[rows])}
+        self.range = {g: (sizes[r].min(), sizes[r].max()) for g, r in self.bands.items()}
+        self.trees: dict[tuple[int, int], CountTree] = {}
+
+    def search(self, row: int, t: float) -> np.ndarray:
+        size, own = int(self.sizes[row]), int(self.groups[row])
+        out = []
+        for g, rows in self.bands.items():
+            low, high = self.range[g]
+            if high < t * size - 1e-9 or low > size / t + 1e-9:
+                continue
+            to = min(g, own)
+            if (g, to) not in self.trees:
+                self.trees[g, to] = CountTree(fold(self.flat, self.start, self.groups, rows, to), self.sizes[rows])
+            point = fold(self.flat, self.start, self.groups, np.array([row]), to)[0]
+            out.append(rows[self.trees[g, to].search(point, size, t)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Roots:
+    """Which members are joined, within each group: labels that were known before, and the links found since."""
+
+    def __init__(self, group: np.ndarray, label: np.ndarray):
+        order = np.lexsort((label, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        self.at, self.up = at.tolist(), list(range(int(new.sum())))
+
+    def __call__(self, row: int) -> int:
+        x = self.at[row]
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self(b)] = self(a)
+
+
+#: Pairs of a leaf whose points are compared at once, times groups.
+LEAF_WORK = 1 << 22
+
+
+def leaf_pairs(cuts: np.ndarray, flat: np.ndarray, start: np.ndarray, groups: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): pairs of rows of one group (of FAN_OUT rows at most: a tree of a single leaf) that pass the bound, all groups at once."""
+    count = np.diff(cuts)
+    row = np.arange(cuts[0], cuts[-1])
+    after = np.repeat(cuts[1:], count) - row - 1
+    a = np.repeat(row, after)
+    b = gather(row + 1, after)
+    fits = np.minimum(sizes[a], sizes[b]) >= t * np.maximum(sizes[a], sizes[b]) - 1e-9
+    a, b = a[fits], b[fits]
+    to = np.minimum(groups[a], groups[b])
+    passed = np.zeros(len(a), bool)
+    for g in np.unique(to).tolist():
+        here = np.flatnonzero(to == g)
+        step = max(1, LEAF_WORK // g)
+        for i in range(0, len(here), step):
+            part = here[i : i + step]
+            bound = np.minimum(fold(flat, start, groups, a[part], g), fold(flat, start, groups, b[part], g)).sum(1, dtype=np.int64)
+            passed[part] = bound >= t / (1 + t) * (sizes[a[part]] + sizes[b[part]]) - 1e-6
+    return a[passed], b[passed]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
+    """Whether two sorted sets are as similar as asked for."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
+
+
+def search_groups(cuts: np.ndarray, whole: np.ndarray, sid: np.ndarray, label: np.ndarray, side: np.ndarray, sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, sets, similarity: Fraction) -> list[tuple[int, int]]:
+    """Links that join members of each group, enough of them to span all that the group's pairs join.
+
+    ``side`` says whether a row is a target (1), a query (2) or both (3); a ``whole`` group has all its members here.
+    Without ``sets`` a pair that passes the bound is a link; with them it must be as similar as asked for.
+    """
+    t = float(similarity)
+    groups = np.diff(np.append(start, len(flat))) if len(start) else start
+    of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    root = Roots(of, label)
+    out: list[tuple[int, int]] = []
+
+    def meet(a: int, b: int) -> None:
+        if root(a) != root(b) and (sets is None or _linked(sets(a), sets(b), similarity)):
+            out.append((int(sid[a]), int(sid[b])))
+            root.join(a, b)
+
+    small = np.diff(cuts) <= FAN_OUT
+    if small.any():
+        rows = np.flatnonzero(small[of])
+        inner = np.concatenate([[0], np.cumsum(np.diff(cuts)[small])])
+        a, b = leaf_pairs(inner, flat, start[rows], groups[rows], sizes[rows], t)
+        a, b = rows[a], rows[b]
+        apart = ((side[a] & 1 > 0) & (side[b] & 2 > 0)) | ((side[a] & 2 > 0) & (side[b] & 1 > 0))
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            meet(x, y)
+    for k in np.flatnonzero(~small).tolist():
+        rows = np.arange(cuts[k], cuts[k + 1])
+        forest = Forest(flat, start, groups, sizes, rows[side[rows] & 1 > 0])
+        queries, big = rows[side[rows] & 2 > 0].tolist(), None
+        # where all of a group is here every pair is searched from either end, so members of one component need not ask:
+        # that of the first three members that holds most
+        for i, q in enumerate(queries):
+            if whole[k] and i == 3:
+                held = [root(r) for r in rows.tolist()]
+                big = max(queries[:3], key=lambda r: held.count(root(r)))
+            if big is not None and root(q) == root(big):
+                continue
+            for r in forest.search(q, t).tolist():
+                if r != q:
+                    meet(q, r)
+    return out
+
+
 def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     Sets are the distinct shingles of ``words`` words of whole texts; with fewer words the sequence is the one shingle;
     null, empty and blank texts have none and link with nothing. Rows link when their sets' Jaccard similarity is at
     least ``similarity``; component_id is the smallest doc_id reachable. Equal sets are one set in the search. Rows of
-    one doc_id are one document to the components. An empty table gives an empty result; other columns are not read.
+    one doc_id are one document: what any of its texts links with is linked. Rows without a doc_id link like others and
+    get the component of their set, null if no row of it has an id. An empty table gives an empty result; other columns
+    are not read. A very long text is a set like any other: memory grows with the text, some 60 bytes a byte.
     """
     scratch = Scratch(docs.sparkSession, "shingles")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
-    def features(texts: pa.Array, with_cells: bool) -> list[pa.Array]:
-        out: list[list] = [[], [], [], []]
-        for _, _, data, offsets in text_slices(texts, SLICE):
-            value, at = shingle_sets(data, offsets, words)
-            sums = np.zeros((2, len(value) + 1), np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(mix(value ^ np.uint64(0x51)), out=sums[0, 1:])
-                np.cumsum(mix(value ^ np.uint64(0xA7)), out=sums[1, 1:])
-                h = sums[:, at[1:]] - sums[:, at[:-1]]
-            out[0].append(pa.array(np.diff(at).astype(np.int64)))
-            out[1].append(pa.array(h[0].view(np.int64)))
-            out[2].append(pa.array(h[1].view(np.int64)))
-            if with_cells:
-                key, cut = cells(value, at, similarity)
-                out[3].append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 3 + with_cells]
-        return [pa.concat_arrays(x) if x else pa.array([], k) for x, k in zip(out, kinds, strict=False)]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, frequent = ["doc_id", "n", "sid", "point", "rows"], Frequent(TASK_FREQUENT)
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE):
+                value, at = shingle_sets(data, offsets, words)
+                frequent.add(value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int64)), pa.array(set_ids(value, at)), points(value, at), pa.nulls(b - a, pa.int64())], names)
+        found, rows = frequent.settle() if frequent.new or len(frequent.kept[0]) else frequent.kept
+        keep = rows >= 4
+        m = int(keep.sum())
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(found[keep].view(np.int64)), pa.nulls(m, pa.binary()), pa.array(rows[keep])], names)
+
+    both = scratch.keep(named.mapInArrow(read, "doc_id long, n long, sid long, point binary, rows long"), "sets")
+    known = both.filter("rows IS NULL").select("doc_id", "n", "sid", "point")
+    often = both.filter("rows IS NOT NULL").groupBy("sid").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= FREQUENT_ROWS)
+    often = often.orderBy(F.desc("rows"), "sid").limit(FREQUENT).toPandas()  # FREQUENT rows at most
+    last = np.sort(often["sid"].to_numpy(np.int64, copy=True).view(np.uint64))
+    hot = often[often["rows"] > HOT_ROWS].sort_values("sid")
+    hot_key, hot_parts = hot["sid"].to_numpy(np.int64), (hot["rows"].to_numpy() // HOT_ROWS + 1).astype(np.int64)
+
+    # rows (entry, set, size): what enters the tree where
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE):
+                value, at = shingle_sets(data, offsets, words)
+                sid = set_ids(value, at)
+                doc, key, smaller = entries(value, at, last, similarity)
+                fresh = np.zeros(len(sid), bool)
+                for i, s in enumerate(sid.tolist()):  # copies of one set that a task meets enter once
+                    if s not in seen:
+                        fresh[i] = True
+                        seen.add(s)
+                if len(seen) > 200_000:
+                    seen.clear()
+                take = fresh[doc]
+                doc, key, smaller = doc[take], key[take].view(np.int64), smaller[take]
+                salt = np.zeros(len(key), np.int64)
+                if len(hot_key) and len(key):
+                    spot = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                    salt = np.where(hot_key[spot] == key, 1 + (sid[doc] & np.int64(0x7FFFFFFF)) % hot_parts[spot], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt.astype(np.int32)), pa.array(sid[doc]), pa.array(np.diff(at)[doc] << 1 | smaller)], ["g", "salt", "sid", "m"])
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries by which sets of fitting sizes enter; rows come sorted. Rows of an entry that is larger than what is held at once all pass."""
+        held: list[pa.RecordBatch] = []
+        long: int | None = None
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    same = ["n", "h1", "h2"]
-    known = map_text(named, "_text", ["doc_id"], "n long, h1 long, h2 long", lambda t: features(t, False))
-    known = scratch.keep(known, "sets")
-    reps = scratch.keep(known.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "reps")
-    # cells are made anew from the texts for each of their two uses: that costs less than to keep so many
-    listed = map_text(named, "_text", [], "n long, h1 long, h2 long, cells array<long>", lambda t: features(t, True)).select(*same, F.explode("cells").alias("cell"))
-    # cells of at least two different sets; copies of one set fall together, mostly before the shuffle
-    full = scratch.keep(listed.groupBy("cell").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("cell"), "full")
-    shared = listed.join(_small(full), "cell").select("cell", *same).join(reps, same).select("cell", "rep").distinct()
-    shared = scratch.keep(shared, "cells")
-    # of cells with the same members one is enough: near copies agree in most of their cells. Members are compared by
-    # their number and the sums of both halves of their hashes
-    hash_ = F.xxhash64("rep")
-    halves = [F.sum(F.shiftrightunsigned(hash_, 32)).alias("s1"), F.sum(hash_.bitwiseAND(F.lit((1 << 32) - 1))).alias("s2")]
-    chosen = shared.groupBy("cell").agg(F.count("*").alias("m"), *halves).groupBy("m", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell")
-    all_cells, shared = shared, scratch.keep(shared.join(chosen, "cell"), "cells")
-    scratch.drop(all_cells)
-    # points and sets of those that share a cell with another, from their texts
-    taking = scratch.keep(shared.select(F.col("rep").alias("doc_id")).distinct(), "taking")
-
-    def held(texts: pa.Array) -> list[pa.Array]:
-        out: list[list] = [[], [], []]
-        for _, _, data, offsets in text_slices(texts, SLICE):
-            value, at = shingle_sets(data, offsets, words)
-            out[0].append(np.diff(at))
-            out[1] += points(value, at)
-            out[2] += _as_bytes(value, at)
-        return [pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())]
-
-    needed = named.join(_small(taking), "doc_id", "left_semi")
-    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows: one of each id
-        needed = needed.dropDuplicates(["doc_id"])
-    member = scratch.keep(map_text(needed, "_text", ["doc_id"], "n long, point binary, shingles binary", held).withColumnRenamed("doc_id", "rep"), "members")
-
-    links, label = None, None
-    for turn in range(ROUNDS + 1):
-        here = shared.withColumn("component", F.col("rep")) if label is None else shared.join(label, "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("component"))
-        if turn < ROUNDS:
-            # one member of each cell meets all others in it and leaves it; cells with one component are done. At first
-            # all cells choose by one order, so that a document meets few others, then each by its own, so that what is
-            # left of a large group meets many of its members at once
-            lot = F.struct(F.xxhash64("rep", *(["cell"] if turn else [])).alias("h"), "rep", "component")
-            centre = here.groupBy("cell").agg(F.min(lot).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell", F.col("m.rep").alias("c"), F.col("m.component").alias("cc"))
-            left = scratch.keep(here.join(centre, "cell").filter("rep <> c"), "open")
-            pairs = left.filter("component <> cc").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"))
-            tried = _verify(pairs.distinct(), member, similarity)
-            scratch.drop(shared)
-            shared = left.select("cell", "rep")
-            shared._scratch_path = left._scratch_path
-        else:
-            open_ = here.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("cell")
-            tried = _search(scratch.keep(here.join(open_, "cell"), "open"), member, similarity, scratch)
-        checked = scratch.keep(tried, "checked")
-        found = checked.filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if checked.filter("linked").limit(1).count():
-            scratch.drop(label)
-            label = scratch.keep(components(links, scratch).select(F.col("node").alias("rep"), "component"), "labels")
-        if turn < ROUNDS and shared.isEmpty():
-            break
-    if label is None:
-        label = reps.select("rep", F.col("rep").alias("component")).limit(0)
-    classes = reps.join(label, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    # rows of one document id with different texts are one document: their sets' components meet
-    return known.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        def run(end: bool) -> pa.RecordBatch:
+            nonlocal held, long
+            tab = pa.Table.from_batches(held)
+            g, salt, sid, m = (tab.column(c).to_numpy() for c in range(4))
+            single = g[0] == g[-1]
+            upto = len(g) if end or single else int(np.searchsorted(g, g[-1]))
+            held = tab.slice(upto).to_batches()
+            if single and not end:
+                long = int(g[0])
+            g, salt, sid, m = g[:upto], salt[:upto], sid[:upto], m[:upto]
+            new = np.ones(upto, bool)
+            new[1:] = (g[1:] != g[:-1]) | (sid[1:] != sid[:-1])
+            g, salt, sid, m = g[new], salt[new], sid[new], m[new]
+            keep = _partnered(g, m >> 1, (m & 1) > 0, similarity) | (salt > 0)
+            if long is not None:
+                keep |= g == long
+            return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(sid[keep]), pa.array(m[keep] >> 1)], ["g", "sid", "n"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                if sum(map(len, held)) >= 50_000:
+                    yield run(False)
+        if sum(map(len, held)):
+            yield run(True)
+
+    listed = named.select("_text").mapInArrow(enter, "g long, salt int, sid long, m long")
+    listed = listed.repartition("g", "salt").sortWithinPartitions("g", "m", "sid")
+    shared = scratch.keep(listed.mapInArrow(partnered, "g long, sid long, n long"), "entries")
+
+    # blocks: what the bound on points joins. First by two entries of each set, so that groups of near copies are one
+    # block before their many other entries are looked at
+    member = known.join(_small(scratch.keep(shared.select("sid").distinct(), "taking")), "sid", "left_semi").select("sid", "n", "point")
+    member = scratch.keep(member.groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point")), "members")
+    two = shared.groupBy("sid").agg(F.first("n").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2"))
+    two = two.select(F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"), "sid", "n")
+    first = scratch.keep(_trees(two.withColumn("label", F.col("sid")), member, similarity, False, scratch), "chains")
+    label = _labels([first], scratch)
+    rest = _distinct_groups(_labelled(shared, label), scratch)
+    more = scratch.keep(_trees(rest, member, similarity, True, scratch), "chains")
+    block = _labels([first, more], scratch)
+
+    # links: in each block the tree again, now with the sets themselves
+    block = block.withColumnRenamed("label", "g")
+    blocked = scratch.keep(member.select("sid", "n").join(block, "sid").select("g", "sid", "n"), "blocks")
+    reps = scratch.keep(known.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps")
+    taking = scratch.keep(blocked.select("sid").join(reps, "sid").select("sid", F.coalesce("rep", F.lit(-1 << 63)).alias("_key")), "taking")
+
+    def held_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE):
+                value, at = shingle_sets(data, offsets, words)
+                sets = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(value)])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(value, at)), pa.array(np.diff(at).astype(np.int64)), points(value, at), sets.cast(pa.binary())], ["sid", "n", "point", "shingles"])
+
+    keyed = named.withColumn("_key", F.coalesce("doc_id", F.lit(-1 << 63)))
+    texts = keyed.join(_small(taking.select("_key").distinct()), "_key", "left_semi").select("_text")
+    sets = texts.mapInArrow(held_sets, "sid long, n long, point binary, shingles binary")
+    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows: one of each set
+        sets = sets.dropDuplicates(["sid"])
+    near = scratch.keep(_trees(blocked.withColumn("label", F.col("sid")), sets, similarity, False, scratch), "links")
+    label = _labels([near], scratch)
+    far = scratch.keep(_trees(_labelled(blocked, label), sets, similarity, True, scratch), "links")
+    log.info("chains from two entries %d, from the others %d; links in blocks %d, across parts and components %d", *(x.count() for x in (first, more, near, far)))
+
+    # components by documents: a set is named by its smallest doc_id, and a document with several sets joins them
+    links = near.unionByName(far)
+    ids = reps.select("sid", "rep")
+    links = links.join(ids.withColumnsRenamed({"sid": "a", "rep": "ra"}), "a").join(ids.withColumnsRenamed({"sid": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    several = known.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("doc_id")
+    own = known.filter("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), "sid").join(ids, "sid").select("a", F.col("rep").alias("b")).distinct()
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL").unionByName(own)
+    label = components(links, scratch).select(F.col("node").alias("rep"), "component")
+    classes = scratch.keep(reps.join(label, "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"), "c"), "classes")
+    return _attach(known.select("doc_id", "n", "sid"), classes)
+
+
+def _attach(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each document with its set's component. Sets with very many documents (few, as each takes so many) are broadcast, so their documents needn't meet."""
+    hot = F.broadcast(classes.filter(F.col("c") > HOT_ROWS).orderBy(F.desc("c")).limit(BROADCAST_ROWS).select("sid", F.col("component").alias("_hot"), F.lit(True).alias("_is")))
+    out = known.join(hot, "sid", "left")
+    cold = classes.select(F.col("sid").alias("_sid"), "component", F.lit(False).alias("_other"))
+    # a document of a hot set, or of none, looks for nothing: its key is spread and its flag meets no row
+    out = out.withColumn("_flag", F.coalesce("_is", F.col("n") == 0)).withColumn("_key", F.when(F.col("_flag"), F.xxhash64("doc_id")).otherwise(F.col("sid")))
+    out = out.join(cold, (F.col("_key") == F.col("_sid")) & (F.col("_flag") == F.col("_other")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("_hot", "component", "doc_id")).alias("component_id"))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -304,129 +517,108 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _as_bytes(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    raw = value.tobytes()
-    return [raw[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+def _labels(links: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(sid, label) of the sets that links join."""
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return scratch.keep(components(every, scratch).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
 
 
-def _verify(pairs: DataFrame, member: DataFrame, similarity: Fraction) -> DataFrame:
-    """a, b and whether they are linked, for the pairs that pass the bound on the points: only their sets are compared."""
-    t = float(similarity)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-            good = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9
-            for i in np.flatnonzero(good).tolist():
-                p, q = (np.frombuffer(batch.column(k)[i].as_py(), np.uint16) for k in (4, 5))
-                g = min(len(p), len(q))
-                good[i] = np.minimum(coarse(p, g), coarse(q, g)).sum() >= t / (1 + t) * (na[i] + nb[i]) - 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], ["a", "b", "may"])
-
-    side = lambda x: member.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    bounded_batches(pairs.sparkSession, 256)  # a row holds two sets
-    may = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long, may boolean")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                raw = [batch.column(k)[i].as_py() for k in (2, 3)]
-                if None in raw:
-                    continue
-                x, y = (np.frombuffer(r, np.uint64) for r in raw)
-                linked[i] = _linked(x, y, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
-
-    held = lambda x: member.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}"))
-    passed = may.filter("may").join(held("a"), "a").join(held("b"), "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long, linked boolean")
-    return passed
-
-
-def _linked(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
-    """Whether two sorted sets are as similar as asked for."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared)
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (g, sid, n, label) of the groups that hold more than one component."""
+    here = rows.join(label, "sid", "left").select("g", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    open_ = here.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
+    return here.join(open_, "g", "left_semi")
 
 
-def _search(open_: DataFrame, member: DataFrame, similarity: Fraction, scratch: Scratch) -> DataFrame:
-    """a, b, linked: links that join components of the cells of ``open_``, enough of them to span what is linked.
-
-    Twice the same search: first on points alone, which leaves the members of a cell that may be linked with another,
-    then, for those, with their sets. A pair that passes the tree's bound is verified where it is found, and only if
-    the links found before don't join it already. So no more rows come out than members went in.
-    """
-    may = _trees(open_, member.select("rep", "n", "point", F.lit(None).cast("binary").alias("shingles")), similarity, "cell long, rep long")
-    left = scratch.keep(open_.join(may.distinct(), ["cell", "rep"], "left_semi"), "may")
-    return _trees(left, member, similarity, "a long, b long, linked boolean")
+def _distinct_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of groups with the same members one is enough. Members are compared by their number and two sums of their hashes."""
+    rows = scratch.keep(rows, "open")
+    hash_ = F.xxhash64("sid")
+    halves = [F.sum(F.shiftrightunsigned(hash_, 32)).alias("s1"), F.sum(hash_.bitwiseAND(F.lit((1 << 32) - 1))).alias("s2")]
+    chosen = rows.groupBy("g").agg(F.count("*").alias("c"), *halves).groupBy("c", "s1", "s2").agg(F.min("g").alias("g")).select("g")
+    return rows.join(chosen, "g", "left_semi")
 
 
-def _trees(open_: DataFrame, member: DataFrame, similarity: Fraction, schema: str) -> DataFrame:
-    """A tree for each cell: rows (cell, rep) with a possible partner, or the verified links, as ``schema`` says.
+def _trees(groups: DataFrame, member: DataFrame, similarity: Fraction, across: bool, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join members of each group of ``groups`` (g, sid, n, label), by a search in the group's trees.
 
-    Cells go to tasks in parts of CELL members and CELL_SHINGLES shingles at most, in pairs of parts.
+    ``member`` has each set's point, and the set itself if pairs are to be verified. Groups go to tasks in parts of CELL
+    members and CELL_SHINGLES shingles at most. Without ``across`` a member meets its own part and one member of the
+    group that all parts get: this joins most of a group of near copies. With it, every part is searched by every member
+    outside the group's largest component, so no pair of members in different components is left out.
     """
-    t, verify = float(similarity), "linked" in schema
-    rows = open_.join(member.select("rep", "n"), "rep")
-    sizes = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
-    split = open_.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # a member goes to every pair of parts that its own part is in
-    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cell", "rep", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.join(member, "rep")
-
-    def one(cell: int, rep: np.ndarray, component: np.ndarray, part: np.ndarray, n: np.ndarray, raw: list[bytes], sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
-        points_ = [np.frombuffer(p, np.uint16) for p in raw]
-        g = min(map(len, points_))
-        p = np.stack([coarse(x, g) for x in points_]).astype(np.int32)
-        tree = CountTree(p, n)
-        _, root = np.unique(component, return_inverse=True)
-        out, seen = [], np.zeros(len(rep), bool)
-        for i in range(len(rep)):
-            at = tree.search(p[i], int(n[i]), t)
-            at = at[(rep[at] > rep[i]) & (root[at] != root[i])]
-            if apart:
-                at = at[part[at] != part[i]]
-            if not verify:
-                seen[at] = True
-                seen[i] |= len(at) > 0
-                continue
-            while len(at := at[root[at] != root[i]]):
-                k, at = at[0], at[1:]
-                if _linked(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64), similarity):
-                    out.append((int(rep[i]), int(rep[k])))
-                    root[root == root[k]] = root[i]
-        return out if verify else [(cell, int(r)) for r in rep[seen]]
+    per = groups.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid")).alias("p"))
+    parts = F.greatest(F.ceil(F.col("c") / CELL), F.ceil(F.col("s") / CELL_SHINGLES)).cast("int")
+    per = per.filter("lo <> hi").select("g", parts.alias("parts"), F.col("p.sid").alias("pivot"))
+    rows = groups.join(per, "g").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    single = F.col("parts") == 1
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    if not across:
+        dealt = rows.withColumn("i", F.explode(F.when((F.col("sid") == F.col("pivot")) & ~single, every).otherwise(F.array("i"))))
+        dealt = dealt.select("g", "i", F.lit(0).alias("j"), F.lit(3).alias("side"), "sid", "label")
+    else:
+        whole = rows.filter(single).select("g", "i", F.lit(0).alias("j"), F.lit(3).alias("side"), "sid", "label")
+        large = rows.filter(~single)
+        most = large.groupBy("g", "label").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("most")).select("g", F.col("most.label").alias("most"))
+        large = large.join(most, "g").withColumn("out", F.col("label") != F.col("most"))
+        asking = large.filter("out").groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("askers"))
+        large = large.join(asking, "g")
+        targets = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).select("g", "i", "j", F.lit(1).alias("side"), "sid", "label")
+        queries = large.filter("out").withColumn("j", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("askers")).cast("int")).withColumn("i", F.explode(every))
+        dealt = whole.unionByName(targets).unionByName(queries.select("g", "i", "j", F.lit(2).alias("side"), "sid", "label"))
+    has_sets = "shingles" in member.columns
+    dealt = scratch.keep(dealt, "dealt")
+    count = dealt.count()
+    if not count:
+        return dealt.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    dealt = (F.broadcast(dealt) if count <= BROADCAST_ROWS // 4 else dealt).join(member, "sid")
+    names = ["g", "i", "j", "side", "sid", "label", "n", "point"] + (["shingles"] if has_sets else [])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells one after the other, as rows come sorted; the last of a batch may go on in the next."""
+        """Groups of a batch together, as rows come sorted; the last may go on in the next."""
         held: list[pa.RecordBatch] = []
 
-        def run(last: bool) -> Iterator[pa.RecordBatch]:
+        def run(end: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             tab = pa.Table.from_batches(held)
-            cell, i, j, rep, component, part, n = (tab.column(c).to_numpy() for c in ("cell", "i", "j", "rep", "component", "part", "n"))
-            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            cuts = np.concatenate([[0], edge, [len(cell)]])
-            upto = len(cuts) - 1 if last else len(cuts) - 2
-            raw, sets = (tab.column(c).slice(0, int(cuts[upto])).to_pylist() for c in ("point", "shingles"))
-            out: list[tuple[int, int]] = []
-            for x, y in zip(cuts[:upto].tolist(), cuts[1 : upto + 1].tolist(), strict=True):
-                if y - x > 1:
-                    out += one(int(cell[x]), rep[x:y], component[x:y], part[x:y], n[x:y], raw[x:y], sets[x:y], i[x] != j[x])
-            held = tab.slice(int(cuts[upto])).to_batches() if not last else []
+            g, i, j, side, sid, label, n = (tab.column(c).to_numpy() for c in names[:7])
+            edge = np.flatnonzero((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.concatenate([[0], edge, [len(g)]])
+            upto = len(cuts) - 1 if end else len(cuts) - 2
+            held = [] if end else tab.slice(int(cuts[upto])).to_batches()
+            if not upto:
+                return
+            cuts = cuts[: upto + 1]
+            m = int(cuts[-1])
+            flat, start = _bytes_of(tab.column("point").slice(0, m))
+            sets = None
+            if has_sets:
+                raw, at = _bytes_of(tab.column("shingles").slice(0, m))
+                to = np.append(at[1:], len(raw))
+                sets = lambda r: np.frombuffer(raw[at[r] : to[r]].tobytes(), np.uint64)
+            whole = np.logical_and.reduceat(side[:m] == 3, cuts[:-1])
+            out = search_groups(cuts, whole, sid[:m], label[:m], side[:m], n[:m], flat, start, sets, similarity)
             if out:
-                columns = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([True] * len(out))], ["a", "b", "linked"]) if verify else pa.RecordBatch.from_arrays(columns, ["cell", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if len(batch):
                 held.append(batch)
-                yield from run(False)
+                if sum(map(len, held)) >= 5_000 or sum(b.nbytes for b in held) > 1 << 24:
+                    yield from run(False)
         if held:
             yield from run(True)
 
-    order = ["cell", "i", "j", "rep"]
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions(*order).mapInArrow(search, schema)
+    order = ["g", "i", "j", "sid"]
+    return dealt.select(*names).repartition("g", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long")
+
+
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values, one after the other, and where each starts."""
+    held = column.combine_chunks()
+    held = (held if isinstance(held, pa.Array) else pa.concat_arrays(held.chunks)).cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    flat = np.frombuffer(held.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return flat, (offsets[:-1] - offsets[0]).astype(np.int64)
