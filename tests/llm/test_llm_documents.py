@@ -81,6 +81,61 @@ def test_jaccard_empty_and_repeated(spark):
     assert shingles.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_documents_with_several_texts(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(60)) for p in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, a + " end"), (9, "alone in here now"), (None, a), (None, "nobody else has this")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in shingles.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {c for (i, _), c in got.items() if i in (1, 2, 3, 4)} == {1} and got[9, 2] == 9 and got[None, 58] == 1 and got[None, 2] is None
+
+
+def test_jaccard_of_one_very_long_text(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-100])), (3, "short text here"), (4, "x" * 3_000_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (399_998, 1), 2: (399_898, 1), 3: (1, 3), 4: (1, 4)}
+
+
+def test_jaccard_large_groups_in_parts(spark, monkeypatch):
+    """Groups beyond a task's size, with copies on either side of the similarity: parts, shared members and searches across."""
+    monkeypatch.setattr(shingles, "CELL", 5)
+    monkeypatch.setattr(shingles, "FAN_OUT", 3)
+    monkeypatch.setattr(shingles, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(shingles, "HOT_ROWS", 8)
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}v{i}" for i in range(70)]
+        for i in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(1, 5)):
+                copy[rng.randrange(70)] = f"x{rng.randrange(10_000)}"
+            rows.append((g * 100 + i, " ".join(copy)))
+    rows += [(1000 + i, rows[3][1]) for i in range(30)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, Fraction(4, 5)).collect()}
+    assert got == brute(rows, 3, Fraction(4, 5))
+
+
+def test_entries_that_share_lead_similar_sets_together():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for t in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)):
+        for _ in range(200):
+            n = int(rng.integers(1, 60))
+            every = rng.integers(0, 1 << 63, 3 * n).astype(np.uint64)
+            x = np.unique(every[:n])
+            y = np.unique(np.concatenate([rng.permutation(x)[: max(1, int(n * float(t) * rng.uniform(0.9, 1.2)))], every[n : n + int(rng.integers(0, n // 4 + 1))]]))
+            both = len(np.intersect1d(x, y))
+            if both * t.denominator < t.numerator * (len(x) + len(y) - both) or (len(x) == len(y) == both):
+                continue
+            frequent = np.sort(rng.permutation(every)[:n])
+            doc, key, smaller = shingles.entries(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), frequent, t)
+            small = int(len(y) < len(x))
+            assert set(key[(doc == small) & smaller]) & set(key[doc != small])
+
+
 def test_count_tree_loses_nothing():
     import numpy as np
 
@@ -151,10 +206,86 @@ def test_urls_native(spark):
 
 def test_url_model_learns(spark):
     rows = [(i, f"http://good{i % 7}.com/news/{i}") for i in range(300)] + [(1000 + i, f"http://bad{i % 7}.net/es/win/{i}") for i in range(300)] + [(5000, "http://good3.org/news/5"), (5001, "http://bad3.org/es/win/5")]
-    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), seeds=()).filter("page_id >= 5000").collect()}
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).filter("page_id >= 5000").collect()}
     assert got == {5000: "allow", 5001: "block"}
 
 
+def test_url_scores_against_plain_counting(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice(['ab', 'cd', 'É'])}{rng.randrange(9)}.{tld}/{rng.choice(['es', 'fr', 'x'])}/{rng.randrange(99)}?q={rng.choice(['one', 'two'])}#F" for tld in ("com", "net", "org") for _ in range(60)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0], "none", None])], "page_id long, url string")
+    got = url_filter.judge_urls(df).collect()
+    text = lambda u: "" if u is None or "://" not in u else (lambda r: re.match(r"[^/?#]*", r)[0].translate({c: c + 32 for c in range(65, 91)}) + r[len(re.match(r"[^/?#]*", r)[0]) :])(u.split("://", 1)[1])
+    held = {r.page_id: r for r in got}
+    ruled = {text(u): held[i].verdict for i, u in enumerate(urls) if held[i].rule}
+    keys = {r._u: r.k for r in spark.createDataFrame([(u,) for u in {text(u) for u in [*urls, None]}], "_u string").selectExpr("_u", "pmod(xxhash64(_u), 5) k").collect()}
+    counts = {v: Counter() for v in ("allow", "block")}
+    grams = lambda u: [("\x02" * 3 + u + "\x03")[i : i + 4] for i in range(len(u) + 1)]
+    for u, v in ruled.items():
+        if keys[u]:
+            for g in grams(u):
+                for k in range(5):
+                    counts[v][k, "n", g[4 - k :]] += 1  # the last k characters
+                    counts[v][k, "c", g[3 - k : 3]] += 1  # the k before the last
+
+    def p(v, g):
+        out = 1 / 256
+        for k in range(1, 5):
+            out = (counts[v][k, "n", g[4 - k :]] + 4 * out) / (counts[v][k - 1, "c", g[4 - k : 3]] + 4)
+        return out
+
+    for r, u in zip(sorted(got, key=lambda r: r.page_id), [*urls, urls[0], "none", None], strict=True):
+        want = np.mean([math.log(p("allow", g)) - math.log(p("block", g)) for g in grams(text(u))])
+        assert abs(r.score - want) < 1e-9, u
+    free = [r for r in got if r.rule is None]
+    assert max((r.score for r in free if r.verdict == "block"), default=-9) < min((r.score for r in free if r.verdict == "allow"), default=9)
+    # the whole URL counts: two that differ behind the path have scores of their own
+    pair = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://a.org/x?q=one", "http://a.org/x?zzz"])], "page_id long, url string")
+    assert len({r.score for r in url_filter.judge_urls(pair).filter(f"page_id >= {len(urls)}").collect()}) == 2
+
+
+def test_shards_cut_fewer_links_than_hashed_ones(spark):
+    """Equal texts are linked; of all such pairs a propagated shard cuts far less than shards by a hash of the id."""
+    rng = random.Random(2)
+    texts = [f"group {rng.randrange(300)}" for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = sharding.shard_documents(df, 8).toPandas()
+    shard = dict(zip(p.doc_id, p.shard, strict=True))
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault(t, []).append(i)
+    pairs = [(a, b) for g in by.values() for k, a in enumerate(g) for b in g[:k]]
+    cut = sum(shard[a] != shard[b] for a, b in pairs)
+    hashed = sum(zlib.crc32(str(a).encode()) % 8 != zlib.crc32(str(b).encode()) % 8 for a, b in pairs)
+    assert hashed > 0.8 * len(pairs) and cut < 0.02 * len(pairs)
+
+
+def test_quality_weights_against_a_plain_solution(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    held = docs.join(labels.filter("quality IS NOT NULL"), "doc_id").select("doc_id", "text", "quality").toPandas()
+    held = held[[zlib.crc32(str(i).encode()) % 5 != 0 for i in held.doc_id]]
+    x = np.stack(list(quality.statistics(pa.array(held.text.tolist(), pa.string()))))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale[model.scale != 1], x.std(0)[model.scale != 1])
+    z = model.basis(x)
+    # the features approximate a Gaussian kernel of the standardised statistics
+    u = np.clip((x[:40] - model.mean) / model.scale, -8, 8)
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(2) / (2 * quality.WIDTH**2))
+    waves = z[:40, 1 + x.shape[1] :]
+    assert np.abs(waves @ waves.T - kernel).mean() < 0.1
+    penalty = np.eye(z.shape[1]) * quality.RIDGE * len(x) / z.shape[1]
+    penalty[0, 0] = 1e-9
+    assert np.allclose(z @ np.linalg.solve(z.T @ z + penalty, z.T @ held.quality.to_numpy(float)), z @ model.weights, atol=1e-6)
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.fit(docs, labels)
@@ -211,7 +342,7 @@ def test_no_letter_in_characters_of_many_bytes():
     import pyarrow as pa
 
     m = langid.LanguageModel(["a", "b"], np.zeros((1 << 16, 2), np.float32), np.zeros((1 << langid.BITS, 2), np.float32), np.ones((13, 2), bool))
-    none = ["😀😀😀", "★★★ 12", "。。。", "٠١٢٣٤", "😀 " * 500, "", None]
+    none = ["😀😀😀", "★★★ 12", "。。。", "٠١٢٣٤", "😀 " * 500, "", None, *[c * n for c in ("😀", "。", "１", "٣", "！") for n in (1, 2, 8, 9, 1000)]]
     some = ["x 😀😀😀", "漢字漢字漢字", "é 😀😀😀", "★★★ я"]
     names, scores = m.label(pa.array(none + some, pa.string()))
     assert names.to_pylist() == ["und"] * len(none) + ["a"] * len(some)

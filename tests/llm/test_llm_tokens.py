@@ -152,3 +152,79 @@ def test_matrices_round_trip(spark, tmp_path):
         want = np.concatenate([*[np.arange(b - a) for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])], np.zeros(2048 - r.n_tokens)])
         assert (at == want).all() and r.cu_seqlens[-1] == r.n_tokens and len(r.doc_ids) == r.n_segments
     assert packing.packed_matrices(df.limit(0), BPE).count() == 0
+
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join((zero, one)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    every = [thue_morse(4096), thue_morse(4096, "b", "a"), thue_morse(4096) + " " + thue_morse(4096, "b", "a")]
+    ref, mine, pieces_ref, mine_pieces = Tokenizer.from_file(BPE), Encoder(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel(PIECES)
+    for a, b, data, offsets in text_slices(pa.array(every), 1 << 20):
+        for made, want in ((mine.encode(data, offsets), lambda t: ref.encode(t, add_special_tokens=False).ids), (mine_pieces.encode(data, offsets), pieces_ref.encode)):
+            ids, at = made
+            for i, t in enumerate(every[a:b]):
+                assert want(t) == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_runs_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from trelliq.llm import tokens
+
+    monkeypatch.setattr(tokens, "run_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    ref, mine = Tokenizer.from_file(BPE), Encoder(BPE)
+    every = texts()[:300]
+    for a, b, data, offsets in text_slices(pa.array(every), 700):
+        ids, at = mine.encode(data, offsets)
+        for i, t in enumerate(every[a:b]):
+            assert ref.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist(), t
+
+
+def test_long_words_are_the_librarys():
+    import sentencepiece
+
+    ref, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel(PIECES)
+    rng = random.Random(3)
+    every = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "tehin", "aaa", "..-", "漢字かa") for n in (257, 2000)]
+    every += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "the" * 100_000]
+    for _, _, data, offsets in text_slices(pa.array(every), 1):
+        ids, _ = mine.encode(data, offsets)
+        assert ref.encode(data.tobytes().decode()) == ids.tolist()
+
+
+def test_short_words_merged_as_long_ones(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "LONG_WORD", 2)
+    ref, mine = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel(PIECES)
+    every = texts()
+    for a, b, data, offsets in text_slices(pa.array(every), 4000):
+        ids, at = mine.encode(data, offsets)
+        for i, t in enumerate(every[a:b]):
+            assert ref.encode(t) == ids[at[i] : at[i + 1]].tolist(), t
+
+
+def test_ids_of_a_whole_table_are_the_librarys():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    ref, mine = Tokenizer.from_file(BPE), Encoder(BPE)
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    every = [t or "" for t in column.to_pylist()]
+    for a, b, data, offsets in text_slices(column):
+        ids, at = mine.encode(data, offsets)
+        for i, e in enumerate(ref.encode_batch(every[a:b], add_special_tokens=False)):
+            assert e.ids == ids[at[i] : at[i + 1]].tolist()
+
+
+def test_packed_matrices_keep_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c", "x"), (-1, "d e", "x"), (7, None, "x"), (7, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = packing.packed_matrices(df, BPE, capacity=16).collect()
+    assert sorted(repr(d) for r in got for d in r.doc_ids) == sorted(repr(r[0]) for r in rows)
+    assert {r.id_bytes for r in got} == {2} and {len(r.ids) for r in got} == {32}

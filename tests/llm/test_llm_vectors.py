@@ -99,3 +99,44 @@ def test_components(spark):
         root[y] = x
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_near_vectors_of_doubles(spark):
+    """A cosine just above the limit, that floats would put below it, and one just below."""
+    import math
+
+    over, under = 0.93 + 2e-9, 0.93 - 2e-9
+    rows = [(1, [1.0, 0.0], 1), (2, [over, math.sqrt(1 - over**2)], 1), (11, [1.0, 0.0], 2), (12, [under, math.sqrt(1 - under**2)], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 11: (0, 11), 12: (0, 12)}
+
+
+def test_nearest_of_every_length_and_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKERS", 3)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=6 if i < 200 else 3).tolist()) for i in range(260)]
+    rows += [(300 + i, rows[0][1]) for i in range(8)] + [(400, None), (420, [0.0] * 6), (440, [float("nan")] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, k=5, share=50.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    held = [r for r in rows if r[0] < 400]
+    for q, v in held:
+        if q % 20 == 0:
+            best = sorted((-float(np.dot(v, w)), i) for i, w in held if i != q and len(w) == len(v))[:5]
+            assert [i for _, i, _ in sorted(got[q])] == [i for _, i in best] and np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in best])
+    assert set(got) == {q for q, _ in held if q % 20 == 0}
+
+
+def test_a_session_keeps_the_batch_size_that_it_names(spark):
+    from trelliq.llm import common
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        for named, want in (("1234567", "1234567"), (f"{common.BATCH_DEFAULT}b", str(common.BATCH_BYTES))):
+            spark.conf.set(common.BATCH_SETTING, named)
+            common.small_batches(spark)
+            assert spark.conf.get(common.BATCH_SETTING).rstrip("b") == want
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)

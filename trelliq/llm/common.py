@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import shared_folder
+
 #: Rows of a salted bucket: what one window partition sorts at most, about.
 BUCKET_ROWS = 20_000
 
@@ -21,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where it names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trelliq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables that cut a plan's lineage: written once to the shared folder, read by every later step.
 
@@ -89,10 +79,18 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], buckets: int, name
     return placed.join(before, on).withColumn(name, (F.col("_row") - 1 + F.col("_before")).cast("long")).drop("_salt", "_row", "_s", "_before", *[f"_by{i}" for i in range(len(by))])
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough that a Python worker holds few long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+#: Bytes of an Arrow batch, and the session's setting of it with the value that Spark gives it.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES in this session, unless it names a size of its own.
+
+    Plans read the setting when they run, so it can't be put back here; all operators set the one value, and results
+    don't depend on it. A worker then holds a few batches of texts, whatever their lengths.
+    """
+    if spark.conf.get(BATCH_SETTING).rstrip("bB") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,6 +112,23 @@ def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
         at = end
 
 
+#: Bytes of text that a task works on at once: what it needs per byte stays below this many bytes a few hundred times.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about PIECE_BYTES of text in column ``at`` each; a longer text is a run alone."""
+    if not len(batch):
+        yield batch
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(batch):
+        upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, side="right")))
+        yield batch.slice(first, upto - first)
+        first = upto
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of ragged runs, one after the other."""
     total = int(lengths.sum())
@@ -171,8 +186,9 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def map_text(docs: DataFrame, text_col: str, keep: list[str], extra: str, make) -> DataFrame:
     """Columns ``keep`` of ``docs`` and those of the schema ``extra`` that ``make(text array)`` gives for each Arrow batch.
 
-    ``make`` returns the extra columns as Arrow arrays in order. The text travels back only if it is in ``keep``. A
-    column of ``docs`` with the name of an extra one is not kept: the extra one takes its place.
+    ``make`` returns the extra columns as Arrow arrays in order; it gets PIECE_BYTES of text at once, or one longer text. The
+    text travels back only if it is in ``keep``. A column of ``docs`` with the name of an extra one is not kept: the
+    extra one takes its place.
     """
     fields = T._parse_datatype_string(extra).fields
     names = [f.name for f in fields]
@@ -183,10 +199,11 @@ def map_text(docs: DataFrame, text_col: str, keep: list[str], extra: str, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [batch.column(i) for i, c in enumerate(sent) if c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, *make(batch.column(at))], [*keep, *names])
+            for part in pieces(batch, at):
+                arrays = [part.column(i) for i, c in enumerate(sent) if c in keep]
+                yield pa.RecordBatch.from_arrays([*arrays, *make(part.column(at))], [*keep, *names])
 
-    bounded_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, out)
 
 

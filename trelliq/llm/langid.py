@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, map_text, text_slices
+from .common import Scratch, fold, map_text, small_batches, text_slices
 
 #: Labelled documents that the models see at most, about: a bounded sample by a hash of the id.
 TRAIN_DOCS = 4000
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     is no language and every text is ``und``.
     """
     scratch = Scratch(docs.sparkSession, "langid")
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, hold) != held))
     counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
     rows = sum(counts.values())

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, hash_sample
+from .common import Scratch, hash_sample, small_batches
 from .graph import components
 from .vectors import digests, matrix, usable
 
@@ -99,11 +100,12 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     """vec_id, n_links, component_id and kept for every row: links between rows of one label with at least the cosine.
 
     Rows without label, and vectors that are null, empty, zero or hold null or non-finite components, link with
-    nothing; vectors of different lengths neither. Equal vectors are one in the search and count as often as they
+    nothing; vectors of different lengths neither. Components are compared as they are, in double precision. Equal vectors are one in the search and count as often as they
     stand in the table: copies are never expanded into pairs. Rows of one id are one node of the components. An empty
     table gives an empty result; other columns are not read.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near")
     # unit vectors' distance: |u - v|^2 = 2 - 2 cos
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
@@ -114,6 +116,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     unique = scratch.keep(keyed.filter("ok").groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("v").alias("v")), "unique")
     n = unique.count()
     directions = _directions(unique, n)
+    # blocks keep the components as they are: floats, or else doubles
+    kind = np.dtype(np.float32 if unique.schema["v"].dataType.elementType == T.FloatType() else np.float64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +147,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
             nonlocal number
             number += 1
             y = matrix(t.column("y"))
-            u = matrix(t.column("v"), np.float32)
+            u = matrix(t.column("v"), kind)
             one = [pa.array([number]), t.column("label").combine_chunks().slice(0, 1), pa.array([len(u[0])], pa.int32()), pa.array([y.min(0).tolist()]), pa.array([y.max(0).tolist()])]
             blobs = [t.column("rep").to_numpy().astype(np.int64), t.column("times").to_numpy().astype(np.int64), u, y]
             return pa.RecordBatch.from_arrays([*one, *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs]], ["block", "label", "d", "lo", "hi", "reps", "times", "vectors", "coords"])
@@ -189,7 +193,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
         for batch in batches:
             for r in batch.to_pylist():
                 def side(p: str) -> tuple:
-                    u = np.frombuffer(r[f"{p}_vectors"], np.float32).reshape(-1, r["d"]).astype(np.float64)
+                    u = np.frombuffer(r[f"{p}_vectors"], kind).reshape(-1, r["d"]).astype(np.float64)
                     u = u / np.linalg.norm(u, axis=1, keepdims=True)
                     return u, np.frombuffer(r[f"{p}_coords"]).reshape(len(u), -1)
 
@@ -207,7 +211,6 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
                 at = np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(links[at].astype(np.int64)), pa.array(reps[root[at]])], ["rep", "links", "root"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     found = scratch.keep(work.mapInArrow(join, "rep long, links long, root long"), "found")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -220,6 +223,4 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
 
 
 def _schema(df: DataFrame, keep: list[str], extra: str):
-    from pyspark.sql import types as T
-
     return T.StructType([*[df.schema[c] for c in keep], *T._parse_datatype_string(extra).fields])

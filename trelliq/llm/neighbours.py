@@ -29,6 +29,8 @@ LEAVES = 32
 #: spread vectors of 64 dimensions are the worst case, for which this share gives a recall above 0.9.
 SHARE = 1.2
 BLOCK = 2048
+#: Queries that meet a block in one task at most, about.
+ASKERS = 8192
 
 
 @dataclass
@@ -122,16 +124,23 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, l
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part. Ties go to the smaller id.
     Equal vectors are searched once and told apart at the end, where a query needs the k + 1 smallest ids of a class
-    at most, so copies cost nothing and none is lost. Rows of one id are one vector. Vectors of the most frequent
-    length only are compared (a length other than the query's has no inner product). An empty table gives an empty
+    at most, so copies cost nothing and none is lost. Rows of one id are one vector. Each vector length is searched by
+    itself: vectors of another length than the query's have no inner product with it. An empty table gives an empty
     result; other columns are not read.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "near")
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    lengths = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    width = lengths["d"] if lengths else 0
-    base = base.filter(F.size("v") == width).select("vec_id", "v", *digests(F.col("v")))
+    widths = [r["d"] for r in base.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # a row a vector length
+    out = None
+    for width in widths or [0]:
+        found = _nearest_of(base.filter(F.size("v") == width).select("vec_id", "v", *digests(F.col("v"))), width, k, every, trees, leaves, share)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_of(base: DataFrame, width: int, k: int, every: int, trees: int, leaves: int, share: float) -> DataFrame:
+    """The search over usable vectors of one length."""
+    spark = base.sparkSession
+    scratch = Scratch(spark, "near")
     # one row a distinct vector; c is its number
     unique = base.groupBy("_h1", "_h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("c"), F.max(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asks"))
     unique = scratch.keep(unique, "unique")
@@ -172,7 +181,10 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, l
     asked = indexed.filter("asks = 1").select("c", "v").mapInArrow(ask, f"q long, w {vector}, tree int, leaf int, part int")
     table = F.array(*[F.array(*[F.lit(int(b)) for b in bs]) for bs in blocks]) if forest else F.array(F.array(F.lit(1)))
     parts = F.element_at(F.element_at(table, F.col("tree") + 1), F.col("leaf") + 1)
-    stored = postings.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int"))
+    # neither side of a block grows with the table: its vectors are dealt to parts, and so are those that ask, to turns
+    turns = max(1, -(-indexed.filter("asks = 1").count() // ASKERS))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int"))
+    stored = postings.withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
 
     def rerank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -189,7 +201,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, l
             out_q.append(some["q"].to_numpy()[q]), out_c.append(ids[c]), out_s.append(scores[q, c])
         return pd.DataFrame({"q": np.concatenate(out_q), "c": np.concatenate(out_c), "s": np.concatenate(out_s)})
 
-    on = ["tree", "leaf", "part"]
+    on = ["tree", "leaf", "part", "turn"]
     found = stored.groupBy(*on).cogroup(asked.groupBy(*on)).applyInPandas(rerank, "q long, c long, s double")
     # a vector that several trees gave is one candidate
     best = Window.partitionBy("q").orderBy(F.desc("s"), "c")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, buckets_for, gather, ranked, text_slices
+from .common import Scratch, buckets_for, gather, ranked, small_batches, text_slices
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -57,7 +57,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
                 key = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([key, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    bounded_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
 
 
@@ -128,8 +128,10 @@ RANKS = 1 << 44
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each piece of each row of ``docs`` lies in sequences of at most ``capacity`` tokens.
 
-    Null and empty texts are one token, ``end_id``. Repeated rows are packed each. An empty table gives an empty
-    result. Only the id and text columns are read. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    Null and empty texts are one token, ``end_id``. Rows without id and repeated rows are packed each. Pieces of one
+    length take places in the order of (doc_id, piece, ids_crc32), so ties between equal rows decide nothing else. A
+    text of any length is encoded whole and cut. An empty table gives an empty result. Only the id and text columns
+    are read. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     scratch = Scratch(docs.sparkSession, "pack")
     pieces = scratch.keep(document_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
@@ -206,27 +208,28 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset, bins
 
 
-PACKED = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
+PACKED = "sequence_id long, n_tokens int, n_segments int, id_bytes int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
 
 def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 50256, pad_id: int = 50256, window_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of packed id matrices, ready to be written: one of ``capacity`` ids a sequence.
 
-    ``ids`` and ``position_ids`` are little-endian unsigned integers, 16 bits wide if the capacity and every id fit, else
-    32; past ``n_tokens`` ids are ``pad_id`` and positions 0. Segments are pieces of documents: ``cu_seqlens`` has
+    ``ids`` and ``position_ids`` are little-endian unsigned integers of ``id_bytes`` bytes: two if the capacity and every id
+    of the vocabulary fit, else four, alike in all rows; past ``n_tokens`` ids are ``pad_id`` and positions 0. Segments are pieces of documents: ``cu_seqlens`` has
     their bounds, positions start anew at each, and (doc_ids, pieces, starts) tell where each comes from, so the
     documents can be put together again without loss. Every task packs what it reads in windows of about
     ``window_tokens``: no shuffle, bounded memory, at most one poorly filled sequence a window. Null and empty texts
-    are ``end_id`` alone; repeated rows are packed each; an empty table gives no row. Other columns are not read.
+    are ``end_id`` alone; a null id stays null; pieces of one length keep the order they are read in; repeated rows are
+    packed each; an empty table gives no row. Other columns are not read.
     """
-    wide = max(end_id, pad_id, capacity) > 0xFFFF
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        encode = encoder(tokenizer_path).encode
-        held: list[tuple[np.ndarray, ...]] = []
+        held_encoder = encoder(tokenizer_path)
+        encode, wide = held_encoder.encode, max(end_id, pad_id, capacity, held_encoder.largest) > 0xFFFF
+        held: list[tuple] = []
         tokens = done = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -234,11 +237,12 @@ def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             if not held:
                 return
             ids = np.concatenate([h[0] for h in held])
-            doc, piece, start, length = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
+            doc = pa.concat_arrays([h[1] for h in held])
+            piece, start, length = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
             begin = np.cumsum(length) - length
             bin_of, offset, bins = best_fit_decreasing(length, capacity)
             order = np.lexsort((offset, bin_of))
-            kind = "<u4" if wide or (len(ids) and ids.max() > 0xFFFF) else "<u2"
+            kind = "<u4" if wide else "<u2"
             matrix = np.full(bins * capacity, pad_id, kind)
             places = np.zeros(bins * capacity, kind)
             to = gather(bin_of * capacity + offset, length)
@@ -259,30 +263,30 @@ def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                         pa.array(base + done + np.arange(a, b)),
                         pa.array(fill[a:b], pa.int32()),
                         pa.array(segments[a:b], pa.int32()),
-                        pa.ListArray.from_arrays(listed, pa.array(doc[at], pa.int64())),
+                        pa.array([4 if wide else 2] * (b - a), pa.int32()),
+                        pa.ListArray.from_arrays(listed, doc.take(pa.array(at))),
                         pa.ListArray.from_arrays(listed, pa.array(piece[at], pa.int32())),
                         pa.ListArray.from_arrays(listed, pa.array(start[at], pa.int64())),
                         pa.ListArray.from_arrays(limits, pa.array(bounds[cuts[a] + a : cuts[b] + b], pa.int32())),
                         pa.array([matrix[i * capacity : (i + 1) * capacity].tobytes() for i in range(a, b)], pa.binary()),
                         pa.array([places[i * capacity : (i + 1) * capacity].tobytes() for i in range(a, b)], pa.binary()),
                     ],
-                    ["sequence_id", "n_tokens", "n_segments", "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "position_ids"],
+                    ["sequence_id", "n_tokens", "n_segments", "id_bytes", "doc_ids", "pieces", "starts", "cu_seqlens", "ids", "position_ids"],
                 )
             held, tokens, done = [], 0, done + bins
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in text_slices(batch.column(1)):
                 ids, at = with_end(*encode(data, offsets), end_id)
                 doc, piece, start, length = cut_pieces(np.diff(at), capacity)
-                held.append((ids, keys[a:b][doc], piece, start, length))
+                held.append((ids, batch.column(0).slice(a, b - a).take(pa.array(doc)), piece, start, length))
                 tokens += len(ids)
                 if tokens >= window_tokens:
                     yield from flush()
         yield from flush()
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PACKED)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -294,7 +298,7 @@ def unpack(rows, capacity: int) -> dict[int, list[int]]:
     """Documents' ids from collected rows of packed_matrices; for tests and small readers."""
     parts: dict[int, list[tuple[int, list[int]]]] = {}
     for r in rows:
-        ids = np.frombuffer(bytes(r["ids"]), "<u2" if len(r["ids"]) == 2 * capacity else "<u4")
+        ids = np.frombuffer(bytes(r["ids"]), f"<u{r['id_bytes']}")
         for k, doc in enumerate(r["doc_ids"]):
             parts.setdefault(doc, []).append((r["starts"][k], ids[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()))
     return {d: [i for _, x in sorted(p) for i in x] for d, p in parts.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gather, run_hashes, text_slices
+from .common import gather, small_batches, text_slices
 from .tokens import Lookup
 
 #: U+2581, which stands for a space in pieces.
@@ -18,6 +19,8 @@ MARK = "▁"
 #: Kinds of pieces in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMORY = 400_000
+#: Words of more symbols than this are merged rank by rank, all occurrences of a rank at once.
+LONG_WORD = 256
 
 
 def read_model(path: str) -> dict:
@@ -93,7 +96,7 @@ class PieceModel:
         self.is_byte = kinds == BYTE
         # bytes below 0x80 are characters by themselves (a space might be taken for the mark in front): nothing to look into
         self.is_odd = np.array([k == BYTE and (x[0] >= 0x80 or x == b" ") for k, x in zip(kinds, out, strict=True)])
-        self.known = Lookup()
+        self.known = Lookup(MEMORY)
 
     def _symbol(self, text: str, normal: dict[str, int]) -> int | None:
         """A piece's id; of a single character that is no piece, a number above all ids."""
@@ -130,6 +133,8 @@ class PieceModel:
         done_word: list[np.ndarray] = []
         word = np.arange(len(sizes))
         symbols, sizes = symbols.astype(np.int64), sizes.astype(np.int64)
+        if not len(sizes):
+            return symbols, sizes
         ends = np.cumsum(sizes)
         value = np.full(len(symbols), self.NONE, np.int64)  # of the pair that begins at a symbol; a word's last has none
         if len(symbols) > 1:
@@ -168,13 +173,106 @@ class PieceModel:
         begin = np.cumsum(size) - size
         return flat[gather(begin[order], size[order])], size[order]
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Merges one long word: the pairs of the best rank, leftmost first, all at once where that changes nothing.
+
+        Merging them one after the other would differ only if a merge made a pair of an equal or better rank, which
+        would have to go first. Each round looks at the pairs it makes, those between merges included; from the first
+        merge that makes such a pair on, what is left of the round waits for its turn. Symbols are linked to their
+        neighbours and never moved, so a round costs what it merges; ranks wait in a heap, each with its places.
+        """
+        symbols = symbols.astype(np.int64)
+        n = len(symbols)
+        before, after = np.arange(-1, n - 1), np.append(np.arange(1, n), -1)
+        value = np.append(self._pair(symbols[:-1], symbols[1:]), self.NONE)  # of the pair that begins at a symbol
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[value[at] < self.NONE]
+            if not len(at):
+                return
+            ranks = value[at] >> 20
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.concatenate([[0], np.flatnonzero(ranks[1:] != ranks[:-1]) + 1, [len(at)]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                r = int(ranks[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(at[a:b])
+
+        def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            """Values of the pairs (symbol, symbol); -1 stands for no symbol."""
+            out = np.full(len(left), self.NONE, np.int64)
+            ok = (left >= 0) & (right >= 0)
+            out[ok] = self._pair(left[ok], right[ok])
+            return out
+
+        def symbol(at: np.ndarray) -> np.ndarray:
+            return np.where(at >= 0, symbols[at], -1)
+
+        wait(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            spots = np.unique(np.concatenate(waiting.pop(rank)))
+            spots = spots[value[spots] >> 20 == rank]  # those that still stand
+            if not len(spots):
+                continue
+            # of pairs that share a symbol the leftmost goes first: in a chain of them every second one
+            chained = np.zeros(len(spots), bool)
+            chained[1:] = after[spots[:-1]] == spots[1:]
+            head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(spots))))
+            take = spots[(np.arange(len(spots)) - head) % 2 == 0]
+            made = value[take] & 0xFFFFF
+            left, second = before[take], after[take]
+            right = after[second]
+            # pairs that come up as merges go on from left to right: the symbol before is merged by then, the one behind isn't yet
+            merged_left = np.zeros(len(take), bool)
+            merged_left[1:] = left[1:] == second[:-1]
+            lefts = symbol(left)
+            lefts[1:][merged_left[1:]] = made[:-1][merged_left[1:]]
+            new_left, new_right = pair(lefts, made), pair(made, symbol(right))
+            early = (np.minimum(new_left, new_right) >> 20) <= rank
+            upto = len(take)
+            if early.any():
+                upto = int(early.argmax()) + 1
+                rest = spots[spots > take[upto - 1]]
+                take, made, left, second, right = take[:upto], made[:upto], left[:upto], second[:upto], right[:upto]
+            else:
+                rest = spots[:0]
+            symbols[take] = made
+            value[second] = self.NONE
+            symbols[second] = -1
+            after[take] = right
+            before[right[right >= 0]] = take[right >= 0]
+            # neighbours may be merged ones themselves: read them anew
+            left = before[take]
+            now = np.unique(np.concatenate([take, left[left >= 0]]))
+            value[now] = pair(symbols[now], symbol(after[now]))
+            wait(now)
+            if len(rest):
+                wait(rest)
+        return symbols[symbols >= 0]
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of distinct words (marks in place)."""
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.char_id[codes].astype(np.int64)
         symbols = np.where(ids >= 0, ids, self.size + codes.astype(np.int64))
-        symbols, sizes = self.merge(symbols, sizes)
+        long = np.flatnonzero(sizes > LONG_WORD)
+        if len(long):
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            apart = {int(i): self.merge_long(symbols[bounds[i] : bounds[i + 1]]) for i in long}
+            short = sizes <= LONG_WORD
+            flat, size = self.merge(symbols[np.repeat(short, sizes)], sizes[short])
+            cuts, next_ = np.concatenate([[0], np.cumsum(size)]), np.cumsum(short) - 1
+            parts = [apart[i] if i in apart else flat[cuts[next_[i]] : cuts[next_[i] + 1]] for i in range(len(sizes))]
+            symbols, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        else:
+            symbols, sizes = self.merge(symbols, sizes)
         alone = np.flatnonzero(symbols >= self.size)  # a character that is no piece: its bytes
         if not len(alone):
             return symbols, sizes
@@ -210,21 +308,14 @@ class PieceModel:
         first = np.zeros(n, bool)
         first[full] = True
         lead = first[starts]  # gets a mark in front
-        hashes = run_hashes(data, starts, ends) ^ np.where(lead, np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0))
-        distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-        new = self.known.missing(distinct)
-        if len(self.known.hashes) + int(new.sum()) > MEMORY:
-            self.known.clear()
-            new[:] = True
-        if new.any():
-            raw, pick = data.tobytes(), at[new]
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            words = [(MARK + w if f else w).replace(" ", MARK) for w, f in zip(words, lead[pick].tolist(), strict=True)]
-            ids, sizes = self._words(words)
-            self.known.add(distinct[new], sizes, ids.astype(np.uint32))
-        where, size = self.known.find(distinct)
-        where, size = where[place], size[place]
-        ids = self.known.ids[gather(where, size)].astype(np.int64)
+        raw = data.tobytes()
+
+        def make(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+            return self._words([(MARK + w if f else w).replace(" ", MARK) for w, f in zip(words, lead[rows].tolist(), strict=True)])
+
+        ids, size = self.known.resolve(data, starts, ends, np.where(lead, np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0)), make)
+        ids = ids.astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(size)])
         return ids, sums[np.searchsorted(starts, offsets)]
 
@@ -296,7 +387,8 @@ def digest_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``.
 
     Null texts are empty: begin and end id alone. Repeated rows are encoded each; an empty table gives an empty
-    result; only the id and text columns are read. No shuffle; slices of a batch bound the memory.
+    result; only the id and text columns are read. No shuffle; slices of a batch bound the memory, and a longer text
+    is a slice alone. Words of any length are merged whole.
     """
     return _mapped(docs, model_path, id_col, text_col, True)
 
@@ -325,6 +417,6 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, digest
                     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(full, pa.int32()))
                     yield pa.RecordBatch.from_arrays([key, lists, pa.array([t.decode() for t in texts])], ["doc_id", "ids", "decoded"])
 
-    bounded_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string")

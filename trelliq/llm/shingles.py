@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gather, mix, run_hashes, text_slices
+from .common import Scratch, gather, mix, run_hashes, small_batches, text_slices
 from .graph import components
 
 log = logging.getLogger(__name__)
@@ -373,6 +373,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     are not read. A very long text is a set like any other: memory grows with the text, some 60 bytes a byte.
     """
     scratch = Scratch(docs.sparkSession, "shingles")
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

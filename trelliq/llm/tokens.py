@@ -10,6 +10,8 @@ from .common import gather, run_hashes
 
 #: Distinct chunks that a worker remembers from batch to batch; beyond it the memory starts anew (results don't change).
 MEMORY = 600_000
+#: Bytes of chunks that a worker remembers.
+MEMORY_BYTES = 64 << 20
 
 
 def _classes() -> np.ndarray:
@@ -52,33 +54,71 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Ids of byte runs by the runs' hashes: sorted hashes and ragged ids, grown batch by batch."""
+    """Ids of byte runs, remembered from batch to batch. Runs are found by their hashes and held against the bytes they stand for."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def missing(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] != hashes
-
-    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        #: Of each run: where its ids and its bytes are.
+        self.starts, self.sizes, self.raw_starts, self.raw_sizes = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
-        self.hashes, self.starts, self.sizes = every[order], starts[order], np.concatenate([self.sizes, sizes])[order]
+        self.hashes = every[order]
+        new = {"starts": len(self.ids) + np.cumsum(sizes) - sizes, "sizes": sizes, "raw_starts": len(self.raw) + np.cumsum(length) - length, "raw_sizes": length}
+        for name, more in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), more])[order])
         self.ids = np.concatenate([self.ids, ids])
+        self.raw = np.concatenate([self.raw, data[gather(begin, length)]])
+
+    def resolve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | None, make) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of all runs, one after the other. The runs cover ``data``, in order.
+
+        ``make(rows)`` gives the flat ids and sizes of the runs ``rows``. ``salt`` tells equal runs apart that have
+        different ids. A run whose hash is that of other bytes is made by itself.
+        """
+        hashes = run_hashes(data, starts, ends)
+        if salt is not None:
+            hashes ^= salt
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+
+        def missing() -> np.ndarray:
+            if not len(self.hashes):
+                return np.ones(len(distinct), bool)
+            return self.hashes[np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)] != distinct
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.hashes, hashes)
-        return self.starts[at], self.sizes[at]
+        new = missing()
+        if len(self.hashes) + int(new.sum()) > self.most or len(self.raw) > MEMORY_BYTES:
+            self.clear()
+            new[:] = True
+        if new.any():
+            pick = first[new]
+            ids, sizes = make(pick)
+            self._add(distinct[new], sizes, ids.astype(np.uint32), data, starts[pick], (ends - starts)[pick])
+        at = np.searchsorted(self.hashes, distinct)[place]
+        where, size, length = self.starts[at], self.sizes[at], ends - starts
+        odd = self.raw_sizes[at] != length
+        if odd.any():
+            fits, same = np.flatnonzero(~odd), np.zeros(len(data), bool)
+            cover = gather(starts[fits], length[fits])
+            same[cover] = self.raw[gather(self.raw_starts[at[fits]], length[fits])] == data[cover]
+        else:
+            same = self.raw[gather(self.raw_starts[at], length)] == data
+        if len(starts):
+            odd |= ~np.logical_and.reduceat(same, starts)
+        held = self.ids
+        if odd.any():
+            rows = np.flatnonzero(odd)
+            ids, sizes = make(rows)
+            where, size = where.copy(), size.copy()
+            where[rows], size[rows] = len(held) + np.cumsum(sizes) - sizes, sizes
+            held = np.concatenate([held, ids.astype(np.uint32)])
+        return held[gather(where, size)], size
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -111,29 +151,22 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
         self.special = {*special}
-        self.known = Lookup()
+        self.largest = max([*ranks.values(), *special.values()])
+        self.known = Lookup(MEMORY)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids) of texts given as UTF-8 bytes and offsets."""
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        hashes = run_hashes(data, starts, ends)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        new = self.known.missing(distinct)
-        if len(self.known.hashes) + int(new.sum()) > MEMORY:
-            self.known.clear()
-            new[:] = True
-        if new.any():
-            raw = data.tobytes()
-            pick = first[new]
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+        raw = data.tobytes()
+
+        def make(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             core, special = self.core.encode, self.special
-            got = [core(w, special) for w in words]
+            got = [core(raw[a:b].decode("utf-8", "replace"), special) for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.known.add(distinct[new], sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
-        at, size = self.known.find(distinct)
-        at, size = at[place], size[place]
-        ids = self.known.ids[gather(at, size)]
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+        ids, size = self.known.resolve(data, starts, ends, None, make)
         sums = np.concatenate([[0], np.cumsum(size)])
         return ids, sums[np.searchsorted(starts, offsets)]
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: (verdict, host, path prefix); the longest rule that fits wins.
 RULES = (
     ("allow", "com", "/"),
@@ -23,12 +25,11 @@ RULES = (
 #: One URL in so many of the rule-labelled ones is kept from the models and calibrates the threshold.
 HELD_OUT = 5
 ORDER = 4
-#: Words of hosts that are rejected whatever rules say of other hosts; each counts as SEED_WEIGHT rejected URLs.
-SEEDS = ("adult", "bet", "casino", "farm", "gambling", "porn", "poker", "sex", "spam", "viagra", "win", "xxx")
-SEED_WEIGHT = 60
 #: Pseudo-count of the next shorter context's estimate.
 BACKOFF = 4.0
 BINS = 400
+#: Distinct grams whose ratios are broadcast at most: some 30 MB.
+BROADCAST_GRAMS = 300_000
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -44,6 +45,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(_ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def whole(url: Column) -> Column:
+    """What the models read: all of the URL behind the first ``://``, with the host in lower case."""
+    rest = F.substr(url, F.locate("://", url) + F.lit(3))
+    return F.when(F.locate("://", url) > 0, F.concat(_ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_replace(rest, r"^[^/?#]*", ""))).otherwise(F.lit(""))
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits (host and path together; between equals the smaller text) and its verdict; null if none."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -58,37 +65,37 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     padded = F.concat(F.lit("\u0002" * (order - 1)), F.col("_u"), F.lit("\u0003"))
     n = F.length("_u") + 1
     spots = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(padded, i, F.lit(order)))
-    return urls.withColumn("gram", F.explode(spots)).drop("_u")
+    return urls.withColumn("gram", F.explode(spots))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """Host, path, rule and verdict of every row of ``pages``.
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER) -> DataFrame:
+    """Host, path, rule, verdict and score of every row of ``pages``.
 
-    A rule's verdict holds; else the model's. A null URL or one without ``://`` has empty host and path, no rule, and
-    is judged as an empty URL is. Without rule-labelled URLs of either kind both models are uniform and all such rows
-    are allowed. Repeated rows are judged alike. Only the id and URL columns are read.
+    A rule's verdict holds; else the model's, which reads the whole URL and learns from nothing but the rules' verdicts
+    on other URLs of the table. A null URL or one without ``://`` has empty host and path, no rule, and is judged as an
+    empty URL is. Without rule-labelled URLs of either kind both models are uniform and all such rows are allowed.
+    Repeated rows and URLs are counted once in the models and judged alike; a score at the threshold is allowed. A very
+    long URL is a row a character. Only the id and URL columns are read; an empty table gives an empty result.
     """
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("_url"))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")).select("page_id", host.alias("host"), path.alias("path"), F.coalesce(whole(F.col("_url")), F.lit("")).alias("_u"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_ruled"))
-    # equal host and path are one URL to the models and are scored once
-    urls = base.groupBy("host", "path").agg(F.first("_ruled").alias("_ruled")).withColumn("_u", F.concat("host", "path"))
-    urls = urls.withColumn("_key", F.xxhash64("host", "path"))
-    grams = _grams(urls.select("_key", "_ruled", "_u"), order)
+    base = base.select("page_id", "host", "path", "_u", rule.alias("rule"), verdict.alias("_ruled"))
+    # equal URLs are one to the models and are scored once
+    urls = base.groupBy("_u").agg(F.first("_ruled").alias("_ruled")).withColumn("_key", F.xxhash64("_u"))
     seen = F.when(F.pmod("_key", F.lit(HELD_OUT)) != 0, F.col("_ruled"))
     good, bad = (F.sum(F.when(seen == v, 1).otherwise(0)) for v in ("allow", "block"))
-    full = grams.groupBy("gram").agg(good.alias("g"), bad.alias("b"))
-    if seeds:
-        words = pages.sparkSession.createDataFrame([(w,) for w in seeds], "_u string")
-        extra = _grams(words, order).groupBy("gram").agg(F.lit(0).cast("long").alias("g"), (F.count("*") * SEED_WEIGHT).alias("b"))
-        full = full.unionByName(extra).groupBy("gram").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-    ratio = _ratios(full, order)
+    grams = _grams(urls.select("_key", "_ruled", "_u"), order)
+    full = scratch.keep(grams.groupBy("gram").agg(good.alias("g"), bad.alias("b")), "grams")
+    ratio = scratch.keep(_ratios(full, order), "ratios")
+    if full.count() <= BROADCAST_GRAMS:
+        ratio = F.broadcast(ratio)
     # a URL's score needs its grams' ratios only: one join on the gram, summed per URL on the map side
-    scores = grams.join(ratio, "gram").groupBy("_key").agg(F.avg("ratio").alias("_score"), F.first("_ruled").alias("_r"))
-    cut = _threshold(scores)
-    scored = base.join(urls.select("host", "path", "_key").join(scores.select("_key", "_score"), "_key"), ["host", "path"], "left").crossJoin(F.broadcast(cut))
-    model = F.when(F.col("_score") < F.col("_cut"), F.lit("block")).otherwise(F.lit("allow"))
+    scores = scratch.keep(grams.join(ratio, "gram").groupBy("_key", "_u").agg(F.avg("ratio").alias("_score"), F.first("_ruled").alias("_r")), "scores")
+    cut = _threshold(scores).first()["_cut"]  # one number
+    scored = base.join(scores.select("_u", "_score"), "_u", "left")
+    model = F.when(F.col("_score") < F.lit(cut), F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_ruled", model).alias("verdict"), F.col("_score").alias("score"))
 
 
@@ -129,5 +136,3 @@ def _threshold(scores: DataFrame) -> DataFrame:
     )
     best = edges.filter("gain is not null").agg(F.max(F.struct("gain", -F.abs("edge"), "edge")).alias("m"))
     return best.select(F.coalesce(F.col("m.edge"), F.lit(0.0)).alias("_cut"))
-
-
