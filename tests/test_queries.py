@@ -6,7 +6,7 @@ from trelliq import queries as core
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
 #: A few of each group; the driver compares all.
-SOME = ["map_graph_set", "map_object_assoc", "map_rule_stats", "map_row_exists_trap", "samp_fk_closure", "prof_value_profile", "ret_bm25", "ret_levenshtein", "sparql_optional", "sparql_bgp3", "eval_self_consistency", "eval_retrieval_rollup", "val_coverage_issues", "val_legal_plans", "rep_failure_modes"]
+SOME = ["map_graph_set", "map_object_assoc", "map_rule_stats", "map_row_exists_trap", "samp_fk_closure", "prof_value_profile", "ret_bm25", "ret_levenshtein", "sparql_optional", "sparql_bgp3", "eval_self_consistency", "eval_retrieval_rollup", "val_emission_issues", "val_legal_plans", "val_pattern_compile", "val_portfolio_select", "val_attr_coverage", "prof_patterns", "sparql_path_closure", "eval_failure_category", "rep_compare", "rep_failure_modes"]
 
 
 def plain(v):

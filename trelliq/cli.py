@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import decisions, reporting, retrieval, sampling
+from .operators import decisions, markdown, reporting, retrieval, sampling
 from .plans.compiler import Match, compile_rules
 from .plans.graphquery import graph_query
 from .plans.materialize import RulePlanner
-from .scenario import Scenario, load
+from .scenario import Scenario, arguments, load, read_config
 from .sources import files
+from .sources.rdfxml import is_rdfxml, parse_rdfxml
 from .sources.turtle import ontology_records, parse_turtle, triples_frame
 
 
@@ -31,7 +32,8 @@ def source_records(spark: SparkSession, s: Scenario) -> DataFrame:
 
 
 def target_records(spark: SparkSession, s: Scenario) -> DataFrame:
-    facts = triples_frame(spark, parse_turtle(s.ontology.read_text(encoding="utf-8")))
+    text_ = s.ontology.read_text(encoding="utf-8")
+    facts = triples_frame(spark, parse_rdfxml(text_) if is_rdfxml(text_) else parse_turtle(text_))
     return ontology_records(facts).withColumn("text", F.concat_ws(" ", "kind", "local_name", "label", "comment"))
 
 
@@ -69,12 +71,23 @@ def evaluate(spark: SparkSession, s: Scenario, triples: DataFrame) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="trelliq", description=__doc__)
     parser.add_argument("command", choices=["devset", "verbalize", "retrieve", "match", "fol", "materialize", "evaluate", "run", "summarize"])
-    parser.add_argument("--scenario", required=True)
-    parser.add_argument("--work", required=True)
+    parser.add_argument("--config", help="a YAML file with settings; its scenarios are run one after the other")
+    parser.add_argument("--scenario", help="a scenario's folder; with --config the name of one of its scenarios")
+    parser.add_argument("--work")
+    parser.add_argument("--reports", action="store_true", help="write Markdown reports as well")
+    parser.add_argument("--dry-run", action="store_true", help="print what a configuration would run")
     parser.add_argument("--top-k", type=int, default=16)
     parser.add_argument("--fraction", type=float, default=0.1)
     parser.add_argument("--seed", default="sample-v1")
     args = parser.parse_args(argv)
+    if args.config:
+        for line in arguments(read_config(args.config), args.command, args.scenario):
+            print("trelliq", *line)
+            if not args.dry_run:
+                main(line)
+        return
+    if not args.scenario or not args.work:
+        parser.error("--scenario and --work are needed without --config")
     spark = SparkSession.builder.getOrCreate()
     s, work = load(spark, args.scenario), Path(args.work)
     put = lambda df, name: df.write.mode("overwrite").parquet(str(work / name))
@@ -86,6 +99,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.command in ("verbalize", "run"):
         put(source_records(spark, s), "source_records")
         put(target_records(spark, s), "target_records")
+        if args.reports:
+            markdown.write(markdown.records(source_records(spark, s).select("kind", F.col("name").alias("local_name"), "text")), work / "source_records.md")
+            markdown.write(markdown.records(target_records(spark, s)), work / "target_records.md")
     if args.command in ("retrieve", "run"):
         put(candidates(spark, s, args.top_k), "candidates")
     if args.command in ("match", "run"):
@@ -101,8 +117,16 @@ def main(argv: list[str] | None = None) -> None:
         files.write_n_triples(spark.read.parquet(str(work / "triples")), str(work / "graph.nt"))
     if args.command in ("evaluate", "run"):
         put(evaluate(spark, s, spark.read.parquet(str(work / "triples"))), "metrics")
+        if args.reports:
+            scores = spark.read.parquet(str(work / "metrics"))
+            mean = scores.agg(F.avg("f1")).first()[0]
+            failed = scores.filter("f1 < 1").select(F.col("query_id").alias("id"), F.col("query_id").alias("name"), "f1", F.col("n_reference").alias("sql_rows"), F.col("n_answer").alias("graph_rows"), reporting.likely_cause(F.col("n_reference"), F.col("n_answer")).alias("cause"))
+            markdown.write(markdown.scenario(s.name, {"F1": mean, "facts": spark.read.parquet(str(work / "triples")).count()}, failed), work / "report.md")
     if args.command == "summarize":
-        put(reporting.summary(spark.read.parquet(str(work / "ledger"))), "summary")
+        made = reporting.summary(spark.read.parquet(str(work / "ledger")))
+        put(made, "summary")
+        if args.reports:
+            markdown.write(markdown.summary(made), work / "summary.md")
 
 
 if __name__ == "__main__":

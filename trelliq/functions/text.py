@@ -123,3 +123,65 @@ def stable_integer(parts: list[Column]) -> Column:
 
 def stable_keep(seed: str, table: str, key: list[Column], fraction: float) -> Column:
     return stable_integer([F.lit(seed), F.lit(table), *key]) / F.lit(float((1 << 48) - 1)) < fraction
+
+
+# Columns that name things, words of targets that such columns may go to, names of discriminator classes,
+# and words that a request must not hold.
+SEMANTIC_IDS = ("abbrev", "abbreviation", "code", "doi", "email", "isbn", "issn", "paper_id", "paperid", "url")
+SEMANTIC_TARGETS = ("abbrev", "abbreviation", "car", "code", "doi", "email", "isbn", "issn", "url")
+CLASS_ALIASES = {"author_paper_student": "Author_of_paper_student", "program_committee_member": "Program_Committee_member"}
+LEAKING_TERMS = ("expected triple", "false negative", "false positive", "gold", "llm4vkg", "paper score", "qpair", "sparql answer", "sql answer")
+
+
+def semantic_identifier(table: Column, column: Column, target_words: Column) -> Column:
+    """Whether an identifier column may be a literal after all: never ``id``; paper ids for such targets; codes, links and the like."""
+    low, joined = F.lower(column), F.array_join(target_words, "")
+    paper = F.array_contains(word_set(table), "paper") & F.contains(joined, F.lit("paper")) & F.contains(joined, F.lit("id"))
+    named = low.isin(*SEMANTIC_IDS) & F.arrays_overlap(target_words, F.array(*map(F.lit, SEMANTIC_TARGETS)))
+    return (low != "id") & (paper | named)
+
+
+def title_case(name: Column) -> Column:
+    """Words between ``_`` and ``-``, each with a capital first letter, joined by ``_``."""
+    parts = F.filter(F.split(F.translate(name, "-", "_"), "_"), lambda w: w != "")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), "_")
+
+
+def discriminator_classes(column: Column) -> Column:
+    """Names of the classes that a discriminator column may stand for: without ``is_``, or in title case; authors and students also in general."""
+    low = F.lower(column)
+    alias = F.create_map(*[F.lit(x) for pair in CLASS_ALIASES.items() for x in pair])[low]
+    name = F.when(low.startswith("is_"), F.substr(column, F.lit(4))).otherwise(F.coalesce(alias, title_case(column)))
+    flat = F.translate(F.lower(name), "-", "_")
+    none = F.array().cast("array<string>")
+    author = F.when(flat.startswith("author_of_paper"), F.array(F.lit("Author_of_paper"), F.lit("Author"))).otherwise(none)
+    student = F.when(flat.endswith("_student") | (flat == "student"), F.array(F.lit("Student"))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(name), author, student))
+
+
+def kind_allows(kind: Column, wanted: str) -> Column:
+    """Whether a target of some declared kind may be used as a class, data or object target; properties without more may be either."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    if wanted == "class":
+        return F.contains(low, F.lit("class")) | (low == "")
+    if wanted not in ("data", "object"):
+        return F.lit(False)
+    return F.contains(low, F.lit(wanted)) | low.isin("property", "rdf_property", "")
+
+
+def leaks(request: Column) -> Column:
+    """Whether a request holds a word that it must not."""
+    low = F.lower(request)
+    out = F.lit(False)
+    for term in LEAKING_TERMS:
+        out = out | F.contains(low, F.lit(term))
+    return out
+
+
+def json_body(answer: Column) -> Column:
+    """The JSON of an answer: without a fence around it, else from the first to the last bracket; null if there is none."""
+    t = F.trim(answer)
+    bare = F.when(t.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\n?[^\S\n]*```[^\n]*$", ""))).otherwise(t)
+    valid = lambda c: F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]")
+    inner = F.regexp_extract(bare, r"(?s)([\[{].*[\]}])", 1)
+    return F.when(valid(bare), bare).when(valid(inner), inner)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept where a lost executor doesn't lose them."""
-    folder = shared_folder(df.sparkSession)
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The rows of ``df``, written once where a lost executor doesn't lose them, and read by what follows. They go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/trelliq-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)

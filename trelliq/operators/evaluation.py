@@ -76,15 +76,57 @@ def top_gap(rankings: DataFrame, source: str) -> DataFrame:
     return two.select(source, F.abs(F.col("a") - F.col("b")).alias("gap"))
 
 
+def best_methods(rows: DataFrame, by: list[str], method: str, score: str, difficult: float = 0.95) -> DataFrame:
+    """Each group's method with the highest score, the first by name between equal ones, and whether even that is below ``difficult``."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), method)
+    best = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return best.select(*by, method, score, (F.col(score) < difficult).alias("difficult"))
+
+
+#: Words of a passage that lead to its documents, and passages that are broadcast at most.
+GRAM, PASSAGES = 5, 20_000
+
+
+def holders(docs: DataFrame, passages: DataFrame, doc: str, item: str, column: str = "text") -> DataFrame:
+    """(item, doc) for each document whose text holds the passage's text somewhere.
+
+    Between spaces inside a passage stand whole words of any text that holds it: its second to sixth word lead to the
+    documents with that run of words, which are then looked into. Passages of fewer than seven words have no such run:
+    a document looks for each of them, while they are few; more than that are an error.
+    """
+    split = passages.select(item, F.col(column).alias("_passage"), F.split(column, " ").alias("_w"))
+    long = split.filter(F.size("_w") >= GRAM + 2).select(item, "_passage", F.xxhash64(F.slice("_w", 2, GRAM)).alias("_k"))
+    short = split.filter(F.size("_w") < GRAM + 2).select(item, "_passage")
+    few, count = short.count(), passages.count()
+    if few > PASSAGES:
+        raise ValueError(f"{few} passages of fewer than {GRAM + 2} words")
+    words = docs.select(doc, F.col(column).alias("_text"), F.split(column, " ").alias("_w"))
+    spots = F.when(F.size("_w") >= GRAM, F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: F.xxhash64(F.slice("_w", i, GRAM))))
+    runs = words.select(doc, F.explode(F.array_distinct(spots)).alias("_k"))
+    met = runs.join(F.broadcast(long) if count <= PASSAGES else long, "_k").select(doc, item, "_passage")
+    found = met.join(docs.select(doc, F.col(column).alias("_text")).distinct(), doc).filter(F.contains("_text", F.col("_passage"))).select(item, doc).distinct()
+    if not few:
+        return found
+    near = words.select(doc, "_text").join(F.broadcast(short), F.contains("_text", F.col("_passage"))).select(item, doc)
+    return found.unionByName(near.distinct())
+
+
 def matching_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Of (predicted, gold, correct, invalid, api_error, confidence): counts, precision, recall, F1, error rate per group."""
+    """Of (predicted, gold, correct, invalid, api_error, confidence): nineteen measures per group.
+
+    candidate_rank and runtime_seconds count where rows have them.
+    """
+    for name in ("candidate_rank", "runtime_seconds"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("double"))
     good = ~F.col("invalid") & ~F.col("api_error")
     has_gold, said = F.col("gold").isNotNull(), F.col("predicted").isNotNull()
     out = rows.groupBy(*by).agg(
         F.count("*").alias("evaluated_sources"), F.count_if(has_gold).alias("gold_mapped_sources"), F.count_if(said & good).alias("predicted_matches"), F.count_if(~said & good).alias("predicted_nulls"),
         F.count_if(has_gold & F.col("correct")).alias("true_positives"), F.count_if(has_gold & said & ~F.col("correct") & good).alias("false_positives"),
-        F.count_if("invalid").alias("invalid_selections"), F.count_if("api_error").alias("api_errors"), F.count_if(F.col("invalid") | F.col("api_error")).alias("_bad"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.count_if(~has_gold).alias("unlabeled_sources"),
+        F.count_if("invalid").alias("invalid_selections"), F.count_if("api_error").alias("api_errors"), F.count_if(F.col("invalid") | F.col("api_error")).alias("_bad"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.avg("candidate_rank").alias("avg_candidate_rank"), F.coalesce(F.sum("runtime_seconds"), F.lit(0.0)).alias("runtime_seconds"), F.count_if(~has_gold).alias("unlabeled_sources"),
     )
+    out = out.withColumns({f"all_source_{n}": F.col(n) for n in ("predicted_matches", "predicted_nulls")})
     out = out.withColumn("false_negatives", F.col("gold_mapped_sources") - F.col("true_positives"))
     out = out.withColumn("precision", ratio(F.col("true_positives"), F.col("true_positives") + F.col("false_positives"))).withColumn("recall", ratio(F.col("true_positives"), F.col("gold_mapped_sources")))
     out = out.withColumn("f1", f1(F.col("precision"), F.col("recall")))

@@ -32,27 +32,34 @@ def identifier_likeness(meta: TableMeta, column: str, near_unique: Column) -> Co
 
 
 def value_profiles(meta: TableMeta, df: DataFrame) -> DataFrame:
-    """A row a column: counts, lengths, distinctness and identifier likeness; null and empty values are none. One scan."""
+    """A row a column: counts, lengths, distinctness and identifier likeness; null and empty values are none.
+
+    One scan: cells become (column, value) pairs that are counted before they move, so a column with few values costs a
+    few rows, and no column's distinct values are shuffled for each other column.
+    """
     names = [c for c in meta.names if c in df.columns]
-    aggs = []
-    for c in names:
-        v = F.col(c).cast("string")
-        good = F.when(v != "", v)
-        aggs += [F.count(good).alias(f"{c}|n"), F.count_distinct(good).alias(f"{c}|d"), F.min(F.length(good)).alias(f"{c}|lo"), F.max(F.length(good)).alias(f"{c}|hi"), F.avg(F.length(good)).alias(f"{c}|mean")]
-    one = df.agg(F.count("*").alias("rows"), *aggs)
-    cols = []
-    for c in names:
-        n, dist = F.col(f"`{c}|n`"), F.col(f"`{c}|d`")
-        ratio = dist / F.greatest(n, F.lit(1))
-        cols.append(
-            F.struct(
-                F.lit(meta.name).alias("table_name"), F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), n.alias("non_null_count"),
-                F.when(F.col("rows") > 0, 1 - n / F.col("rows")).otherwise(1.0).alias("null_rate"), dist.alias("distinct_count"), ratio.alias("distinct_ratio"),
-                F.coalesce(F.col(f"`{c}|lo`"), F.lit(0)).alias("min_text_length"), F.coalesce(F.col(f"`{c}|hi`"), F.lit(0)).alias("max_text_length"), F.coalesce(F.col(f"`{c}|mean`"), F.lit(0.0)).alias("mean_text_length"),
-                identifier_likeness(meta, c, (n > 0) & (ratio > 0.95)).alias("identifier_likeness"),
-            )
-        )
-    return one.select(F.explode(F.array(*cols)).alias("p")).select("p.*")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for i, c in enumerate(names)])).alias("x")).select("x.*")
+    n = F.when(F.col("v").isNotNull(), F.col("n"))
+    per = cells.groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(
+        F.sum("n").alias("row_count"), F.coalesce(F.sum(n), F.lit(0)).alias("non_null_count"), F.count("v").alias("distinct_count"), F.min(F.length("v")).alias("lo"), F.max(F.length("v")).alias("hi"), (F.sum(n * F.length("v")) / F.sum(n)).alias("mean"),
+    )
+    every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, column_name string")  # a row a column
+    out = every.join(per, "i", "left")
+    rows, good, dist = (F.coalesce(c, F.lit(0)) for c in ("row_count", "non_null_count", "distinct_count"))
+    ratio = dist / F.greatest(good, F.lit(1))
+    likeness = F.lit(0.0)
+    for i, c in enumerate(names):
+        likeness = F.when(F.col("i") == i, identifier_likeness(meta, c, (good > 0) & (ratio > 0.95))).otherwise(likeness)
+    return out.select(
+        F.lit(meta.name).alias("table_name"), "column_name", rows.alias("row_count"), good.alias("non_null_count"), F.when(rows > 0, 1 - good / rows).otherwise(1.0).alias("null_rate"), dist.alias("distinct_count"), ratio.alias("distinct_ratio"),
+        F.coalesce("lo", F.lit(0)).alias("min_text_length"), F.coalesce("hi", F.lit(0)).alias("max_text_length"), F.coalesce("mean", F.lit(0.0)).alias("mean_text_length"), likeness.alias("identifier_likeness"),
+    )
+
+
+def fits_target(profiles: DataFrame, identifier_words: Column, text_words: Column) -> DataFrame:
+    """The profiles with ``fits``: an identifier (likeness from 0.7 on) needs a target that names one, a text target needs values of three characters on average."""
+    identifier = F.col("identifier_likeness") >= 0.7
+    return profiles.withColumn("fits", (~identifier | identifier_words) & (~text_words | (F.col("mean_text_length") >= 3)))
 
 
 def name_flags(meta: TableMeta, column: str) -> dict[str, bool]:

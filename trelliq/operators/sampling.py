@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..catalog import Catalog, ForeignKey
 from ..functions import text
 
@@ -53,7 +54,7 @@ def closed_sample(catalog: Catalog, frames: dict[str, DataFrame], fraction: floa
         before = counts
         pull(cyclic)
         for n in cyclic:
-            kept[n] = kept[n].checkpoint() if kept[n].sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else kept[n].cache()
+            kept[n] = cut(kept[n])
         pull([n for n in order if n not in cyclic])
     for n in frames:
         meta = catalog.tables.get(n)

@@ -59,6 +59,50 @@ def schema_issues(rules: list[Rule], catalog: Catalog) -> list[tuple[str, str]]:
     return out
 
 
+def rule_issues(rules: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """(rule_id, issue) of what the schema contradicts, for any number of rules and tables: joins on tables and columns.
+
+    rules: rule_id, kind, source_table, source_column, filter_column, and as arrays source_columns, target_columns,
+    subject_columns, object_columns, with target_table, subject_table, object_table (empty: none). A rule of an unknown
+    table has that issue alone, an object rule with an unknown target table no further one. An issue of columns comes
+    once for each of them.
+    """
+    from .lake import key_lists, with_keys
+
+    c = with_keys(columns, keys)
+    per = c.groupBy("table_name").agg(F.collect_set("column_name").alias("_names"), F.collect_set(F.when(F.col("is_fk"), F.col("column_name"))).alias("_fks"), F.sort_array(F.collect_list(F.when(F.col("is_pk"), F.col("column_name")))).alias("_pk"))
+    r = rules.join(per.withColumnRenamed("table_name", "source_table"), "source_table", "left")
+    for side in ("target", "subject", "object"):
+        r = r.join(per.select(F.col("table_name").alias(f"{side}_table"), F.lit(True).alias(f"_{side}"), *([F.col("_pk").alias("_target_pk")] if side == "target" else [])), f"{side}_table", "left")
+    lists = key_lists(keys).select(F.col("child").alias("source_table"), F.col("parent").alias("target_table"), F.arrays_zip(F.col("key").alias("a"), F.col("ref").alias("b")).alias("_key")).groupBy("source_table", "target_table").agg(F.collect_set("_key").alias("_keys"))
+    r = r.join(lists, ["source_table", "target_table"], "left")
+    known, is_data, is_object = F.col("_names").isNotNull(), F.col("kind") == "data", F.col("kind") == "object"
+    sided = (F.col("subject_table") != "") | (F.col("object_table") != "")
+    grounded_ = known & is_object & F.col("_target").isNotNull()
+    own = F.sort_array(F.arrays_zip(F.col("source_columns").alias("a"), F.when(F.size("target_columns") > 0, F.col("target_columns")).otherwise(F.col("_target_pk")).alias("b")))
+    tests = {
+        "unknown_source_table": ~known,
+        "invalid_row_filter": known & (F.col("kind") == "class") & F.col("filter_column").isNotNull() & ~F.array_contains("_names", F.col("filter_column")),
+        "unknown_source_column": known & is_data & ~F.array_contains("_names", F.col("source_column")),
+        "fk_column_used_as_direct_data_rule": known & is_data & (F.col("subject_table") == "") & F.array_contains("_fks", F.col("source_column")),
+        "unknown_target_table": known & is_object & F.col("_target").isNull(),
+        "unknown_subject_table": grounded_ & (F.col("subject_table") != "") & F.col("_subject").isNull(),
+        "unknown_object_table": grounded_ & (F.col("object_table") != "") & F.col("_object").isNull(),
+        "object_rule_not_supported_by_fk": grounded_ & ~sided & ~F.coalesce(F.array_contains("_keys", own), F.lit(False)),
+    }
+    out = issues(r, ["rule_id"], tests)
+    for side in ("subject", "object"):
+        lost = F.array_except(F.col(f"{side}_columns"), F.col("_names"))
+        out = out.unionByName(r.filter(grounded_ & sided).select("rule_id", F.explode(lost).alias("c")).select("rule_id", F.lit(f"unknown_{side}_columns").alias("issue")))
+    return out
+
+
+def missing_discriminators(matches: DataFrame, rules: DataFrame) -> DataFrame:
+    """Discriminator matches (source_id, target, filter_column) that no class rule has."""
+    have = rules.filter("kind = 'class' AND filter_column IS NOT NULL").select("target", "filter_column").distinct()
+    return matches.join(have, ["target", "filter_column"], "left_anti").select("source_id", F.lit("missing_discriminator_class_rule").alias("issue"))
+
+
 def grounded(rules: DataFrame, columns: DataFrame, targets: DataFrame) -> DataFrame:
     """Rules with a known table, a known column (where one is named) and a known target; an internal id stands for its one URI of the kind."""
     uri = targets.groupBy("kind", "id").agg(F.count_distinct("uri").alias("n"), F.min("uri").alias("uri")).filter("n = 1")
@@ -97,6 +141,12 @@ def _fit(a: Column, b: Column) -> Column:
     return F.when((both == F.size(a)) & (both == F.size(b)), 2).when(both > 0, 1).otherwise(0)
 
 
+def evidence_score(listed: Column, classes: Column) -> Column:
+    """Best fit of any class to any listed name; 1 if either side has none."""
+    each = F.transform(classes, lambda c: side_score(text.word_set(text.local_name(c)), listed, 1))
+    return F.when((F.size(listed) == 0) | (F.size(classes) == 0), 1).otherwise(F.array_max(each))
+
+
 def match_issues(matches: DataFrame, columns: DataFrame) -> DataFrame:
     """Kind mismatches, and keys matched to properties that aren't identifiers."""
     parts = matches.withColumn("table_name", F.regexp_extract("source_id", r"^source-data:([^.]+)\.", 1)).withColumn("column_name", F.regexp_extract("source_id", r"^source-data:[^.]+\.(.+)$", 1))
@@ -132,36 +182,66 @@ def association_reachability(rows: DataFrame, left: tuple[str, DataFrame, str],
     return out.agg(F.count_if(full).alias("nonempty_rows"), F.count_if(a).alias("subject_hits"), F.count_if(b).alias("object_hits"), F.count_if(a & b).alias("both_hits"))
 
 
-def legal_plans(matches: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """(source_id, orientation, plan_id) of object matches over keys: direct and inverse, where domain and range allow.
+def object_plans(matches: DataFrame, keys: DataFrame, classes: DataFrame, roles: DataFrame) -> DataFrame:
+    """Legal ways to emit an object match, where domain and range allow the classes of the tables at the ends.
 
-    matches: source_id, child, columns, domain, range; keys: child, columns, parent; classes: table_name, target.
+    matches: source_id, child, columns, domain, range (arrays); keys: child, key, parent, ref; classes: table_name,
+    target; roles: table_name, role. The matched key itself gives a direct and an inverse way; in a table that is a join
+    table or has another key, each other key gives two ways through the table: with the matched key's table as the
+    subject, and as the object. plan_id is the source, the orientation and the fields as sorted JSON.
     """
-    c = classes.groupBy("table_name").agg(F.collect_set("target").alias("targets"))
-    m = matches.join(keys, ["child", "columns"]).join(c.select(F.col("table_name").alias("child"), F.col("targets").alias("here")), "child", "left").join(c.select(F.col("table_name").alias("parent"), F.col("targets").alias("there")), "parent", "left")
-
-    def fits(listed: str, targets: str) -> Column:
-        none = F.array().cast("array<string>")
-        t = F.coalesce(F.col(targets), none)
-        scores = F.transform(t, lambda x: side_score(text.word_set(text.local_name(x)), F.col(listed), 1))
-        return (F.size(t) == 0) | (F.size(listed) == 0) | (F.array_max(scores) > 0)
-
-    ways = F.array(F.when(fits("domain", "here") & fits("range", "there"), "direct"), F.when(fits("domain", "there") & fits("range", "here"), "inverse"))
-    out = m.select("source_id", "child", "columns", "parent", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("orientation"))
-    plan = F.concat_ws("|", "source_id", "orientation", F.to_json(F.struct("child", "columns", "parent")))
-    return out.withColumn("plan_id", plan)
+    c = classes.groupBy("table_name").agg(F.collect_set("target").alias("t"))
+    k = keys.select("child", F.col("key").alias("columns"), "parent", "ref")
+    m = matches.withColumn("columns", F.sort_array("columns")).join(k, ["child", "columns"])
+    none = F.lit(None).cast("array<string>")
+    way = lambda o, label, a, ak, ar, b, bk, br: F.struct(F.lit(o).alias("orientation"), F.lit(label).alias("confidence_label"), a.alias("subject_table"), ak.alias("subject_columns"), ar.alias("subject_target_columns"), b.alias("object_table"), bk.alias("object_columns"), br.alias("object_target_columns"))
+    col = F.col
+    one = m.select("*", F.explode(F.array(way("direct_fk", "direct_fk", col("child"), none, none, col("parent"), col("columns"), col("ref")), way("inverse_fk", "reverse_fk", col("parent"), col("columns"), col("ref"), col("child"), none, none))).alias("w"))
+    others = k.select("child", F.col("columns").alias("_k"), F.col("parent").alias("_p"), F.col("ref").alias("_r"))
+    bridges = m.join(others, "child").filter(F.col("_k") != F.col("columns")).join(roles.select(F.col("table_name").alias("child")), "child", "left_semi")
+    two = bridges.select(*m.columns, F.explode(F.array(way("join_subject_matched_fk", "join_table", col("parent"), col("columns"), col("ref"), col("_p"), col("_k"), col("_r")), way("join_object_matched_fk", "join_table", col("_p"), col("_k"), col("_r"), col("parent"), col("columns"), col("ref")))).alias("w"))
+    p = one.unionByName(two).select("source_id", F.col("child").alias("source_table"), "domain", "range", "w.*")
+    for side in ("subject", "object"):
+        p = p.join(c.select(F.col("table_name").alias(f"{side}_table"), F.col("t").alias(f"{side}_classes")), f"{side}_table", "left").withColumn(f"{side}_classes", F.coalesce(f"{side}_classes", F.array().cast("array<string>")))
+    p = p.filter((evidence_score(F.col("domain"), F.col("subject_classes")) > 0) & (evidence_score(F.col("range"), F.col("object_classes")) > 0)).drop("domain", "range")
+    fields = F.to_json(F.struct("object_columns", "object_table", "source_table", "subject_columns", "subject_table"))
+    return p.withColumn("plan_id", F.concat_ws("|", "source_id", F.when(F.col("orientation") == "direct_fk", "direct").when(F.col("orientation") == "inverse_fk", "inverse").otherwise(F.col("orientation")), fields))
+
+
+#: Fields in which a rule must agree with its plan.
+PLAN_FIELDS = ("source_table", "subject_table", "subject_columns", "subject_target_columns", "object_table", "object_columns", "object_target_columns")
 
 
 def plan_conformance(rules: DataFrame, plans: DataFrame) -> DataFrame:
-    """Object rules that name no plan, an unknown one, or differ from it, and plans that reach no row."""
-    j = rules.join(plans.select(F.col("plan_id").alias("_id"), F.col("parent").alias("_parent"), F.col("reached").alias("_reached")), F.col("plan_id") == F.col("_id"), "left")
-    tests = {
-        "missing_plan_id": F.col("plan_id").isNull(),
-        "unknown_plan_id": F.col("plan_id").isNotNull() & F.col("_id").isNull(),
-        "target_table_mismatch": F.col("_id").isNotNull() & (F.col("target_table") != F.col("_parent")),
-        "zero_reachability": F.col("_reached") == 0,
-    }
-    return issues(j, ["rule_id"], tests)
+    """(rule_id, issue, field) of object rules without a plan or with an unknown one, of each field that differs from the plan's,
+    and of plans that reach no fact though their table has rows (source_rows, estimated_emissions)."""
+    held = plans.select(F.col("plan_id").alias("_id"), "source_rows", "estimated_emissions", *[F.col(f).alias(f"_{f}") for f in PLAN_FIELDS]).dropDuplicates(["_id"])
+    j = rules.drop("source_rows", "estimated_emissions").join(held, F.col("plan_id") == F.col("_id"), "left")
+    there = F.col("_id").isNotNull()
+    row = lambda issue, field, test: F.when(test, F.struct(F.lit(issue).alias("issue"), F.lit(field).alias("field")))
+    found = [row("missing_object_plan_id", "", F.coalesce("plan_id", F.lit("")) == ""), row("unknown_object_plan_id", "", (F.coalesce("plan_id", F.lit("")) != "") & ~there)]
+    found += [row("object_rule_does_not_match_plan", f, there & ~F.col(f).eqNullSafe(F.col(f"_{f}"))) for f in PLAN_FIELDS]
+    found.append(row("object_plan_zero_reachability", "", there & (F.col("source_rows") > 0) & (F.col("estimated_emissions") == 0)))
+    return j.select("rule_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("rule_id", "x.*")
+
+
+def mapping_diagnostics(matches: DataFrame, rules: DataFrame, column_roles: DataFrame, table_roles: DataFrame) -> DataFrame:
+    """One row of eight counters of selected matches and rules."""
+    m = matches.filter("target IS NOT NULL")
+    ids = column_roles.filter("generic_identifier").select(F.concat(F.lit("source-data:"), "table_name", F.lit("."), "column_name").alias("source_id"), F.lit(1).alias("_g")).distinct()
+    joins = table_roles.filter("role = 'join_table'").select(F.concat(F.lit("source-class:"), "table_name").alias("source_id"), F.lit(1).alias("_j"))
+    one = m.join(ids, "source_id", "left").join(joins, "source_id", "left").agg(
+        F.count("*").alias("selected_matches"), F.count_if(~F.col("target").rlike("^(https?://|urn:)")).alias("invalid_target_uri_count"), F.count_if(F.col("target").startswith("n")).alias("anonymous_target_count"),
+        F.count("_g").alias("generic_id_data_matches"), F.count("_j").alias("join_table_class_matches"),
+    )
+    return one.join(rules.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_rules") for k in ("class", "data", "object")]))  # one row each
+
+
+def usage_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """key, before, after: how many rules read what, where that changed."""
+    count = lambda df, n: df.groupBy(*key).agg(F.count("*").alias(n))
+    both = count(before, "before").join(count(after, "after"), key, "full_outer").select(*key, *[F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")])
+    return both.filter("before <> after")
 
 
 def rules_for_matches(matches: DataFrame, rules: DataFrame) -> DataFrame:
@@ -171,28 +251,6 @@ def rules_for_matches(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return by_target.unionByName(by_id).distinct()
 
 
-def uncovered(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    """Data matches that no data rule supports, by id or by table, column and target."""
-    data = matches.filter(F.col("source_id").startswith("source-data:") & F.col("target").isNotNull())
-    r = rules.filter("kind = 'data'")
-    named = r.select(F.explode("match_ids").alias("source_id")).distinct()
-    same = r.select(F.concat(F.lit("source-data:"), "source_table", F.lit("."), "source_column").alias("source_id"), "target").distinct()
-    return data.join(named, "source_id", "left_anti").join(same, ["source_id", "target"], "left_anti").select("source_id", F.lit("selected_match_without_rule").alias("issue"))
-
-
-def coverage_issues(matches: DataFrame, counts: DataFrame, summary: DataFrame) -> DataFrame:
-    """Matches whose facts are missing or too many: none at all, none though texts are there, more than max(20, 3 x non-empty)."""
-    j = matches.join(counts, matches["target"] == counts["iri"], "left").join(summary, ["table_name", "column_name"], "left")
-    n, rows = F.coalesce("triples", F.lit(0)), F.coalesce("non_empty_count", F.lit(0))
-    tests = {
-        "zero_emission": n == 0,
-        "text_values_missing": (n == 0) & (rows > 0) & (F.col("identifier_like_rate") < 0.5),
-        "identifier_like_text": (F.col("identifier_like_rate") >= 0.8) & F.lower("column_name").rlike("name|title|text|comment"),
-        "overbroad_emission": n > F.greatest(F.lit(20), 3 * rows),
-    }
-    return issues(j, ["source_id"], tests)
-
-
 def vector_issues(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     from ..functions.vectors import vector_issue
 
@@ -263,26 +321,3 @@ def overlay(before: DataFrame, after: DataFrame, limit: float = 0.02) -> DataFra
     ratio = coverage_diff(before, after).select("drop_ratio")
     kept = before.join(after.select("target").distinct(), "target", "left_anti").crossJoin(F.broadcast(ratio)).filter(F.col("drop_ratio") > limit).drop("drop_ratio")  # one row
     return after.unionByName(kept)
-
-
-def apply_repairs(rules: DataFrame, actions: DataFrame) -> DataFrame:
-    """Replaced, then dropped, then added rules. rules: kind, position, rule; actions: action, kind, position, rule."""
-    put = actions.filter("action = 'replace'").select("kind", "position", F.col("rule").alias("_new"))
-    out = rules.join(put, ["kind", "position"], "left").select("kind", "position", F.coalesce("_new", "rule").alias("rule"))
-    out = out.join(actions.filter("action = 'drop'").select("kind", "position"), ["kind", "position"], "left_anti")
-    return out.unionByName(actions.filter("action = 'add'").select("kind", F.lit(None).cast("int").alias("position"), "rule"))
-
-
-def accept_repair(rows: DataFrame) -> DataFrame:
-    """A repair is taken if it leaves fewer issues, no new kind of them, no fewer rules and targets, and no invalid fact."""
-    good = (F.col("issues_after") < F.col("issues_before")) & (F.col("new_kinds") == 0) & (F.col("rules_after") >= F.col("rules_before")) & (F.col("targets_after") >= F.col("targets_before")) & (F.col("invalid_after") == 0)
-    return rows.select("case_id", good.alias("accepted"))
-
-
-def portfolio(candidates: DataFrame, arms: list[str]) -> DataFrame:
-    """The best of candidate runs per scenario: rejected ones last, then issues, zero rules, distance to the median of facts in steps of 5%, selected matches, arm order."""
-    mid = candidates.groupBy("scenario").agg(F.bround(F.percentile("triples", 0.5)).alias("median"))
-    rejected = (F.col("triples") == 0) | (F.col("invalid") > 0) | (F.col("status") != "success")
-    bucket = F.floor(F.abs(F.col("triples") - F.col("median")) / F.greatest(F.col("median") * 0.05, F.lit(1.0)))
-    order = F.struct(rejected.cast("int"), "issues", "zero_rules", bucket, -F.col("selected"), F.array_position(F.array(*map(F.lit, arms)), F.col("arm")))
-    return candidates.join(mid, "scenario").groupBy("scenario").agg(F.min_by("arm", order).alias("arm"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from ..catalog import Catalog, TableMeta
-from ..functions.text import PERSONS, SPELT_OUT
+from ..catalog import Catalog, ForeignKey, TableMeta
+from ..functions.text import CLASS_ALIASES, PERSONS, SEMANTIC_IDS, SEMANTIC_TARGETS, SPELT_OUT
 from .rules import Rule, RowFilter
 
 
@@ -56,61 +56,137 @@ def _split(source_id: str) -> tuple[str, str, list[str]]:
     return kind, table, columns.split(",") if columns else []
 
 
+# Names of classes that rows with a type value are of, by the table's own class; other names of classes; and
+# columns of join tables by the table that they refer to without a key.
+TYPE_CLASSES = {"Paper": (("1", "PaperFullVersion"), ("2", "PaperAbstract")), "Document": (("1", "Paper"), ("2", "Abstract"))}
+COMMITTEE = ("ProgramCommittee", "Program_committee")
+FEES = ("Registration_fee", "Fee")
+REFERRED = {"aid": "authors", "author": "authors", "conference_member": "conf_members", "paper": "papers", "pid": "papers", "program_committee_member": "pc_members", "reviewer": "reviewers", "rid": "reviewers"}
+
+
+def namespace(uri: str) -> str:
+    return uri.rsplit("#", 1)[0] + "#" if "#" in uri else uri.rstrip("/").rsplit("/", 1)[0] + "/"
+
+
+def discriminator_classes(column: str) -> list[str]:
+    """The driver's form of functions.text.discriminator_classes."""
+    low = column.lower()
+    title = "_".join(w[:1].upper() + w[1:] for w in column.replace("-", "_").split("_") if w)
+    name = column[3:] if low.startswith("is_") else CLASS_ALIASES.get(low, title)
+    flat = name.lower().replace("-", "_")
+    more = ["Author_of_paper", "Author"] * flat.startswith("author_of_paper") + ["Student"] * (flat.endswith("_student") or flat == "student")
+    return list(dict.fromkeys([name, *more]))
+
+
+def semantic_identifier(table: str, column: str, target: str) -> bool:
+    """The driver's form of functions.text.semantic_identifier."""
+    low, words = column.lower(), word_set(target)
+    joined = "".join(words)
+    paper = "paper" in word_set(table) and "paper" in joined and "id" in joined
+    return low != "id" and (paper or low in SEMANTIC_IDS and bool(words & set(SEMANTIC_TARGETS)))
+
+
+def inferred_classes(meta: TableMeta, cls: str) -> list[Rule]:
+    """Class rules that a table of class ``cls`` gives besides: by its boolean columns, its type column, and other names of its class."""
+    ns, name = namespace(cls), local_name(cls)
+    rule = lambda target, f=None: Rule("class", meta.name, ns + target, id_columns=meta.key, row_filter=f)
+    out = [rule(n, RowFilter(c, truthy=True)) for c in meta.names if c.lower().startswith("is_") or "bool" in meta.datatype(c).lower() for n in discriminator_classes(c)]
+    typed = next((c for c in meta.names if c.lower() == "type"), None)
+    if typed:
+        out += [rule(n, RowFilter(typed, equals=value)) for value, n in TYPE_CLASSES.get(name, ())]
+    words = word_set(meta.name) | word_set(name)
+    if "fee" in words:
+        out += [rule(n) for n in FEES if n == "Fee" or "registration" in words]
+    if name == COMMITTEE[0]:
+        out.append(rule(COMMITTEE[1]))
+    return out
+
+
+def referred(column: str, catalog: Catalog) -> str | None:
+    """The table that a column without a key refers to by its name, if any does."""
+    if REFERRED.get(column) in catalog.tables:
+        return REFERRED[column]
+    return next((t for t in (column, column + "s", column.replace("_id", "")) if t in catalog.tables), None)
+
+
 def compile_rules(matches: list[Match], catalog: Catalog) -> list[Rule]:
-    """Rules of the accepted matches. Join tables give no class; a data match on a key column gives none either."""
-    chosen = [m for m in matches if m.target]
+    """Rules of the accepted matches: classes, what they imply, then data and object rules.
+
+    Join tables give no class. Discriminators are no literals, and identifiers only where both column and target name
+    one. Equal class rules are one.
+    """
+    chosen = [m for m in matches if m.target and re.match("https?://|urn:", m.target)]
     rules: list[Rule] = []
-    classes: dict[str, list[str]] = {}
+    own: dict[str, str] = {}
+
+    def add(rule: Rule) -> None:
+        if not any((r.source_table, r.target, r.row_filter) == (rule.source_table, rule.target, rule.row_filter) for r in rules):
+            rules.append(rule)
+
     for m in chosen:
         kind, table, _ = _split(m.source_id)
         meta = catalog.tables.get(table)
-        if kind == "source-class" and meta and meta.role != "join_table" and word_set(table) & word_set(local_name(m.target)):
-            rules.append(Rule("class", table, m.target, id_columns=meta.key, match_ids=(m.source_id,)))
-            classes.setdefault(table, []).append(m.target)
+        if kind == "source-class" and meta and meta.role != "join_table" and word_set(table) & word_set(m.target):
+            own[table] = m.target
+            add(Rule("class", table, m.target, id_columns=meta.key, match_ids=(m.source_id,)))
         if kind == "source-discriminator" and meta and m.row_filter:
-            rules.append(Rule("class", table, m.target, id_columns=meta.key, row_filter=m.row_filter, match_ids=(m.source_id,)))
-            classes.setdefault(table, []).append(m.target)
+            add(Rule("class", table, m.target, id_columns=meta.key, row_filter=m.row_filter, match_ids=(m.source_id,)))
+    for table, cls in own.items():
+        for rule in inferred_classes(catalog.tables[table], cls):
+            add(rule)
+    classes: dict[str, list[str]] = {}
+    for table in dict.fromkeys([*own, *(r.source_table for r in rules)]):
+        classes[table] = list(dict.fromkeys(([own[table]] if table in own else []) + [r.target for r in rules if r.source_table == table]))
     for m in chosen:
         kind, table, columns = _split(m.source_id)
         meta = catalog.tables.get(table)
         if not meta or not columns or any(c not in meta.names for c in columns):
             continue
         if kind == "source-data":
-            rules += _data(m, meta, columns[0], classes)
+            rules += _data(m, meta, columns[0], classes, own)
         elif kind == "source-object":
-            rules += _object(m, meta, tuple(columns), catalog, classes)
+            rules += _object(m, meta, tuple(columns), catalog, classes, own)
     return rules
 
 
-def _data(m: Match, meta: TableMeta, column: str, classes: dict[str, list[str]]) -> list[Rule]:
+def _data(m: Match, meta: TableMeta, column: str, classes: dict[str, list[str]], own: dict[str, str]) -> list[Rule]:
     rule = Rule("data", meta.name, m.target, source_column=column, match_ids=(m.source_id,))
-    if meta.discriminator(column) or column in meta.fk_columns:
+    if meta.discriminator(column) or meta.generic_identifier(column) and not semantic_identifier(meta.name, column, m.target):
         return []
-    own = classes.get(meta.name, [])
-    if not own or best_score(replace(m, range=()), own, own) > 0 and any(side_score(m.domain, c) for c in own):
+    if any(side_score(m.domain, c) > 0 for c in classes.get(meta.name, [])):
         return [rule]
     # an attribute table: the first referenced table whose class the domain takes
     for fk in meta.foreign_keys:
-        if column not in fk.columns and any(side_score(m.domain, c) for c in classes.get(fk.ref_table, [])):
+        if column not in fk.columns and fk.ref_table in own and side_score(m.domain, own[fk.ref_table]) > 0:
             return [replace(rule, subject_table=fk.ref_table, subject_columns=fk.columns, subject_target_columns=fk.ref_columns)]
     return []
 
 
-def _object(m: Match, meta: TableMeta, columns: tuple[str, ...], catalog: Catalog, classes: dict[str, list[str]]) -> list[Rule]:
+def _ends(meta: TableMeta, fk: ForeignKey, catalog: Catalog) -> list[ForeignKey]:
+    """The other ends of a join table's rows: its other keys, then columns that refer to a table by their name."""
+    out = [f for f in meta.foreign_keys if f.columns != fk.columns]
+    taken = {c for f in [fk, *out] for c in f.columns}
+    for c in meta.names:
+        table = referred(c, catalog) if c not in taken else None
+        if table:
+            out.append(ForeignKey((c,), table, catalog.tables[table].key))
+    return out
+
+
+def _object(m: Match, meta: TableMeta, columns: tuple[str, ...], catalog: Catalog, classes: dict[str, list[str]], own: dict[str, str]) -> list[Rule]:
     base = Rule("object", meta.name, m.target, match_ids=(m.source_id,))
-    fk = next((f for f in meta.foreign_keys if f.columns == columns), None)
-    if fk is None:
-        return []
-    if meta.role == "join_table":
-        other = next((f for f in meta.foreign_keys if f.columns != columns), None)
-        if other is None:
-            return []
-        forth = best_score(m, classes.get(fk.ref_table, []), classes.get(other.ref_table, []))
-        back = best_score(m, classes.get(other.ref_table, []), classes.get(fk.ref_table, []))
-        a, b = (other, fk) if back > forth else (fk, other)
-        return [replace(base, subject_table=a.ref_table, subject_columns=a.columns, subject_target_columns=a.ref_columns, object_table=b.ref_table, object_columns=b.columns, object_target_columns=b.ref_columns)] if max(forth, back) > 0 else []
-    here, there = classes.get(meta.name, []), classes.get(fk.ref_table, [])
-    forth, back = best_score(m, here, there), best_score(m, there, here)
-    if back > forth:
-        return [replace(base, subject_table=fk.ref_table, subject_columns=fk.columns, subject_target_columns=fk.ref_columns, object_table=meta.name, object_columns=meta.key, object_target_columns=meta.key)]
-    return [replace(base, source_columns=fk.columns, target_table=fk.ref_table, target_columns=fk.ref_columns)] if forth > 0 else []
+    out = []
+    for fk in (f for f in meta.foreign_keys if f.columns == columns):
+        here, there = classes.get(meta.name, []), classes.get(fk.ref_table, [])
+        if meta.role == "join_table":
+            for other in _ends(meta, fk, catalog) if there else []:
+                far = classes.get(other.ref_table, [])
+                forth, back = best_score(m, there, far), best_score(m, far, there)
+                if far and max(forth, back) > 0:
+                    a, b = (other, fk) if back > forth else (fk, other)
+                    out.append(replace(base, subject_table=a.ref_table, subject_columns=a.columns, subject_target_columns=a.ref_columns, object_table=b.ref_table, object_columns=b.columns, object_target_columns=b.ref_columns))
+        elif fk.ref_table in own and here and best_score(m, here, there) > 0:
+            out.append(replace(base, source_columns=fk.columns, target_table=fk.ref_table, target_columns=fk.ref_columns))
+        elif fk.ref_table in own and here and best_score(m, there, here) > 0:
+            out.append(replace(base, subject_table=fk.ref_table, subject_columns=fk.columns, subject_target_columns=fk.ref_columns, object_table=meta.name, object_columns=meta.key, object_target_columns=meta.key))
+    return out

@@ -1,8 +1,8 @@
 """A graph-pattern query language over (s, p, o, is_literal), compiled to DataFrame joins.
 
 Understood: PREFIX, SELECT [DISTINCT] of variables or * or aggregates (COUNT, COUNT DISTINCT, SUM, MIN, MAX, AVG) AS ?x,
-triple patterns with ``a``, ``;`` and ``,``, one-step paths with ``+`` behind a predicate, FILTER, OPTIONAL, UNION, MINUS,
-GROUP BY, ORDER BY, LIMIT and OFFSET. Anything else is an error. Results are bags; a variable shared by patterns agrees on
+triple patterns with ``a``, ``;`` and ``,``, property paths (``/ | ^ + * ?`` and parentheses), FILTER, OPTIONAL, UNION, MINUS,
+GROUP BY, HAVING (an aggregate or a name compared with a number), ORDER BY, LIMIT and OFFSET. Anything else is an error. Results are bags; a variable shared by patterns agrees on
 its value and on whether it is a literal.
 """
 
@@ -15,9 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from .materialize import RulePlanner
+
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-_TOKEN = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(<[^<>\s]*>|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\?\w+|\$\w+|[A-Za-z_][\w-]*:(?:[\w-]+(?:\.[\w-]+)*)?|:(?:[\w-]+(?:\.[\w-]+)*)?|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|&&|\|\||!=|<=|>=|[{}().;,*+=<>!])""")
-_WORDS = {"PREFIX", "SELECT", "DISTINCT", "WHERE", "FILTER", "OPTIONAL", "UNION", "MINUS", "GROUP", "ORDER", "BY", "LIMIT", "OFFSET", "ASC", "DESC", "AS", "COUNT", "SUM", "MIN", "MAX", "AVG", "REGEX", "BOUND", "STR"}
+_TOKEN = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(<[^<>\s]*>|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\?\w+|\$\w+|[A-Za-z_][\w-]*:(?:[\w-]+(?:\.[\w-]+)*)?|:(?:[\w-]+(?:\.[\w-]+)*)?|[A-Za-z_]\w*|-?\d+(?:\.\d+)?|&&|\|\||!=|<=|>=|[{}().;,*+=<>!|/^?])""")
+_WORDS = {"PREFIX", "SELECT", "DISTINCT", "WHERE", "FILTER", "OPTIONAL", "UNION", "MINUS", "GROUP", "HAVING", "ORDER", "BY", "LIMIT", "OFFSET", "ASC", "DESC", "AS", "COUNT", "SUM", "MIN", "MAX", "AVG", "REGEX", "BOUND", "STR"}
 
 
 class QueryError(ValueError):
@@ -40,7 +43,8 @@ class Pattern:
     s: Term
     p: Term
     o: Term
-    plus: bool = False
+    #: A path instead of the predicate: ("iri", name), ("seq" | "alt", left, right), ("inverse" | "+" | "*" | "?", path).
+    path: tuple | None = None
 
 
 @dataclass
@@ -54,6 +58,7 @@ class Query:
     distinct: bool
     where: Group
     group_by: list[str]
+    having: list[tuple]
     order_by: list[tuple[str, bool]]
     limit: int | None
     offset: int
@@ -114,6 +119,7 @@ class Parser:
             self.next()
         where = self.group()
         group_by: list[str] = []
+        having: list[tuple] = []
         order_by: list[tuple[str, bool]] = []
         limit, offset = None, 0
         while self.peek():
@@ -122,6 +128,10 @@ class Parser:
                 self.expect("BY")
                 while self.peek()[:1] in ("?", "$"):
                     group_by.append(self.next()[1:])
+            elif self.word("HAVING"):
+                self.next()
+                while self.peek() == "(":
+                    having.append(self.having())
             elif self.word("ORDER"):
                 self.next()
                 self.expect("BY")
@@ -142,9 +152,10 @@ class Parser:
                 offset = int(self.next())
             else:
                 raise QueryError(f"{self.peek()} isn't supported")
-        return Query(columns, distinct, where, group_by, order_by, limit, offset)
+        return Query(columns, distinct, where, group_by, having, order_by, limit, offset)
 
-    def aggregate(self) -> tuple:
+    def call(self) -> tuple:
+        """An aggregate: (function, distinct, argument)."""
         name = self.next().upper()
         if name not in ("COUNT", "SUM", "MIN", "MAX", "AVG"):
             raise QueryError(f"{name} isn't supported")
@@ -154,10 +165,24 @@ class Parser:
             self.next()
         arg = self.next()
         self.expect(")")
+        return (name, distinct, arg if arg == "*" else arg[1:])
+
+    def aggregate(self) -> tuple:
+        made = self.call()
         self.expect("AS")
         alias = self.next()[1:]
         self.expect(")")
-        return (name, distinct, arg if arg == "*" else arg[1:], alias)
+        return (*made, alias)
+
+    def having(self) -> tuple:
+        """(name or aggregate, comparison, number)."""
+        self.expect("(")
+        left = self.next()[1:] if self.peek()[:1] in ("?", "$") else self.call()
+        op, number = self.next(), self.next()
+        self.expect(")")
+        if op not in ("=", "!=", "<", ">", "<=", ">=") or not re.fullmatch(r"-?\d+(\.\d+)?", number):
+            raise QueryError("HAVING compares with a number")
+        return (left, op, float(number))
 
     def term(self, predicate: bool = False) -> Term:
         t = self.next()
@@ -204,12 +229,11 @@ class Parser:
     def patterns(self, out: Group) -> None:
         s = self.term()
         while True:
-            p = self.term(predicate=True)
-            plus = self.peek() == "+"
-            if plus:
-                self.next()
+            p, path = (self.term(), None) if self.peek()[:1] in ("?", "$") else (None, self.path())
+            if path and path[0] == "iri":
+                p, path = Term("iri", path[1]), None
             while True:
-                out.items.append(Pattern(s, p, self.term(), plus))
+                out.items.append(Pattern(s, p or Term("path", ""), self.term(), path))
                 if self.peek() != ",":
                     break
                 self.next()
@@ -217,6 +241,38 @@ class Parser:
                 break
             self.next()
 
+    # paths: nested tuples
+    def path(self) -> tuple:
+        left = self.sequence()
+        while self.peek() == "|":
+            self.next()
+            left = ("alt", left, self.sequence())
+        return left
+
+    def sequence(self) -> tuple:
+        left = self.step()
+        while self.peek() == "/":
+            self.next()
+            left = ("seq", left, self.step())
+        return left
+
+    def step(self) -> tuple:
+        if self.peek() == "^":
+            self.next()
+            return ("inverse", self.step())
+        if self.peek() == "(":
+            self.next()
+            out = self.path()
+            self.expect(")")
+        else:
+            t = self.term(predicate=True)
+            if t.kind != "iri":
+                raise QueryError("a path is made of predicates")
+            out = ("iri", t.value)
+        while self.peek() in ("+", "*", "?"):
+            out = (self.next(), out)
+        return out
+
     # expressions: nested tuples
     def expression(self):
         left = self.conjunction()
@@ -266,24 +322,36 @@ def _lit(var: str) -> str:
 class Compiler:
     """Solutions are frames with two columns a variable: its value and whether it is a literal."""
 
-    def __init__(self, triples: DataFrame):
-        self.triples = triples
+    def __init__(self, triples: DataFrame | RulePlanner):
+        """``triples``: facts, or the planner of rules, of which each pattern then plans those that can give it something."""
+        self.source = triples
+
+    def facts(self, predicate: str | None = None, class_: str | None = None) -> DataFrame:
+        if isinstance(self.source, DataFrame):
+            return self.source
+        return self.source.graph(predicate, class_)
+
+    def aggregate(self, name: str, distinct: bool, arg: str, variables: list[str]) -> Column:
+        if name == "COUNT":
+            return (F.count_distinct(*(map(F.col, variables))) if distinct else F.count("*")) if arg == "*" else (F.count_distinct(arg) if distinct else F.count(arg))
+        value = F.col(arg).try_cast("double") if name in ("SUM", "AVG") else F.col(arg)
+        if name == "AVG" and distinct:
+            return F.sum_distinct(value) / F.count_distinct(value)
+        return {"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](value)
 
     def run(self, q: Query) -> DataFrame:
         df = self.group(q.where)
         variables = [c for c in df.columns if not c.endswith("__lit")]
         aggregates = [c for c in q.columns if isinstance(c, tuple)]
         if aggregates or q.group_by:
-            made = []
-            for name, distinct, arg, alias in aggregates:
-                if name == "COUNT":
-                    col = (F.count_distinct(*(map(F.col, variables))) if distinct else F.count("*")) if arg == "*" else (F.count_distinct(arg) if distinct else F.count(arg))
-                else:
-                    value = F.col(arg).cast("double") if name in ("SUM", "AVG") else F.col(arg)
-                    col = {"SUM": F.sum_distinct if distinct else F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](value)
-                made.append(col.alias(alias))
+            made = [self.aggregate(*c[:3], variables).alias(c[3]) for c in aggregates]
+            made += [self.aggregate(*h[0], variables).alias(f"_having{i}") for i, h in enumerate(q.having) if isinstance(h[0], tuple)]
             df = df.groupBy(*q.group_by).agg(*made) if made else df.select(*q.group_by).distinct()
+            for i, (left, op, number) in enumerate(q.having):
+                df = df.filter(F.expr(f"`{left if isinstance(left, str) else f'_having{i}'}` {'<>' if op == '!=' else op} {number}"))
             names = [c if isinstance(c, str) else c[3] for c in q.columns]
+        elif q.having:
+            raise QueryError("HAVING needs groups")
         else:
             names = variables if "*" in q.columns else q.columns
         unknown = [n for n in names if n not in df.columns]
@@ -337,13 +405,16 @@ class Compiler:
         return df
 
     def pattern(self, p: Pattern) -> DataFrame:
-        t = self.closure(p) if p.plus else self.triples
+        if p.path:
+            t = self.pairs(p.path, [x.value for x in (p.s, p.o) if x.kind != "var"])
+        else:
+            t = self.facts(p.p.value if p.p.kind == "iri" else None, p.o.value if p.o.kind == "iri" else None)
         test: Column = F.lit(True)
         columns: dict[str, list[Column]] = {}
-        for term, c, literal in ((p.s, "s", F.lit(False)), (p.p, "p", F.lit(False)), (p.o, "o", F.col("is_literal"))):
+        for term, c, literal in ((p.s, "s", F.col("s_literal") if p.path else F.lit(False)), (p.p, "p", F.lit(False)), (p.o, "o", F.col("is_literal"))):
             if term.kind == "var":
                 columns.setdefault(term.value, []).append(F.struct(F.col(c).alias("v"), literal.alias("l")))
-            elif not (p.plus and c == "p"):
+            elif term.kind != "path":
                 test = test & (F.col(c) == term.value)
                 if c == "o":
                     test = test & (F.col("is_literal") == F.lit(term.kind == "literal"))
@@ -354,19 +425,36 @@ class Compiler:
         out = [x for name, same in columns.items() for x in (same[0]["v"].alias(name), same[0]["l"].alias(_lit(name)))]
         return t.select(*out) if out else t.select(F.lit(True).alias("_there"), F.lit(False).alias(_lit("_there")))
 
-    def closure(self, p: Pattern) -> DataFrame:
-        """One or more steps of a predicate: rounds of joins until no pair is new."""
-        if p.p.kind != "iri":
-            raise QueryError("a path needs a predicate")
-        step = self.triples.filter((F.col("p") == p.p.value) & ~F.col("is_literal")).select("s", "o").distinct()
-        all_, fresh = step, step
-        while True:
-            new = fresh.alias("a").join(step.alias("b"), F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("s"), F.col("b.o").alias("o")).distinct()
-            new = new.join(all_, ["s", "o"], "left_anti").cache()
+    def pairs(self, path: tuple, constants: list[str]) -> DataFrame:
+        """(s, s_literal, o, is_literal) that a path joins. Paths of any length are sets, the others bags."""
+        kind = path[0]
+        names = ["s", "s_literal", "o", "is_literal"]
+        if kind == "iri":
+            return self.facts(path[1]).filter(F.col("p") == path[1]).select("s", F.lit(False).alias("s_literal"), "o", "is_literal")
+        if kind == "inverse":
+            return self.pairs(path[1], constants).toDF("o", "is_literal", "s", "s_literal").select(*names)
+        if kind == "alt":
+            return self.pairs(path[1], constants).unionByName(self.pairs(path[2], constants))
+        if kind == "seq":
+            a = self.pairs(path[1], constants).toDF("s", "s_literal", "_m", "_l")
+            b = self.pairs(path[2], constants).toDF("_m", "_l", "o", "is_literal")
+            return a.join(b, ["_m", "_l"]).select(*names)
+        step = cut(self.pairs(path[1], constants).distinct())
+        every, fresh = step, step
+        while kind != "?":
+            on = (F.col("a.o") == F.col("b.s")) & (F.col("a.is_literal") == F.col("b.s_literal"))
+            new = fresh.alias("a").join(step.alias("b"), on).select("a.s", "a.s_literal", "b.o", "b.is_literal").distinct()
+            new = cut(new.join(every, names, "left_anti"))
             if new.isEmpty():
                 break
-            all_, fresh = all_.unionByName(new), new
-        return all_.select("s", F.lit(p.p.value).alias("p"), "o", F.lit(False).alias("is_literal"))
+            every, fresh = every.unionByName(new), new
+        if kind != "+":  # and no step at all: every node with itself, and the pattern's own terms
+            all_ = self.facts()
+            nodes = all_.select("s", F.lit(False).alias("l")).union(all_.select("o", "is_literal"))
+            for c in constants:
+                nodes = nodes.union(all_.sparkSession.range(1).select(F.lit(c), F.lit(False)))
+            every = every.unionByName(nodes.distinct().select("s", F.col("l").alias("s_literal"), F.col("s").alias("o"), F.col("l").alias("is_literal"))).distinct()
+        return every
 
     def join(self, a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
         shared = [c for c in a.columns if c in b.columns]
@@ -406,6 +494,6 @@ class Compiler:
         return F.col(t.value) if t.value in df.columns else F.lit(None).cast("string")
 
 
-def graph_query(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """The answer of a query text over (s, p, o, is_literal)."""
+def graph_query(triples: DataFrame | RulePlanner, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """The answer of a query text over (s, p, o, is_literal), or over the facts that a planner's rules give."""
     return Compiler(triples).run(Parser(text, prefixes).query())

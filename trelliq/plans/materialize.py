@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -129,19 +129,25 @@ class RulePlanner:
 
     def triples(self, kinds: tuple[str, ...] = ("class", "data", "object")) -> DataFrame:
         """All facts with repetitions: (s, p, o, is_literal)."""
+        return self._planned([r for _, r in self.rules if r.kind in kinds])
+
+    def graph(self, predicate: str | None = None, class_: str | None = None) -> DataFrame:
+        """Facts as a set; with ``predicate`` those of it, planned from the rules that can give them (``class_``: of instances of it)."""
+        chosen = [r for _, r in self.rules if predicate is None or self._predicate(r) == predicate and (predicate != TYPE or class_ is None or r.target == class_)]
+        return self._planned(chosen).dropDuplicates(["s", "p", "o", "is_literal"])
+
+    def _planned(self, chosen: list[Rule]) -> DataFrame:
         plans = []
-        chosen = [r for _, r in self.rules if r.kind in kinds]
         for table in dict.fromkeys(r.source_table for r in chosen):
             local = [r for r in chosen if r.source_table == table and not self._sides(r)]
             if local:
                 plans.append(self._fused(table, local))
         plans += [self._probed(r) for r in chosen if self._sides(r)]
+        if not plans:
+            spark = next(iter(self.frames.values())).sparkSession
+            return spark.createDataFrame([], "s string, p string, o string, is_literal boolean")
         return reduce(DataFrame.unionByName, plans)
 
-    def graph(self) -> DataFrame:
-        """Facts as a set."""
-        return self.triples().dropDuplicates(["s", "p", "o", "is_literal"])
-
     def _fused(self, table: str, rules: list[Rule]) -> DataFrame:
         row = self._row(table)
         made = []
@@ -174,7 +180,7 @@ class RulePlanner:
         """A row for each rule and row of its table: rule_id, reason of failure (null if a fact came out)."""
         return reduce(DataFrame.unionByName, [self._attempt(i, r) for i, r in self.rules])
 
-    def _attempt(self, rule_id: str, rule: Rule) -> DataFrame:
+    def _attempt(self, rule_id: str, rule: Rule, with_key: bool = False) -> DataFrame:
         row = self._row(rule.source_table)
         sides = self._sides(rule)
         out = self.frames[rule.source_table]
@@ -197,7 +203,25 @@ class RulePlanner:
         reason = F.lit(None).cast("string")
         for test, name in reversed(steps):
             reason = F.when(test, name).otherwise(reason)
-        return out.select(F.lit(rule_id).alias("rule_id"), reason.alias("reason"))
+        key = [F.concat_ws("_", *[row[c] for c in self.catalog.tables[rule.source_table].key if c in row]).alias("key")] if with_key else []
+        return out.select(F.lit(rule_id).alias("rule_id"), reason.alias("reason"), *key)
+
+    def rule_summary(self, samples: int = 3) -> DataFrame:
+        """Per rule: kind, reachable rows (of its table), helper calls, emitted facts, failures by reason and the first rows that failed.
+
+        Every row of a rule's table is tried, so calls are as many as rows. Samples are the smallest failing rows by key,
+        ranked before they are gathered.
+        """
+        kinds = F.create_map(*[F.lit(x) for i, r in self.rules for x in (i, r.kind)])
+        keyed = reduce(DataFrame.unionByName, [self._attempt(i, r, with_key=True) for i, r in self.rules])
+        counts = keyed.groupBy("rule_id", "reason").agg(F.count("*").alias("n"))
+        per = counts.groupBy("rule_id").agg(
+            F.sum("n").alias("reachable_rows"), F.sum("n").alias("helper_calls"), F.sum(F.when(F.col("reason").isNull(), F.col("n")).otherwise(0)).alias("emitted"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ",").alias("failures"),
+        )
+        failed = keyed.filter("reason IS NOT NULL").withColumn("_i", F.row_number().over(Window.partitionBy("rule_id").orderBy("key", "reason"))).filter(F.col("_i") <= samples)
+        first = failed.groupBy("rule_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "key"))), lambda x: x["key"]), ",").alias("samples"))
+        return per.join(first, "rule_id", "left").select("rule_id", kinds[F.col("rule_id")].alias("kind"), "reachable_rows", "helper_calls", "emitted", "failures", F.coalesce("samples", F.lit("")).alias("samples"))
 
     def stats(self) -> DataFrame:
         """Per rule and outcome: how many rows were tried and how many gave a fact or failed for the reason first met."""
@@ -221,6 +245,20 @@ def invalid_triples(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o", F.explode(F.filter(reasons, lambda r: r.isNotNull())).alias("reason"))
 
 
+def mapping_document(catalog: Catalog, namespace: str = "urn:trelliq:direct:") -> str:
+    """The direct mapping as a mapping document: a class for each table, a property for each column and key."""
+    out = ["@prefix rr: <http://www.w3.org/ns/r2rml#> .", ""]
+    for t in catalog.tables.values():
+        key = "/".join(f"{c}={{{c}}}" for c in t.key)
+        parts = [f'rr:logicalTable [ rr:tableName "{t.name}" ]', f'rr:subjectMap [ rr:template "{namespace}{t.name}/{key}" ; rr:class <{namespace}{t.name}> ]']
+        parts += [f'rr:predicateObjectMap [ rr:predicate <{namespace}{t.name}#{c}> ; rr:objectMap [ rr:column "{c}" ] ]' for c in t.names]
+        for fk in t.foreign_keys:
+            to = "/".join(f"{r}={{{c}}}" for c, r in zip(fk.columns, fk.ref_columns, strict=True))
+            parts.append(f'rr:predicateObjectMap [ rr:predicate <{namespace}{t.name}#ref-{"_".join(fk.columns)}> ; rr:objectMap [ rr:template "{namespace}{fk.ref_table}/{to}" ; rr:termType rr:IRI ] ]')
+        out += [f"<{namespace}map/{t.name}> a rr:TriplesMap ;", "    " + " ;\n    ".join(parts) + " .", ""]
+    return "\n".join(out)
+
+
 def direct_mapping(catalog: Catalog, frames: dict[str, DataFrame], namespace: str = "urn:trelliq:direct:") -> DataFrame:
     """Rows as facts without rules: a type, a literal for each value, a link for each single-column key (first column only)."""
     plans = []

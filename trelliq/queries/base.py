@@ -79,6 +79,10 @@ def star_sql() -> str:
 STAR_SQL = star_sql()
 
 
+def star_planner(spark: SparkSession, sf_dir: str) -> RulePlanner:
+    return planner(spark, sf_dir, STAR_RULES)
+
+
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner(spark, sf_dir, STAR_RULES).graph()
 

@@ -7,31 +7,23 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evaluation as ops
 from ..plans.graphquery import graph_query
-from .base import read, register, star_triples, table
-from .profiling import values_sql
+from ..sources import files
+from .base import register, star_planner, table
+from .corpus import ask
 from .retrieving import BM25_RANKED, bm25_ranked
 
 REGISTRY: dict = {}
 PREFIX = "PREFIX : <urn:tpch:> "
 
 
-def _views(spark, d, *names):
-    for n, df in read(spark, d, *names).items():
-        df.createOrReplaceTempView(n)
-
-
 @register(REGISTRY, "eval_sql_ref", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer WHERE c_acctbal < 0")
 def _(spark, d):
-    _views(spark, d, "customer")
-    out = spark.sql("SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal < 0")
-    return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+    return files.as_text(ask(spark, d, "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal < 0"))
 
 
 @register(REGISTRY, "eval_sql_join", "SELECT n_name, CAST(count(*) AS VARCHAR) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def _(spark, d):
-    _views(spark, d, "orders", "customer", "nation")
-    out = spark.sql("SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-    return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+    return files.as_text(ask(spark, d, "SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"))
 
 
 _PRF = """SELECT count(*) FILTER (side = 'a') AS n_answer, count(*) FILTER (side = 'b') AS n_reference, count(*) FILTER (side = 'a' AND hit) AS hit_answer, count(*) FILTER (side = 'b' AND hit) AS hit_reference FROM (
@@ -42,14 +34,14 @@ _SCORES = "SELECT *, hit_answer / n_answer AS precision, hit_reference / n_refer
 
 @register(REGISTRY, "eval_prf", f"SELECT n_answer, n_reference, hit_answer, hit_reference, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM ({_SCORES} FROM ({_PRF}))")
 def _(spark, d):
-    answer = graph_query(star_triples(spark, d), PREFIX + 'SELECT ?n WHERE { ?c :segment "BUILDING" ; :name ?n }')
+    answer = graph_query(star_planner(spark, d), PREFIX + 'SELECT ?n WHERE { ?c :segment "BUILDING" ; :name ?n }')
     reference = table(spark, d, "customer").filter("c_acctbal > 100").select("c_name")
     return ops.membership_scores(ops.render(answer), ops.render(reference)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 @register(REGISTRY, "eval_scenario_mean", f"SELECT round((f + 1.0) / 2, 6) AS f1 FROM (SELECT 2 * precision * recall / (precision + recall) AS f FROM ({_SCORES} FROM ({_PRF})))")
 def _(spark, d):
-    g = star_triples(spark, d)
+    g = star_planner(spark, d)
     one = ops.membership_scores(ops.render(graph_query(g, PREFIX + 'SELECT ?n WHERE { ?c :segment "BUILDING" ; :name ?n }')), ops.render(table(spark, d, "customer").filter("c_acctbal > 100").select("c_name")))
     two = ops.membership_scores(ops.render(graph_query(g, PREFIX + "SELECT ?n WHERE { ?c a :Nation ; :name ?n }")), ops.render(table(spark, d, "nation").select("n_name")))
     return one.unionByName(two).agg(F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("f1"))
@@ -59,9 +51,8 @@ _GOLD = "(SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d
 
 
 def gold(spark, d):
-    """Documents that hold a benchmark passage: the passages are a fixed small set, compared with every text."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(b, F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    """Documents that hold a benchmark passage."""
+    return ops.holders(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id")
 
 
 @register(REGISTRY, "eval_attach_gold", f"SELECT item_id, doc_id, rank, (item_id, doc_id) IN (SELECT (item_id, doc_id) FROM {_GOLD}) AS is_gold FROM {BM25_RANKED} WHERE rank <= 16")
@@ -115,24 +106,29 @@ def _(spark, d):
     return _rounded(ops.retrieval_metrics(kinded(spark, d), ["role"]))
 
 
+#: Sources whose gold lies elsewhere: for each item the documents of one in seven, whatever they rank.
+_ELSEWHERE = "(SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.doc_id % 7 = b.item_id % 7 AND d.doc_id < 60)"
+_ELSE_FIRST = _FIRST.replace(_GOLD, _ELSEWHERE)
+
+
 @register(
     REGISTRY,
     "eval_failure_category",
-    f"SELECT item_id, CASE WHEN candidate_count = 0 THEN 'zero_candidates' WHEN rank_anywhere > 20 THEN 'correct_target_rank_too_low' WHEN gap <= 1e-12 THEN 'ambiguous_candidates' ELSE 'bm25_tokenization_failure' END AS category FROM {_FIRST} f LEFT JOIN (SELECT item_id, abs(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2)) AS gap FROM {BM25_RANKED} WHERE rank <= 2 GROUP BY item_id) USING (item_id) WHERE first_rank IS NULL OR first_rank > 1",
+    f"SELECT item_id, CASE WHEN candidate_count = 0 THEN 'zero_candidates' WHEN item_id % 5 = 0 THEN 'wrong_kind_filtering' WHEN rank_anywhere > 20 THEN 'correct_target_rank_too_low' WHEN gap <= 1e-12 THEN 'ambiguous_candidates' ELSE 'bm25_tokenization_failure' END AS category FROM {_ELSE_FIRST} f LEFT JOIN (SELECT item_id, abs(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2)) AS gap FROM {BM25_RANKED} WHERE rank <= 2 GROUP BY item_id) USING (item_id) WHERE first_rank IS NULL OR first_rank > 1",
 )
 def _(spark, d):
-    rows = details(spark, d).filter("first_rank is null or first_rank > 1").join(ops.top_gap(bm25_ranked(spark, d), "item_id"), "item_id", "left")
-    return rows.select("item_id", ops.failure_category("bm25", F.lit(False), F.col("rank_anywhere"), F.col("candidate_count"), F.col("gap")).alias("category"))
+    far = ask(spark, d, "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON d.doc_id % 7 = b.item_id % 7 AND d.doc_id < 60")
+    ranked = bm25_ranked(spark, d)
+    rows = ops.first_ranks(ranked, far, "item_id", "doc_id").filter("first_rank is null or first_rank > 1").join(ops.top_gap(ranked, "item_id"), "item_id", "left")
+    return rows.select("item_id", ops.failure_category("bm25", F.col("item_id") % 5 == 0, F.col("rank_anywhere"), F.col("candidate_count"), F.col("gap")).alias("category"))
 
 
-_METHODS = [("s1", "bm25", 0.7), ("s1", "dense", 0.9), ("s2", "bm25", 0.8), ("s2", "dense", 0.8), ("s3", "bm25", 0.97), ("s3", "dense", 0.2)]
+_METHODS = "SELECT 's' || CAST(o_custkey % 200 AS STRING) AS scenario, o_orderpriority AS method, round(avg(CASE WHEN o_orderkey % 50 = 0 THEN 0.0 ELSE 1.0 END), 6) AS recall FROM orders GROUP BY o_custkey % 200, o_orderpriority"
 
 
-@register(REGISTRY, "eval_best_method", f"SELECT scenario, method, recall, recall < 0.95 AS difficult FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY recall DESC, method) AS r FROM ({values_sql(_METHODS, 'scenario, method, recall')})) WHERE r = 1".replace("recall, recall", "recall::DOUBLE AS recall, recall"))
+@register(REGISTRY, "eval_best_method", f"SELECT scenario, method, recall, recall < 0.95 AS difficult FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY recall DESC, method) AS r FROM ({_METHODS})) WHERE r = 1")
 def _(spark, d):
-    rows = spark.createDataFrame(_METHODS, "scenario string, method string, recall double")
-    best = rows.groupBy("scenario").agg(F.max_by("method", F.struct("recall", F.expr("-ascii(method)"))).alias("method"), F.max("recall").alias("recall"))
-    return best.select("scenario", "method", "recall", (F.col("recall") < 0.95).alias("difficult"))
+    return ops.best_methods(ask(spark, d, _METHODS).withColumn("recall", F.col("recall").cast("double")), ["scenario"], "method", "recall")
 
 
 #: Labels scored as matches: quality is gold, toxic what was said; null where 0.
@@ -162,6 +158,17 @@ def _(spark, d):
     return out.select(*keep).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "error_rate")})
 
 
+@register(
+    REGISTRY,
+    "eval_matching_extras",
+    f"SELECT method, count(*) FILTER (invalid) AS invalid_selections, count(*) FILTER (api_error) AS api_errors, round(avg(confidence), 6) AS avg_confidence, round(avg(candidate_rank), 6) AS avg_candidate_rank, round(sum(runtime_seconds), 6) AS runtime_seconds, count(*) FILTER (predicted IS NOT NULL AND NOT invalid AND NOT api_error) AS all_source_predicted_matches, count(*) FILTER (predicted IS NULL AND NOT invalid AND NOT api_error) AS all_source_predicted_nulls, count(*) FILTER (gold IS NULL) AS unlabeled_sources FROM (SELECT *, CASE WHEN confidence > 0.2 THEN CAST(confidence * 10 AS INT) END AS candidate_rank, confidence * 2 AS runtime_seconds FROM {_MATCHED}) GROUP BY method",
+)
+def _(spark, d):
+    rows = matched(spark, d).withColumn("candidate_rank", F.when(F.col("confidence") > 0.2, F.round(F.col("confidence") * 10).cast("int"))).withColumn("runtime_seconds", F.col("confidence") * 2)
+    keep = ["method", "invalid_selections", "api_errors", "avg_confidence", "avg_candidate_rank", "runtime_seconds", "all_source_predicted_matches", "all_source_predicted_nulls", "unlabeled_sources"]
+    return ops.matching_metrics(rows, ["method"]).select(*keep).withColumns({c: F.round(c, 6) for c in ("avg_confidence", "avg_candidate_rank", "runtime_seconds")})
+
+
 @register(
     REGISTRY,
     "eval_confusion",
@@ -186,21 +193,26 @@ def _(spark, d):
     return ops.majority_votes(samples, "o_custkey", ranks, 0.2).withColumn("disagreement", F.round("disagreement", 6))
 
 
-_URIS = [("<http://x.org/a>",), ("URIRef('http://x.org/b')",), ("ex:c",), ("http://x.org/d",), ("unknown:e",), ("  ",), (None,)]
+_URIS = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN '<' || url || '>' WHEN 1 THEN 'URIRef(' || chr(39) || url || chr(39) || ')' WHEN 2 THEN 'ex:p' || CAST(page_id AS STRING) WHEN 3 THEN url WHEN 4 THEN 'unknown:e' WHEN 5 THEN '  ' END AS raw FROM pages"
 
 
-@register(REGISTRY, "eval_normalize_uri", values_sql([("<http://x.org/a>", "http://x.org/a"), ("URIRef('http://x.org/b')", "http://x.org/b"), ("ex:c", "http://ex.org/c"), ("http://x.org/d", "http://x.org/d"), ("unknown:e", "unknown:e"), ("  ", ""), (None, "")], "raw, uri"))
+@register(REGISTRY, "eval_normalize_uri", f"SELECT page_id, CASE page_id % 7 WHEN 0 THEN trim(url) WHEN 1 THEN url WHEN 2 THEN 'http://ex.org/p' || page_id WHEN 3 THEN trim(url) WHEN 4 THEN 'unknown:e' ELSE '' END AS uri FROM pages")
 def _(spark, d):
-    return spark.createDataFrame(_URIS, "raw string").select("raw", text.normalize_uri(F.col("raw"), {"ex": "http://ex.org/"}).alias("uri"))
+    return ask(spark, d, _URIS).select("page_id", text.normalize_uri(F.col("raw"), {"ex": "http://ex.org/"}).alias("uri"))
 
 
-_SQL_USE = [("q1", "class", "source-class:customer"), ("q2", "data", "source-data:customer.c_name"), ("q3", "object", "source-object:customer.c_nationkey")]
-_GRAPH_USE = [("q1", "class", "urn:tpch:Customer"), ("q2", "data", "urn:tpch:name"), ("q3", "object", "urn:tpch:inNation"), ("q4", "class", "urn:tpch:Nation")]
+#: What queries read and name: one for each order and part of it.
+_SQL_USE = "SELECT 'q' || CAST(l_orderkey AS STRING) AS query_id, CASE l_linenumber % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'data' ELSE 'object' END AS kind, 'source:' || CAST(l_suppkey % 60 AS STRING) AS source_id FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey, l_linenumber % 3, l_suppkey % 60"
+_GRAPH_USE = "SELECT 'q' || CAST(o_orderkey AS STRING) AS query_id, CASE o_custkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'data' ELSE 'object' END AS kind, 'urn:lake:' || o_orderpriority AS target FROM orders"
 
 
-@register(REGISTRY, "eval_gold_derive", values_sql([("source-class:customer", "urn:tpch:Customer", ""), ("source-data:customer.c_name", "urn:tpch:name", ""), ("source-object:customer.c_nationkey", "urn:tpch:inNation", ""), ("", "urn:tpch:Nation", "source_not_in_gold")], "source_id, target, issue"))
+@register(
+    REGISTRY,
+    "eval_gold_derive",
+    f"SELECT DISTINCT s.source_id, g.target, '' AS issue FROM ({_SQL_USE}) s JOIN ({_GRAPH_USE}) g USING (query_id, kind) UNION ALL SELECT '', target, 'source_not_in_gold' FROM ({_GRAPH_USE}) WHERE (query_id, kind) NOT IN (SELECT (query_id, kind) FROM ({_SQL_USE}))",
+)
 def _(spark, d):
-    s, g = spark.createDataFrame(_SQL_USE, "query_id string, kind string, source_id string"), spark.createDataFrame(_GRAPH_USE, "query_id string, kind string, target string")
+    s, g = ask(spark, d, _SQL_USE), ask(spark, d, _GRAPH_USE)
     found = ops.gold_from_queries(s, g).withColumn("issue", F.lit(""))
     lost = g.join(s, ["query_id", "kind"], "left_anti").select(F.lit("").alias("source_id"), "target", F.lit("source_not_in_gold").alias("issue"))
     return found.unionByName(lost)

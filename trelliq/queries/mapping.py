@@ -8,6 +8,7 @@ from ..catalog import Catalog, Column, ForeignKey, TableMeta, star_catalog
 from ..functions import text
 from ..plans import compiler, materialize, program
 from ..plans.materialize import BASE, TYPE, RulePlanner
+from .corpus import ask
 from .base import NS, STAR_RULES, STAR_SQL, cls, data, fact, filtered, iri, link, planner, read, register, table
 
 REGISTRY: dict = {}
@@ -189,24 +190,60 @@ def _(spark, d):
     return planner(spark, d, compiler.compile_rules(MATCHES, star_catalog())).graph()
 
 
-_ONTOLOGY = "\n".join(
-    ["@prefix : <urn:tpch:> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> ."]
-    + [f":{c} a owl:Class ; rdfs:label \"{c}\" ." for c in ("Customer", "Nation", "Region")]
-    + [":name a owl:DatatypeProperty ; rdfs:domain :Customer, :Nation .", ":inNation a owl:ObjectProperty ; rdfs:domain :Customer ; rdfs:range :Nation .", ":hint a owl:DatatypeProperty ; rdfs:range :Region ."]
-)
+def ontology(spark, d) -> str:
+    """Turtle of an ontology: a class for each nation, below its region's, and a property of each from the one to the other."""
+    lines = ["@prefix : <urn:tpch:> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> ."]
+    pairs = ask(spark, d, "SELECT n_nationkey AS k, n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey").collect()  # as many as there are nations
+    for name in sorted({p.r for p in pairs}):
+        lines.append(f':{name.replace(" ", "_")} a owl:Class ; rdfs:label "{name}" .')
+    for p in pairs:
+        n, r = (x.replace(" ", "_") for x in (p.n, p.r))
+        lines.append(f':{n} a owl:Class ; rdfs:subClassOf :{r} ; rdfs:comment "nation {p.k}" .')
+        kind, extra = ("owl:ObjectProperty", "") if p.k % 3 == 0 else ("owl:DatatypeProperty", "") if p.k % 3 == 1 else ("owl:DatatypeProperty", "x")
+        lines.append(f":has{n} a {kind} ; rdfs:domain :{r}{', :Other' if extra else ''}" + (f" ; rdfs:range :{n}" if p.k % 3 != 1 else "") + " .")
+    return "\n".join(lines)
+
+
+_U = "'urn:tpch:' || replace({}, ' ', '_')"
+_PAIR = "(SELECT n_nationkey AS k, n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
 @register(
     REGISTRY,
     "map_ontology_records",
-    "SELECT * FROM (VALUES ('class','urn:tpch:Customer','Customer','Customer','',''),('class','urn:tpch:Nation','Nation','Nation','',''),('class','urn:tpch:Region','Region','Region','',''),"
-    "('data_property','urn:tpch:name','name','','urn:tpch:Customer,urn:tpch:Nation',''),('object_property','urn:tpch:inNation','inNation','','urn:tpch:Customer','urn:tpch:Nation'),('object_property','urn:tpch:hint','hint','','','urn:tpch:Region'),"
-    "('data_property','http://www.w3.org/2000/01/rdf-schema#label','label','','',''),('data_property','http://www.w3.org/2000/01/rdf-schema#comment','comment','','','')) t(kind, uri, local_name, label, domain, range)",
+    f"SELECT 'class' AS kind, {_U.format('r')} AS uri, replace(r, ' ', '_') AS local_name, r AS label, '' AS comment, '' AS domain, '' AS range, '' AS parents FROM (SELECT DISTINCT r FROM {_PAIR}) UNION ALL SELECT 'class', {_U.format('n')}, replace(n, ' ', '_'), '', 'nation ' || k, '', '', {_U.format('r')} FROM {_PAIR} "
+    f"UNION ALL SELECT CASE WHEN k % 3 = 1 THEN 'data_property' ELSE 'object_property' END, 'urn:tpch:has' || replace(n, ' ', '_'), 'has' || replace(n, ' ', '_'), '', '', CASE WHEN k % 3 <> 2 THEN {_U.format('r')} ELSE array_to_string(list_sort([{_U.format('r')}, 'urn:tpch:Other']), ',') END, CASE WHEN k % 3 = 1 THEN '' ELSE {_U.format('n')} END, '' FROM {_PAIR} "
+    "UNION ALL SELECT 'data_property', 'http://www.w3.org/2000/01/rdf-schema#' || x, x, '', '', '', '', '' FROM (VALUES ('label'), ('comment')) v(x)",
 )
 def _(spark, d):
     from ..sources.turtle import ontology_records, parse_turtle, triples_frame
 
-    return ontology_records(triples_frame(spark, parse_turtle(_ONTOLOGY))).select("kind", "uri", "local_name", "label", F.array_join("domain", ",").alias("domain"), F.array_join("range", ",").alias("range"))
+    found = ontology_records(triples_frame(spark, parse_turtle(ontology(spark, d))))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("domain", "range", "parents")}).select("kind", "uri", "local_name", "label", "comment", "domain", "range", "parents")
+
+
+_WORKED = "SELECT CASE WHEN event_type = 'click' THEN NULL ELSE 'row_filter_rejected' END AS reason, CAST(event_id AS VARCHAR) AS key FROM events"
+
+
+@register(
+    REGISTRY,
+    "map_rule_summary",
+    " UNION ALL ".join(
+        f"SELECT '{i}' AS rule_id, '{i.split(':')[0]}' AS kind, count(*) AS reachable_rows, count(*) AS helper_calls, count(*) FILTER (reason IS NULL) AS emitted, coalesce((SELECT string_agg(reason || '=' || n, ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM ({q}) WHERE reason IS NOT NULL GROUP BY 1)), '') AS failures, coalesce((SELECT string_agg(key, ',' ORDER BY key) FROM (SELECT key FROM ({q}) WHERE reason IS NOT NULL ORDER BY key LIMIT 3)), '') AS samples FROM ({q})"
+        for i, q in (
+            ("class:0", _WORKED),
+            ("data:0", "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'empty_source_value' END AS reason, CAST(c_custkey AS VARCHAR) AS key FROM customer"),
+            ("object:0", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'missing_target_key' WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'missing_target_row' END AS reason, CAST(o_orderkey AS VARCHAR) AS key FROM orders"),
+        )
+    ),
+)
+def _(spark, d):
+    everyone = table(spark, d, "customer")
+    orders = table(spark, d, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS STRING) END"))
+    segments = everyone.withColumn("c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    first = planner(spark, d, [cls("events", "Click", row_filter=filtered("event_type", equals="click")), data("customer", "c_mktsegment", "segment")], {"customer": segments})
+    second = planner(spark, d, [link("orders", "o_custkey", "customer", "placedBy")], {"orders": orders, "customer": everyone.filter("c_acctbal < 0")})
+    return first.rule_summary().unionByName(second.rule_summary())
 
 
 def _chain_catalog() -> Catalog:

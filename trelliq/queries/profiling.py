@@ -93,39 +93,6 @@ def _(spark, d):
     return ops.value_samples(table(spark, d, "part"), ["p_type"], "p_name")
 
 
-@register(REGISTRY, "prof_table_roles", values_sql([(t, "subtype_table" if t == "labels" else "entity_table", False) for t in STAR.tables], "table_name, role, join_like"))
-def _(spark, d):
-    return spark.createDataFrame([(t.name, t.role, t.join_like) for t in STAR.tables.values()], "table_name string, role string, join_like boolean")
-
-
-_KEYED = {"region": ("r_regionkey", ()), "nation": ("n_nationkey", ("n_regionkey",)), "customer": ("c_custkey", ("c_nationkey",)), "orders": ("o_orderkey", ("o_custkey",)), "lineitem": ("", ("l_orderkey", "l_partkey", "l_suppkey")), "labels": ("doc_id", ())}
-
-
-@register(REGISTRY, "prof_column_roles", values_sql([(t, c, "primary_key" if c == pk else "foreign_key" if c in fks else "attribute", False) for t, (pk, fks) in _KEYED.items() for c in STAR.tables[t].names], "table_name, column_name, column_role, discriminator"))
-def _(spark, d):
-    return STAR.columns_frame(spark).filter(F.col("table_name").isin(*_KEYED)).select("table_name", "column_name", "column_role", "discriminator")
-
-
-@register(REGISTRY, "prof_schema_graph", values_sql([("contains_column", sum(len(t.names) for t in STAR.tables.values())), ("primary_key", 14), ("foreign_key", 9), ("reverse_foreign_key", 9), ("primary_key_as_foreign_key", 1)], "kind, n"))
-def _(spark, d):
-    return ops.schema_graph(spark, STAR).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
-
-
-_COMPONENTS = [(0, "benchmark"), (1, "conversations"), (2, "customer"), (2, "events"), (2, "lineitem"), (2, "nation"), (2, "orders"), (2, "part"), (2, "region"), (2, "supplier"), (3, "documents"), (3, "labels"), (4, "embeddings"), (5, "pages")]
-
-
-@register(REGISTRY, "prof_components", values_sql(_COMPONENTS, "component, table_name"))
-def _(spark, d):
-    return spark.createDataFrame(ops.components(STAR), "component int, table_name string")
-
-
-@register(REGISTRY, "prof_fk_neighbors", values_sql([("customer",), ("nation",), ("lineitem",), ("orders",), ("part",), ("supplier",)], "table_name"))
-def _(spark, d):
-    keys = STAR.keys_frame(spark)
-    start = spark.createDataFrame([("customer",), ("lineitem",)], "table_name string")
-    return start.union(start.join(keys, F.col("table_name") == F.col("child")).select("parent")).distinct()
-
-
 @register(REGISTRY, "prof_uri_key", "SELECT 'part' AS table_name, 'p_partkey' AS id_columns, 'primary_key' AS reason, 3.0::DOUBLE AS score UNION ALL SELECT 'region', 'r_regionkey', 'unique_non_null_profile', 2.2::DOUBLE FROM (SELECT count(*) AS n, count(DISTINCT r_regionkey) AS k FROM region) WHERE n = k UNION ALL SELECT 'lines', 'l_returnflag', 'fallback_table_key', 0.5::DOUBLE")
 def _(spark, d):
     bare = TableMeta("region", STAR.tables["region"].columns)
@@ -140,24 +107,17 @@ def _(spark, d):
     return cells.groupBy(F.lit("labels").alias("table_name"), "column_name").agg(F.count_distinct("v").alias("distinct_values"), F.count_if(text.truthy(F.col("v"))).alias("truthy_rows")).filter("truthy_rows > 0")
 
 
-_ATTRIBUTES = sum(len(t.names) - len(set(t.primary_key) | t.fk_columns) for t in STAR.tables.values())
-
-
-@register(REGISTRY, "prof_pattern_counts", values_sql([("SCHEMA_ENTITY", 12), ("ASSOCIATION_ENTITY", 1), ("SUBCLASS_PKFK", 1), ("IDENTIFIER_AS_URI", 12), ("LITERAL_ATTRIBUTE", _ATTRIBUTES), ("FK_OBJECT", 8)], "pattern_type, n"))
-def _(spark, d):
-    rows = spark.createDataFrame(patterns(STAR), "pattern_type string, tables string, columns string, score double")
-    return rows.groupBy("pattern_type").agg(F.count("*").cast("int").alias("n"))
+_GOES = "CASE column_name WHEN 'p_name' THEN 'http://x#name' WHEN 'p_size' THEN 'http://x#description' WHEN 'p_partkey' THEN 'http://x#partCode' WHEN 'p_brand' THEN 'http://x#title' ELSE 'http://x#other' END"
 
 
-@register(REGISTRY, "prof_pattern_rank", values_sql([("SUBCLASS_PKFK", "labels", 1)], "pattern_type, tables, place"))
+@register(
+    REGISTRY,
+    "prof_compat",
+    f"SELECT column_name, (identifier_likeness < 0.7 OR target = 'http://x#partCode') AND (NOT target IN ('http://x#name', 'http://x#description', 'http://x#title') OR mean_text_length >= 3) AS fits FROM (SELECT *, {_GOES} AS target FROM ({' UNION ALL '.join(_profile_sql('part', c) for c in STAR.tables['part'].names)}))",
+)
 def _(spark, d):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(patterns(STAR))], "position int, pattern_type string, tables string, columns string, score double")
-    ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "position")).cast("int"))  # a row a pattern of the schema
-    return ranked.filter("place = 1").select("pattern_type", "tables", "place")
-
+    from ..operators.validation import identifier_target
 
-@register(REGISTRY, "prof_compat", "SELECT 'p_partkey' AS column_name, FALSE AS fits_text, TRUE AS fits_identifier UNION ALL SELECT 'p_name', TRUE, TRUE UNION ALL SELECT 'p_size', FALSE, TRUE")
-def _(spark, d):
-    p = ops.value_profiles(STAR.tables["part"], table(spark, d, "part")).filter(F.col("column_name").isin("p_partkey", "p_name", "p_size"))
-    ident = F.col("identifier_likeness") >= 0.7
-    return p.select("column_name", (~ident & (F.col("mean_text_length") >= 3)).alias("fits_text"), F.lit(True).alias("fits_identifier"))
+    p = ops.value_profiles(STAR.tables["part"], table(spark, d, "part")).withColumn("target", F.expr(_GOES))
+    words = text.word_set(text.local_name(F.col("target")))
+    return ops.fits_target(p, identifier_target(text.local_name(F.col("target"))), F.arrays_overlap(words, F.array(*map(F.lit, ("name", "description", "title"))))).select("column_name", "fits")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import decisions
 from ..operators import retrieval as ops
 from .base import register, table
+from .corpus import ask
 
 REGISTRY: dict = {}
 
@@ -41,9 +43,8 @@ def names(spark, d):
 
 
 def pairs(spark, d):
-    """Names of one kind against each other: a handful of distinct values on either side."""
-    s, t = names(spark, d)
-    return s.withColumn("kind", F.lit("name")).join(t.withColumn("kind", F.lit("name")), "kind").drop("kind")
+    """Names of sources with those of all targets."""
+    return ops.every_target(*names(spark, d))
 
 
 _BONUS = f"(SELECT source, target, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE least(1.0, (len(list_intersect(a, b)) + CASE WHEN len(list_intersect(a, b)) IN (len(a), len(b)) THEN 2 ELSE 0 END) * 0.35) END AS bonus FROM (SELECT source, target, {words_sql('source')} AS a, {words_sql('target')} AS b FROM {_NAMES}))"
@@ -87,19 +88,21 @@ def _(spark, d):
 _COS = "(SELECT a.vec_id AS source, b.vec_id AS target, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 
 
-def _cosines(spark, d, zero):
+def _cosines(spark, d, zero, k):
+    """The best targets of each vector among others of its label; one more than asked for, as a vector finds itself."""
     e = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("label").alias("kind"), F.col("embedding").alias("vector"))
-    return ops.dense(e.withColumnRenamed("vec_id", "source"), e.withColumnRenamed("vec_id", "target"), "source", "target", zero=zero).filter("source <> target")
+    best = ops.dense_top(e.withColumnRenamed("vec_id", "source"), e.withColumnRenamed("vec_id", "target"), "source", "target", k + 1, zero=zero)
+    return best.filter("source <> target")
 
 
 @register(REGISTRY, "ret_cosine", f"SELECT source, target, rank, round(1 - s, 6) AS distance FROM (SELECT source, target, round(score, 6) AS s, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, target) AS rank FROM {_COS}) WHERE rank <= 16")
 def _(spark, d):
-    return ops.ranked(_cosines(spark, d, "error"), "source", "target", F.round("score", 6), 16).select("source", "target", F.col("rank").cast("long"), F.round(1 - F.col("score"), 6).alias("distance"))
+    return ops.ranked(_cosines(spark, d, "error", 16), "source", "target", F.round("score", 6), 16).select("source", "target", F.col("rank").cast("long"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
 @register(REGISTRY, "ret_dense", f"SELECT source, target, s AS score, rank FROM (SELECT source, target, round(score, 6) AS s, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, target) AS rank FROM {_COS}) WHERE rank <= 20")
 def _(spark, d):
-    return ops.ranked(_cosines(spark, d, "zero"), "source", "target", F.round("score", 6), 20).select("source", "target", "score", F.col("rank").cast("long"))
+    return ops.ranked(_cosines(spark, d, "zero", 20), "source", "target", F.round("score", 6), 20).select("source", "target", "score", F.col("rank").cast("long"))
 
 
 _DOT = f"(SELECT source, target, coalesce((SELECT sum(a.w * b.w) FROM {_embed_sql('(SELECT DISTINCT p_type FROM part)', 'p_type', 'p_type')} a JOIN {_embed_sql('(SELECT DISTINCT p_name FROM part)', 'p_name', 'p_name')} b ON a.idx = b.idx WHERE a.k = source AND b.k = target), 0) AS dot FROM {_NAMES})"
@@ -180,24 +183,21 @@ def _(spark, d):
     return ops.ranked(both, "item_id", "doc_id", F.round("score", 9), 16).withColumn("rank", F.col("rank").cast("long"))
 
 
-_CLASSES = [("Author", "Person"), ("CoAuthor", "Author"), ("Reviewer", "Person"), ("Paper", "Document"), ("Person", "")]
-_COLUMNS = [("is_author", "person"), ("is_reviewer", "person"), ("is_co-author", "person")]
-_DISC = ", ".join(f"('{a}', '{b}')" for a, b in _CLASSES), ", ".join(f"('{a}', '{b}')" for a, b in _COLUMNS)
+#: Discriminator columns of tables, and classes with their parents, as parts name them.
+_COLUMNS = "SELECT DISTINCT 'is_' || replace(p_name, ' ', '_') AS source, lower(p_type) AS base FROM part WHERE p_size % 4 = 0"
+_CLASSES = "SELECT DISTINCT replace(p_name, ' ', '-') AS target, p_type AS parent FROM part WHERE p_size % 3 = 0"
 
 
 @register(
     REGISTRY,
     "ret_discriminator",
-    f"SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM (SELECT source, target, 4 * len(list_intersect(w, c)) + 2 * len(list_intersect(b, c)) + CASE WHEN lower(parent) = base THEN 8 ELSE 0 END + CASE WHEN len(list_intersect(w, c)) = len(w) THEN 3 ELSE 0 END AS score FROM "
-    f"(SELECT source, base, target, parent, {words_sql('regexp_replace(source, chr(94) || chr(105) || chr(115) || chr(95), chr(32))')} AS w, {words_sql('base')} AS b, {words_sql('target')} AS c FROM (VALUES {_DISC[1]}) s(source, base), (VALUES {_DISC[0]}) t(target, parent))) WHERE score > 0",
+    f"SELECT source, base, target, parent, score, row_number() OVER (PARTITION BY source, base ORDER BY score DESC, target, parent) AS rank FROM (SELECT source, base, target, parent, 4 * len(list_intersect(w, c)) + 2 * len(list_intersect(b, c)) + CASE WHEN lower(parent) = base THEN 8 ELSE 0 END + CASE WHEN len(list_intersect(w, c)) = len(w) THEN 3 ELSE 0 END AS score FROM "
+    f"(SELECT source, base, target, parent, {words_sql('regexp_replace(source, chr(94) || chr(105) || chr(115) || chr(95), chr(32))')} AS w, {words_sql('base')} AS b, {words_sql('target')} AS c FROM ({_COLUMNS}) s, ({_CLASSES}) t)) WHERE score > 0 QUALIFY rank <= 16",
 )
 def _(spark, d):
-    s, t = spark.createDataFrame(_COLUMNS, "source string, base string"), spark.createDataFrame(_CLASSES, "target string, parent string")
-    w, b, c = text.word_set(F.regexp_replace("source", "^is_", " ")), text.word_set(F.col("base")), text.word_set(F.col("target"))
-    both = F.size(F.array_intersect(w, c))
-    score = 4 * both + 2 * F.size(F.array_intersect(b, c)) + F.when(F.lower("parent") == F.col("base"), 8).otherwise(0) + F.when(both == F.size(w), 3).otherwise(0)
-    made = s.join(t, F.lit(True)).select("source", "target", score.alias("score")).filter("score > 0")  # a few declared names
-    return ops.ranked(made, "source", "target", F.col("score").cast("long")).withColumn("rank", F.col("rank").cast("long"))
+    made = ops.discriminator_scores(ask(spark, d, _COLUMNS), ask(spark, d, _CLASSES))
+    w = Window.partitionBy("source", "base").orderBy(F.desc("score"), "target", "parent")
+    return made.withColumn("rank", F.row_number().over(w)).filter("rank <= 16").withColumns({c: F.col(c).cast("long") for c in ("score", "rank")})
 
 
 @register(REGISTRY, "ret_offline_match", f"SELECT source, target, 0.5::DOUBLE AS confidence FROM {_LEV_RANKED} WHERE rank = 1")

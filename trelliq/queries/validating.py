@@ -1,87 +1,17 @@
-"""val_*: checks of rules, matches, coverage and decisions."""
+"""val_*: reachability, facts, answers, and decisions on runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import star_catalog
-from ..functions import text
-from ..operators import profiling
+from ..operators import judging
 from ..operators import validation as ops
+from ..operators.decisions import Recorded
 from ..plans import materialize
-from ..plans.rules import rules_frame
-from .base import NS, STAR_RULES, STAR_SQL, cls, data, filtered, link, planner, register, star_triples, table
-from .profiling import values_sql
+from .base import STAR_SQL, cls, filtered, planner, register, star_triples, table
+from .corpus import RUNS, ask
 
 REGISTRY: dict = {}
-STAR = star_catalog()
-#: Rules with one fault each, and good ones.
-FAULTY = [
-    cls("customer", "Customer", match_ids=("source-class:customer",)),
-    cls("ghost", "Ghost"),
-    cls("nation", "Big", row_filter=filtered("n_size", truthy=True), match_ids=("source-class:nation",)),
-    data("customer", "c_name", "name", match_ids=("source-data:customer.c_name",)),
-    data("customer", "c_nationkey", "nationNumber", match_ids=("nobody",)),
-    data("customer", "c_phone", "phone"),
-    link("customer", "c_nationkey", "nation", "inNation", match_ids=("source-object:customer.c_nationkey",)),
-    link("customer", "c_custkey", "nation", "odd"),
-    link("customer", "c_nationkey", "planet", "onPlanet"),
-]
-SELECTED = [("source-class:customer", NS + "Customer"), ("source-class:nation", NS + "Nation"), ("source-data:customer.c_name", NS + "name"), ("source-data:nation.n_name", NS + "nationName"), ("source-object:customer.c_nationkey", NS + "inNation"), ("source-data:part.p_name", None)]
-
-
-def selected(spark):
-    return spark.createDataFrame(SELECTED, "source_id string, target string")
-
-
-@register(REGISTRY, "val_fol_issues", values_sql([("class:1", "unknown_source_table"), ("class:2", "invalid_row_filter"), ("data:1", "fk_column_used_as_direct_data_rule"), ("data:2", "unknown_source_column"), ("object:1", "object_rule_not_supported_by_fk"), ("object:2", "unknown_target_table")], "rule_id, issue"))
-def _(spark, d):
-    return spark.createDataFrame(ops.schema_issues(FAULTY, STAR), "rule_id string, issue string")
-
-
-_PROVENANCE = [("class:1", "target_not_in_selected_matches"), ("class:2", "target_not_in_selected_matches"), ("data:1", "target_not_in_selected_matches"), ("data:2", "target_not_in_selected_matches"), ("object:1", "target_not_in_selected_matches"), ("object:2", "target_not_in_selected_matches"), ("class:1", "missing_match_ids"), ("data:2", "missing_match_ids"), ("object:1", "missing_match_ids"), ("object:2", "missing_match_ids"), ("data:1", "match_ids_do_not_reference_selected_matches")]
-
-
-@register(REGISTRY, "val_target_provenance", values_sql(_PROVENANCE, "rule_id, issue"))
-def _(spark, d):
-    return ops.target_provenance(rules_frame(spark, FAULTY), selected(spark))
-
-
-@register(REGISTRY, "val_issue_counts", f"SELECT issue, count(*) AS n FROM ({values_sql(_PROVENANCE, 'rule_id, issue')}) GROUP BY issue")
-def _(spark, d):
-    return ops.target_provenance(rules_frame(spark, FAULTY), selected(spark)).groupBy("issue").agg(F.count("*").alias("n"))
-
-
-@register(REGISTRY, "val_rule_grounding", values_sql([("class:0", NS + "Customer"), ("data:0", NS + "name"), ("data:1", NS + "name")], "rule_id, target"))
-def _(spark, d):
-    rules = rules_frame(spark, [cls("customer", "Customer"), cls("ghost", "Customer"), data("customer", "c_name", "name"), data("nation", "n_name", "name"), data("nation", "n_size", "name"), data("region", "r_name", "unknown")])
-    rules = rules.withColumn("target", F.when(F.col("rule_id") == "data:1", "t-name").otherwise(F.col("target")))
-    targets = spark.createDataFrame([("class", "t-customer", NS + "Customer"), ("data", "t-name", NS + "name")], "kind string, id string, uri string")
-    return ops.grounded(rules, STAR.columns_frame(spark), targets).select("rule_id", "target")
-
-
-@register(REGISTRY, "val_role_prefix", values_sql([("class:urn:x", "urn:x"), ("data_property:urn:y", "urn:y"), ("urn:z", "urn:z")], "raw, target"))
-def _(spark, d):
-    return spark.createDataFrame([("class:urn:x",), ("data_property:urn:y",), ("urn:z",)], "raw string").select("raw", ops.strip_role_prefix(F.col("raw")).alias("target"))
-
-
-@register(REGISTRY, "val_class_compat", values_sql([("customer", "http://x#Customer", True), ("people", "http://x#Person", True), ("cities", "http://x#City", True), ("orders", "http://x#Customer", False)], "source_table, target, compatible"))
-def _(spark, d):
-    rows = spark.createDataFrame([("customer", "http://x#Customer"), ("people", "http://x#Person"), ("cities", "http://x#City"), ("orders", "http://x#Customer")], "source_table string, target string")
-    return rows.select("source_table", "target", F.arrays_overlap(text.word_set(F.col("source_table")), text.word_set(text.local_name(F.col("target")))).alias("compatible"))
-
-
-@register(REGISTRY, "val_domain_range", values_sql([(1, 2, 2), (2, 1, 1), (3, 0, 0), (4, 1, 1)], "id, rules_score, evidence_score"))
-def _(spark, d):
-    rows = spark.createDataFrame([(1, "http://x#Customer", ["http://x#Customer"]), (2, "http://x#BigCustomer", ["http://x#Customer", "http://x#Part"]), (3, "http://x#Part", ["http://x#Customer"]), (4, "http://x#Part", [])], "id int, cls string, domain array<string>")
-    words = text.word_set(text.local_name(F.col("cls")))
-    return rows.select("id", ops.side_score(words, F.col("domain"), 1).alias("rules_score"), ops.side_score(words, F.col("domain"), 1).alias("evidence_score"))
-
-
-@register(REGISTRY, "val_match_issues", values_sql([("source-data:customer.c_nationkey", "fk_column_mapped_to_non_identifier_data_property"), ("source-data:customer.c_nationkey", "generic_identifier_mapped_to_non_identifier_data_property"), ("source-class:customer", "kind_mismatch")], "source_id, issue"))
-def _(spark, d):
-    rows = [("source-data:customer.c_nationkey", "data_property", "http://x#label", "data_property"), ("source-data:customer.c_name", "data_property", "http://x#name", "data_property"), ("source-class:customer", "class", "http://x#name", "data_property"), ("source-data:orders.o_custkey", "data_property", "http://x#customerId", "data_property"), ("source-data:part.p_name", "data_property", None, None)]
-    return ops.match_issues(spark.createDataFrame(rows, "source_id string, source_kind string, target string, target_kind string"), STAR.columns_frame(spark))
 
 
 @register(REGISTRY, "val_reach_direct", "SELECT count(*) AS row_count, count(*) FILTER (o_orderstatus <> 'P') AS nonempty_rows, count(*) FILTER (o_orderstatus <> 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) AS hit_rows FROM orders")
@@ -98,207 +28,189 @@ def _(spark, d):
     return ops.association_reachability(table(spark, d, "lineitem"), ("l_orderkey", table(spark, d, "orders").filter("o_orderstatus = 'F'"), "o_orderkey"), ("l_partkey", table(spark, d, "part").filter("p_size < 25"), "p_partkey"))
 
 
-def plans(spark):
-    matches = spark.createDataFrame([("m1", "customer", "c_nationkey", ["urn:x#Customer"], ["urn:x#Nation"]), ("m2", "orders", "o_custkey", ["urn:x#Customer"], []), ("m3", "nation", "n_regionkey", ["urn:x#Part"], ["urn:x#Part"])], "source_id string, child string, columns string, domain array<string>, range array<string>")
-    classes = spark.createDataFrame([("customer", "urn:x#Customer"), ("nation", "urn:x#Nation"), ("orders", "urn:x#Order"), ("region", "urn:x#Region")], "table_name string, target string")
-    return ops.legal_plans(matches, STAR.keys_frame(spark), classes)
-
-
-_PLANS = [("m1", "direct", 'm1|direct|{"child":"customer","columns":"c_nationkey","parent":"nation"}'), ("m2", "inverse", 'm2|inverse|{"child":"orders","columns":"o_custkey","parent":"customer"}')]
-
-
-@register(REGISTRY, "val_legal_plans", values_sql(_PLANS, "source_id, orientation, plan_id"))
-def _(spark, d):
-    return plans(spark).select("source_id", "orientation", "plan_id")
-
-
-@register(REGISTRY, "val_plan_conformance", values_sql([("object:1", "missing_plan_id"), ("object:2", "unknown_plan_id"), ("object:3", "target_table_mismatch"), ("object:4", "zero_reachability")], "rule_id, issue"))
-def _(spark, d):
-    a, b = _PLANS[0][2], _PLANS[1][2]
-    rules = spark.createDataFrame([("object:0", a, "nation"), ("object:1", None, "nation"), ("object:2", "m9|direct|{}", "nation"), ("object:3", a, "region"), ("object:4", b, "customer")], "rule_id string, plan_id string, target_table string")
-    return ops.plan_conformance(rules, plans(spark).withColumn("reached", F.when(F.col("source_id") == "m1", 5).otherwise(0)))
-
-
-@register(REGISTRY, "val_attr_coverage", values_sql([("source-data:nation.n_name", "selected_match_without_rule")], "source_id, issue"))
+@register(REGISTRY, "val_graph_counts", f"WITH g AS (SELECT DISTINCT * FROM ({STAR_SQL})) SELECT o AS iri, 'class' AS role, count(*) AS triples, count(DISTINCT s) AS subjects, 0 AS objects FROM g WHERE p LIKE '%#type' GROUP BY o UNION ALL SELECT p, 'predicate', count(*), count(DISTINCT s), count(DISTINCT o) FROM g GROUP BY p")
 def _(spark, d):
-    return ops.uncovered(selected(spark), rules_frame(spark, FAULTY))
+    return materialize.graph_counts(star_triples(spark, d)).withColumn("objects", F.col("objects").cast("int"))
 
 
-@register(REGISTRY, "val_rules_for_match", values_sql([("source-class:customer", "class:0"), ("source-class:nation", "class:2"), ("source-data:customer.c_name", "data:0"), ("source-object:customer.c_nationkey", "object:0")], "source_id, rule_id"))
+@register(REGISTRY, "val_vectors", "SELECT vec_id, 'dimension_mismatch' AS issue FROM embeddings WHERE label = 3")
 def _(spark, d):
-    return ops.rules_for_matches(selected(spark).filter("target is not null"), rules_frame(spark, FAULTY))
+    e = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    return ops.vector_issues(e, "vec_id", "embedding", 64)
 
 
-@register(REGISTRY, "val_graph_counts", f"WITH g AS (SELECT DISTINCT * FROM ({STAR_SQL})) SELECT o AS iri, 'class' AS role, count(*) AS triples, count(DISTINCT s) AS subjects, 0 AS objects FROM g WHERE p LIKE '%#type' GROUP BY o UNION ALL SELECT p, 'predicate', count(*), count(DISTINCT s), count(DISTINCT o) FROM g GROUP BY p")
+@register(REGISTRY, "val_runtime_score", "SELECT 1 AS emitting_rules, 1 AS failing_rules, count(*) FILTER (event_type = 'click') AS emitted, count(*) FILTER (event_type <> 'click') AS failures FROM events")
 def _(spark, d):
-    return materialize.graph_counts(star_triples(spark, d)).withColumn("objects", F.col("objects").cast("int"))
-
+    stats = planner(spark, d, [cls("events", "Click", row_filter=filtered("event_type", equals="click"))]).stats()
+    ok = F.col("outcome") == "emitted"
+    return stats.agg(F.count_distinct(F.when(ok, F.col("rule_id"))).cast("int").alias("emitting_rules"), F.count_distinct(F.when(~ok, F.col("rule_id"))).cast("int").alias("failing_rules"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("emitted"), F.sum(F.when(ok, 0).otherwise(F.col("n"))).alias("failures"))
 
-_COVER = [("source-data:customer.c_name", "customer", "c_name", NS + "name"), ("source-data:part.p_name", "part", "p_name", NS + "partName"), ("source-data:part.p_brand", "part", "p_brand", NS + "status")]
 
+# --- facts and answers -------------------------------------------------------------------------------------------------
 
-def coverage(spark, d):
-    m = spark.createDataFrame(_COVER, "source_id string, table_name string, column_name string, target string")
-    counts = materialize.graph_counts(star_triples(spark, d)).filter("role = 'predicate'").select("iri", "triples")
-    summary = profiling.row_summary(STAR.tables["part"], table(spark, d, "part"), ["p_name", "p_brand"]).unionByName(profiling.row_summary(STAR.tables["customer"], table(spark, d, "customer"), ["c_name"]))
-    return ops.coverage_issues(m, counts, summary.select("table_name", "column_name", "non_empty_count", "identifier_like_rate"))
+_FACTS = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'urn:a' WHEN 1 THEN 'http://a' WHEN 2 THEN 'a' ELSE 'https://a/' || event_type END AS s, CASE user_id % 3 WHEN 0 THEN 'p' ELSE 'urn:p' END AS p, CASE event_id % 5 WHEN 0 THEN 'b c' WHEN 1 THEN 'urn:b' ELSE event_type END AS o, user_id % 2 = 0 AS is_literal FROM events"
+_URI = "regexp_matches({}, '^(http://|https://|urn:)')"
 
 
-_IDENT = "(regexp_matches(trim({c}), '^[A-Za-z0-9_-]{{1,12}}$') OR regexp_matches(trim({c}), '^[A-Za-z]?[0-9]+[A-Za-z]?$'))"
-_COVERAGE = (
-    f"WITH g AS (SELECT DISTINCT * FROM ({STAR_SQL})), x AS ("
-    + " UNION ALL ".join(f"SELECT '{s}' AS source_id, '{c}' AS column_name, (SELECT count(*) FROM g WHERE p = '{t}') AS n, (SELECT count(*) FROM {tab}) AS n_rows, (SELECT avg(CASE WHEN {_IDENT.format(c=c)} THEN 1.0 ELSE 0 END) FROM {tab}) AS ident" for s, tab, c, t in _COVER)
-    + ") SELECT source_id, 'zero_emission' AS issue FROM x WHERE n = 0 UNION ALL SELECT source_id, 'text_values_missing' FROM x WHERE n = 0 AND n_rows > 0 AND ident < 0.5 UNION ALL SELECT source_id, 'identifier_like_text' FROM x WHERE ident >= 0.8 AND regexp_matches(column_name, 'name|title|text|comment') UNION ALL SELECT source_id, 'overbroad_emission' FROM x WHERE n > greatest(20, 3 * n_rows)"
+@register(
+    REGISTRY,
+    "val_invalid_triples",
+    "SELECT s, p, o, reason, count(*) AS n FROM (SELECT s, p, o, unnest([" + ", ".join(f"CASE WHEN {t} THEN 'invalid_{n}' END" for n, t in (("subject", f"NOT {_URI.format('s')}"), ("predicate", f"NOT {_URI.format('p')}"), ("object", f"NOT is_literal AND NOT {_URI.format('o')}"))) + f"]) AS reason FROM ({_FACTS})) WHERE reason IS NOT NULL GROUP BY ALL",
 )
-
-
-@register(REGISTRY, "val_coverage_issues", _COVERAGE)
 def _(spark, d):
-    return coverage(spark, d)
+    return materialize.invalid_triples(ask(spark, d, _FACTS).drop("event_id")).groupBy("s", "p", "o", "reason").agg(F.count("*").alias("n"))
 
 
-@register(REGISTRY, "val_coverage_summary", f"SELECT count(*) AS issues, count(DISTINCT source_id) AS sources, count(*) FILTER (issue = 'zero_emission') AS zero_emission, count(*) FILTER (issue = 'overbroad_emission') AS overbroad FROM ({_COVERAGE})")
-def _(spark, d):
-    return coverage(spark, d).agg(F.count("*").alias("issues"), F.count_distinct("source_id").alias("sources"), F.count_if(F.col("issue") == "zero_emission").alias("zero_emission"), F.count_if(F.col("issue") == "overbroad_emission").alias("overbroad"))
+#: Answers to one request a customer: good ones, no JSON, another source, a target not offered, odd confidences, none or two.
+_ONE = "'{\"source_id\":\"' || CASE WHEN c_custkey % 11 = 0 THEN 's0x' ELSE 's' || CAST(c_custkey AS STRING) END || '\",\"target_uri\":' || CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE '\"u' || CAST(c_custkey % 5 AS STRING) || '\"' END || ',\"confidence\":' || CASE WHEN c_custkey % 13 = 0 THEN '1.5' ELSE '0.5' END || '}'"
+_SAID = f"SELECT 's' || CAST(c_custkey AS STRING) AS source_id, c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 'no json' WHEN c_custkey % 19 = 0 THEN '{{\"matches\":[]}}' WHEN c_custkey % 6 = 0 THEN '{{\"matches\":[' || {_ONE} || ',' || {_ONE} || ']}}' ELSE '{{\"matches\":[' || {_ONE} || ']}}' END AS body FROM customer"
+_OFFERED = "SELECT 's' || CAST(c_custkey AS STRING) AS source_id, 'u1' AS target FROM customer UNION ALL SELECT 's' || CAST(c_custkey AS STRING), 'u2' FROM customer WHERE c_custkey % 2 = 0"
+_THERE = "k % 17 <> 0 AND k % 19 <> 0"
 
 
-@register(REGISTRY, "val_mapping_diag", values_sql([(5, 0, 0, 0, 3, 3, 3)], "selected_matches, invalid_targets, generic_id_matches, join_table_matches, class_rules, data_rules, object_rules"))
+@register(
+    REGISTRY,
+    "val_contract",
+    "SELECT source_id, issue FROM (SELECT source_id, unnest([CASE WHEN k % 17 = 0 THEN 'invalid_json' END, CASE WHEN k % 17 <> 0 AND (k % 19 = 0 OR k % 6 = 0) THEN 'not_one_decision' END, "
+    f"CASE WHEN {_THERE} AND k % 11 = 0 THEN 'source_id_mismatch' END, CASE WHEN {_THERE} AND k % 7 <> 0 AND NOT (k % 5 = 1 OR (k % 5 = 2 AND k % 2 = 0)) THEN 'target_not_offered' END, CASE WHEN {_THERE} AND k % 13 = 0 THEN 'confidence_out_of_range' END]) AS issue FROM (SELECT 's' || c_custkey AS source_id, c_custkey AS k FROM customer)) WHERE issue IS NOT NULL",
+)
 def _(spark, d):
-    m = selected(spark).filter("target is not null")
-    cols = STAR.columns_frame(spark)
-    ids = cols.filter("is_fk").select(F.concat(F.lit("source-data:"), "table_name", F.lit("."), "column_name").alias("source_id"), F.lit(1).alias("g"))
-    joins = cols.filter("table_role = 'join_table'").select(F.concat(F.lit("source-class:"), "table_name").alias("source_id"), F.lit(1).alias("j")).distinct()
-    one = m.join(ids, "source_id", "left").join(joins, "source_id", "left").agg(F.count("*").cast("int").alias("selected_matches"), F.count_if(~F.col("target").rlike("^(https?://|urn:)")).cast("int").alias("invalid_targets"), F.count("g").cast("int").alias("generic_id_matches"), F.count("j").cast("int").alias("join_table_matches"))
-    rules = rules_frame(spark, FAULTY).agg(*[F.count_if(F.col("kind") == k).cast("int").alias(f"{k}_rules") for k in ("class", "data", "object")])
-    return one.join(rules)
+    return ops.contract_issues(ask(spark, d, _SAID).select("source_id", "body"), ask(spark, d, _OFFERED))
 
 
-_TRIPLES = [("urn:a", "urn:p", "urn:b", False), ("a", "urn:p", "x", True), ("urn:a", "p", "urn:b", False), ("urn:a", "urn:p", "b", False), ("a", "p", "b", False)]
+_CHOICES = "SELECT DISTINCT o_custkey AS source, o_orderpriority AS target FROM orders"
+_DECIDED = "SELECT c_custkey AS source, CASE c_custkey % 6 WHEN 0 THEN ' No_Match ' WHEN 1 THEN NULL WHEN 2 THEN '1-URGENT' WHEN 3 THEN '5-LOW' WHEN 4 THEN 'unheard of' ELSE 'none' END AS target, c_custkey % 10 / 10.0 AS confidence FROM customer"
 
 
-@register(REGISTRY, "val_invalid_triples", values_sql([("a", "urn:p", "x", "invalid_subject"), ("urn:a", "p", "urn:b", "invalid_predicate"), ("urn:a", "urn:p", "b", "invalid_object"), ("a", "p", "b", "invalid_subject"), ("a", "p", "b", "invalid_predicate"), ("a", "p", "b", "invalid_object")], "s, p, o, reason"))
+@register(REGISTRY, "val_decisions", f"SELECT source, CASE WHEN ok THEN target END AS target, CASE WHEN ok THEN round(confidence, 6) ELSE 0 END::DOUBLE AS confidence FROM (SELECT *, (source, target) IN ({_CHOICES.replace('SELECT DISTINCT o_custkey AS source, o_orderpriority AS target', 'SELECT (o_custkey, o_orderpriority)')}) AS ok FROM ({_DECIDED})) WHERE source IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
-    return materialize.invalid_triples(spark.createDataFrame(_TRIPLES, "s string, p string, o string, is_literal boolean"))
-
-
-@register(REGISTRY, "val_vectors", "SELECT vec_id, 'dimension_mismatch' AS issue FROM embeddings WHERE label = 3")
-def _(spark, d):
-    e = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("label") == 3, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
-    return ops.vector_issues(e, "vec_id", "embedding", 64)
-
+    said = ask(spark, d, _DECIDED).withColumn("confidence", F.col("confidence").cast("double"))
+    return Recorded(said).decide(ask(spark, d, _CHOICES)).withColumn("confidence", F.round("confidence", 6))
 
-_RESPONSES = [("s1", '{"matches":[{"source_id":"s1","target_uri":"u1","confidence":0.9}]}'), ("s2", "no json"), ("s3", '{"matches":[{"source_id":"s9","target_uri":"u9","confidence":1.5}]}'), ("s4", '{"matches":[]}')]
 
-
-@register(REGISTRY, "val_contract", values_sql([("s2", "invalid_json"), ("s3", "source_id_mismatch"), ("s3", "target_not_offered"), ("s3", "confidence_out_of_range"), ("s4", "not_one_decision")], "source_id, issue"))
-def _(spark, d):
-    offered = spark.createDataFrame([(f"s{i}", u) for i in (1, 2, 3, 4) for u in ("u1", "u2")], "source_id string, target string")
-    return ops.contract_issues(spark.createDataFrame(_RESPONSES, "source_id string, body string"), offered)
+_ITEMS = "SELECT o_custkey AS source_id, o_orderpriority AS target, o_orderkey % 3 + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 3 - o_orderkey % 3 END AS reasons FROM orders WHERE o_orderkey % 3 = 0"
 
 
-@register(REGISTRY, "val_decisions", values_sql([("s1", "u1", 0.9), ("s2", None, 0.0), ("s3", None, 0.0)], "source, target, confidence").replace("confidence)", "confidence)").replace("SELECT *", "SELECT source, target, confidence::DOUBLE AS confidence"))
+@register(
+    REGISTRY,
+    "val_shortlist",
+    f"SELECT source_id, issue FROM (SELECT source_id, unnest([CASE WHEN n = 0 THEN 'empty_shortlist' END, CASE WHEN n > 3 THEN 'too_many_items' END, CASE WHEN u < n THEN 'repeated_item' END, CASE WHEN odd > 0 THEN 'wrong_reason_count' END]) AS issue FROM (SELECT c_custkey AS source_id, count(target) AS n, count(DISTINCT target) AS u, count(*) FILTER (reasons <> 3) AS odd FROM customer LEFT JOIN ({_ITEMS}) ON source_id = c_custkey GROUP BY 1)) WHERE issue IS NOT NULL",
+)
 def _(spark, d):
-    from ..operators.decisions import Recorded
+    items = ask(spark, d, _ITEMS).select("source_id", F.struct("target", F.array_repeat(F.lit("why"), F.col("reasons").cast("int")).alias("reasons")).alias("item"))
+    lists = items.groupBy("source_id").agg(F.collect_list("item").alias("items"))
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"))
+    empty = F.array().cast("array<struct<target:string,reasons:array<string>>>")
+    return ops.shortlist_issues(everyone.join(lists, "source_id", "left").withColumn("items", F.coalesce("items", empty)))
 
-    offered = spark.createDataFrame([(s, t, i + 1) for s in ("s1", "s2", "s3") for i, t in enumerate(("u1", "u2"))], "source string, target string, rank int")
-    said = spark.createDataFrame([("s1", "u1", 0.9), ("s2", "No_Match", 0.8), ("s3", "u7", 0.7), ("s9", "u1", 0.6)], "source string, target string, confidence double")
-    return Recorded(said).decide(offered)
 
+# --- decisions on repairs and runs ---------------------------------------------------------------------------------------
 
-@register(REGISTRY, "val_shortlist", values_sql([("s2", "too_many_items"), ("s2", "repeated_item"), ("s3", "wrong_reason_count"), ("s4", "empty_shortlist")], "source_id, issue"))
-def _(spark, d):
-    r = ["a", "b", "c"]
-    rows = [("s1", [("u1", r), ("u2", r)]), ("s2", [("u1", r), ("u1", r), ("u2", r), ("u3", r)]), ("s3", [("u1", ["a"])]), ("s4", [])]
-    return ops.shortlist_issues(spark.createDataFrame(rows, "source_id string, items array<struct<target:string,reasons:array<string>>>"))
-
+#: A proposed repair for each order: what it had before and after.
+_REPAIRS = (
+    "SELECT k, a % 9 AS issues_before, (a + b) % 9 AS issues_after, a % 4 AS class_before, b % 4 AS class_after, b % 5 AS data_before, c AS data_after, e AS object_before, a % 3 AS object_after, CASE WHEN k % 10 = 0 THEN 0 ELSE 5 END AS selected, "
+    "'r' || CAST(a % 6 AS STRING) AS class_text_before, 'r' || CAST(a % 3 AS STRING) AS class_text_after, CASE WHEN e = 0 THEN NULL ELSE 'd' END AS data_text_before, CASE WHEN e < 2 THEN NULL ELSE 'd' END AS data_text_after, b AS object_issues_before, c AS object_issues_after, "
+    "CASE WHEN a % 11 = 0 THEN 2 ELSE 0 END AS target_not_in_selected_matches, CASE WHEN a % 13 = 0 THEN 1 ELSE 0 END AS missing_match_ids, 0 AS match_ids_do_not_reference_selected_matches, CASE WHEN b = 1 THEN 1 ELSE 0 END AS dropped_class_targets, 0 AS dropped_data_targets, e AS dropped_object_targets, "
+    f"CASE WHEN c = 3 THEN 1 ELSE 0 END AS dropped_filters, c AS dropped_groundings, b AS protected_object_targets FROM ({RUNS}) runs"
+)
+_T0, _T1 = "(class_before + data_before + object_before)", "(class_after + data_after + object_after)"
+_BASE = [
+    ("validation_issue_count_worse", "issues_after > issues_before"), ("repaired_fol_removed_all_rules", f"{_T0} > 0 AND {_T1} = 0"), ("selected_matches_but_no_repaired_rules", f"selected > 0 AND {_T1} = 0"), ("repaired_rule_count_below_50_percent", f"{_T0} > 0 AND {_T1} * 2 < {_T0}"),
+    *[(f"repaired_fol_removed_{k}_rules", f"{k}_before > 0 AND {k}_after = 0") for k in judging.KINDS],
+]
+_OBJECT = [*_BASE, *[(f"targeted_object_repair_modified_{k}_rules", f"{k}_text_before IS DISTINCT FROM {k}_text_after") for k in ("class", "data")], ("targeted_object_issue_count_worse", "object_issues_after > object_issues_before")]
+_KEEP = [
+    *_BASE, *[(f"critical_fol_issue_after_repair:{n}", f"{n} > 0") for n in judging.CRITICAL_ISSUES], *[(f"preservation_gate_dropped_selected_{k}_targets", f"dropped_{k}_targets > 0") for k in judging.KINDS],
+    ("preservation_gate_dropped_filtered_class_rules", "dropped_filters > 0"), ("preservation_gate_changed_object_grounding", "dropped_groundings > 0 AND protected_object_targets > 0"),
+]
 
-_PARTS = [(0, "class", "customer", "C"), (1, "class", "customer", "C"), (2, "data", "customer", "n")]
 
+def _reasons_sql(tests, rel, key="k"):
+    why = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests) + "], lambda x: x IS NOT NULL)"
+    return f"SELECT {key}, len(w) = 0 AS accepted, array_to_string(w, ',') AS reasons FROM (SELECT *, {why} AS w FROM ({rel}))"
 
-@register(REGISTRY, "val_rule_merge", values_sql([('{"kind":"class","source_table":"customer","target":"C"}', 0), ('{"kind":"data","source_table":"customer","target":"n"}', 2)], "rule, position"))
-def _(spark, d):
-    return ops.merge_rules(spark.createDataFrame(_PARTS, "position int, kind string, source_table string, target string"), ["kind", "source_table", "target"], "position")
 
+for _name, _sql, _tests in (("val_acceptance", _BASE, judging.repair_tests), ("val_object_acceptance", _OBJECT, judging.object_repair_tests), ("val_preservation", _KEEP, judging.preservation_tests)):
 
-def before_after(spark):
-    first = rules_frame(spark, STAR_RULES)
-    second = rules_frame(spark, [*STAR_RULES[1:], data("part", "p_name", "partName")])
-    return first, second
+    @register(REGISTRY, _name, _reasons_sql(_sql, _REPAIRS))
+    def _(spark, d, tests=_tests):
+        return judging.decided(ask(spark, d, _REPAIRS), ["k"], tests())
 
 
-_CHANGED = [("class", "customer", NS + "Customer", "dropped"), ("data", "part", NS + "partName", "added")]
+_COUNTERS = ("invalid_triple_count", "zero_emission_selected_targets", "unknown_reference_issues", "fk_like_literal_issues", "overbroad_issues", "selected_targets_with_emission", "generated_triples")
+_COVERED = f"SELECT k, {', '.join(f'({v}) AS {n}_{w}' for w, f in (('before', 'a'), ('after', 'b')) for n, v in zip(_COUNTERS, (f'{f} % 2', f'({f} + k) % 3', 'e', f'{f} % 4', 'c', f'{f} + 3', f'({f} * 37) % 400'), strict=True))} FROM ({RUNS}) runs"
+_DOWN = ("invalid_triple_count", "zero_emission_selected_targets", "unknown_reference_issues", "fk_like_literal_issues", "overbroad_issues")
 
 
-@register(REGISTRY, "val_rule_diff", values_sql(_CHANGED, "kind, source_table, target, change"))
-def _(spark, d):
-    a, b = (x.select("kind", "source_table", "target") for x in before_after(spark))
-    return ops.diff(a, b)
+def _score_sql(w):
+    return "row(" + ", ".join([f"-{n}_{w}" for n in _DOWN] + [f"selected_targets_with_emission_{w}", f"generated_triples_{w}"]) + ")"
 
 
-@register(REGISTRY, "val_coverage_diff", values_sql([(len({r.target for r in STAR_RULES}), len({r.target for r in STAR_RULES}), 1, 1)], "before, after, dropped, added"))
+@register(
+    REGISTRY,
+    "val_coverage_acceptance",
+    _reasons_sql([("invalid_triple_count_worse", "invalid_triple_count_after > invalid_triple_count_before"), ("generated_triples_collapsed", "generated_triples_before > 0 AND generated_triples_after < 0.5 * generated_triples_before"), ("overbroad_issue_count_worse", "overbroad_issues_after > overbroad_issues_before"), ("internal_materialization_score_worse", f"{_score_sql('after')} < {_score_sql('before')}")], _COVERED),
+)
 def _(spark, d):
-    a, b = before_after(spark)
-    return ops.coverage_diff(a, b).select(*[F.col(c).cast("int").alias(c) for c in ("before", "after", "dropped", "added")])
+    return judging.decided(ask(spark, d, _COVERED), ["k"], judging.coverage_repair_tests())
 
 
-@register(REGISTRY, "val_preservation_gate", values_sql([(1, 0, 0, False)], "lost_targets, lost_filters, lost_objects, accepted"))
-def _(spark, d):
-    out = ops.preservation_gate(*before_after(spark))
-    return out.select(*[F.col(c).cast("int").alias(c) for c in ("lost_targets", "lost_filters", "lost_objects")], "accepted")
+_CODE = f"SELECT k, scenario, a % 5 <> 0 AS static_ok_after, b <> 1 AS execution_ok_after, {', '.join(f'({v}) AS {n}_{w}' for w, f in (('before', 'a'), ('after', 'b')) for n, v in (('invalid', f'{f} % 3'), ('skipped_reachable', f'{f} % 2'), ('reachable_zero', f'({f} + c) % 4'), ('generated', f'({f} * 17) % 90'), ('score', f'({f} * 13) % 50')))} FROM ({RUNS}) runs"
 
 
-@register(REGISTRY, "val_preservation_overlay", values_sql(sorted({(r.kind, r.source_table, r.target) for r in STAR_RULES} | {("data", "part", NS + "partName")}), "kind, source_table, target"))
+@register(REGISTRY, "val_code_repair", f"SELECT k, static_ok_after AND execution_ok_after AND (generated_before = 0 OR generated_after >= 0.5 * generated_before) AND invalid_after <= invalid_before AND skipped_reachable_after <= skipped_reachable_before AND reachable_zero_after <= reachable_zero_before AND score_after >= score_before AS accepted FROM ({_CODE})")
 def _(spark, d):
-    a, b = (x.select("kind", "source_table", "target") for x in before_after(spark))
-    return ops.overlay(a, b)
+    return ask(spark, d, _CODE).select("k", judging.code_repair_accepted().alias("accepted"))
 
 
-_COMPILED = [("class:0", "customer", NS + "Customer"), ("class:1", "nation", NS + "Nation"), ("data:0", "nation", NS + "nationName"), ("object:0", "customer", NS + "inNation")]
+_PROGRAMS = f"SELECT scenario, k, b <> 1 AS execution_ok, a % 3 % 2 AS invalid, c % 2 AS skipped_reachable, a % 4 AS covered_kinds, CASE WHEN e = 0 THEN 0 ELSE 3 END AS expected_kinds, (a * 31) % 500 AS generated, b AS reachable_zero, 20 + c AS lines FROM ({RUNS}) runs"
+_RUNTIME = "row(CASE WHEN execution_ok AND invalid = 0 AND skipped_reachable = 0 THEN 1 ELSE 0 END, CASE WHEN expected_kinds = 0 THEN 1 ELSE covered_kinds / expected_kinds END, generated, -reachable_zero, -invalid, -lines)"
 
 
-@register(REGISTRY, "val_pattern_compile", values_sql(_COMPILED, "rule_id, source_table, target"))
+@register(REGISTRY, "val_best_program", f"SELECT scenario, k FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY {_RUNTIME} DESC, k) AS r FROM ({_PROGRAMS})) WHERE r = 1")
 def _(spark, d):
-    from ..plans.compiler import Match, compile_rules
+    score = F.max_by("k", F.struct(judging.runtime_score().alias("s"), (-F.col("k")).alias("first")))
+    return ask(spark, d, _PROGRAMS).groupBy("scenario").agg(score.alias("k"))
 
-    chosen = [
-        Match("source-class:customer", NS + "Customer"),
-        Match("source-class:nation", NS + "Nation"),
-        Match("source-class:orders", NS + "Unrelated"),  # no word in common
-        Match("source-data:nation.n_name", NS + "nationName", (NS + "Nation",)),
-        Match("source-data:nation.n_name", NS + "partName", (NS + "Part",)),  # another domain
-        Match("source-data:customer.c_nationkey", NS + "key"),  # a key is no literal
-        Match("source-data:ghost.x", NS + "x"),
-        Match("source-object:customer.c_nationkey", NS + "inNation", (), (NS + "Nation",)),
-    ]
-    return rules_frame(spark, compile_rules(chosen, STAR)).select("rule_id", "source_table", "target")
 
+_CHOSEN = f"SELECT scenario, k, a % 5 AS rejected, b % 3 AS uri_issues, c % 2 AS invalid, {', '.join(f'({v}) AS {n}' for n, v in zip(_COUNTERS, ('a % 2', 'b % 3', 'e', 'a % 4', 'c', 'a + 3', '(b * 37) % 400'), strict=True))}, a % 6 AS class_rules, b AS data_rules, c AS object_rules FROM ({RUNS}) runs"
 
-_ACTIONS = [("replace", "class", 0, "C2"), ("drop", "data", 0, None), ("add", "data", None, "d9"), ("drop", "object", 7, None)]
 
-
-@register(REGISTRY, "val_apply_repairs", values_sql([("class", 0, "C2"), ("data", 1, "d1"), ("data", None, "d9")], "kind, position, rule"))
+@register(
+    REGISTRY,
+    "val_best_patterns",
+    f"SELECT scenario, k FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY -rejected DESC, -uri_issues DESC, -invalid DESC, -zero_emission_selected_targets DESC, class_rules + data_rules + object_rules DESC, selected_targets_with_emission + generated_triples - {' - '.join(_DOWN)} DESC, k) AS r FROM ({_CHOSEN})) WHERE r = 1",
+)
 def _(spark, d):
-    rules = spark.createDataFrame([("class", 0, "C"), ("data", 0, "d0"), ("data", 1, "d1")], "kind string, position int, rule string")
-    return ops.apply_repairs(rules, spark.createDataFrame(_ACTIONS, "action string, kind string, position int, rule string"))
+    score = F.max_by("k", F.struct(judging.pattern_score().alias("s"), (-F.col("k")).alias("first")))
+    return ask(spark, d, _CHOSEN).groupBy("scenario").agg(score.alias("k"))
 
 
-@register(REGISTRY, "val_acceptance", values_sql([(1, True), (2, False), (3, False), (4, False)], "case_id, accepted"))
-def _(spark, d):
-    rows = [(1, 5, 3, 0, 4, 4, 3, 3, 0), (2, 5, 5, 0, 4, 4, 3, 3, 0), (3, 5, 1, 1, 4, 4, 3, 3, 0), (4, 5, 1, 0, 4, 4, 3, 3, 2)]
-    return ops.accept_repair(spark.createDataFrame(rows, "case_id int, issues_before int, issues_after int, new_kinds int, rules_before int, rules_after int, targets_before int, targets_after int, invalid_after int"))
+_CANDIDATES = (
+    "SELECT scenario, arm, k, a % 23 <> 0 AS import_exists, (a % 40) * 25 AS generated_triples, CASE WHEN a % 7 = 3 THEN 1 ELSE 0 END AS invalid_triples, CASE c WHEN 0 THEN 'failed' WHEN 1 THEN 'ok' WHEN 2 THEN '' ELSE 'success' END AS status, CASE WHEN a % 17 = 0 THEN 1 ELSE 0 END AS prefixed_targets, CASE WHEN a % 19 = 0 THEN 2 ELSE 0 END AS target_not_in_selected_matches, "
+    "CASE WHEN b = 6 THEN 'TypeError: x' WHEN b = 5 THEN NULL ELSE '' END AS error, a % 2 AS critical_issues, b AS selected_targets_with_emission, e AS zero_emission_selected_targets, c % 2 AS unknown_reference_issues, a % 3 AS overbroad_issues, b % 2 AS fk_like_literal_issues, c AS zero_rule_issues, a % 4 AS class_rules, b % 3 AS data_rules, c % 3 AS object_rules, a % 5 AS issues_after "
+    f"FROM ({RUNS}) runs"
+)
+_HARD = [("missing_import_ttl", "NOT import_exists"), ("zero_generated_triples", "generated_triples <= 0"), ("invalid_triples", "invalid_triples > 0"), ("materialization_status_not_success", "status <> '' AND status NOT IN ('success', 'ok')"), ("role_prefixed_target_uri", "prefixed_targets > 0"), ("invented_target_uri", "target_not_in_selected_matches > 0"), ("codegen_or_materialization_error", "coalesce(error, '') <> ''")]
 
 
-@register(REGISTRY, "val_runtime_score", "SELECT 1 AS emitting_rules, 1 AS failing_rules, count(*) FILTER (event_type = 'click') AS emitted, count(*) FILTER (event_type <> 'click') AS failures FROM events")
+@register(REGISTRY, "val_hard_rejections", _reasons_sql(_HARD, _CANDIDATES).replace("len(w) = 0 AS accepted, ", ""))
 def _(spark, d):
-    stats = planner(spark, d, [cls("events", "Click", row_filter=filtered("event_type", equals="click"))]).stats()
-    ok = F.col("outcome") == "emitted"
-    return stats.agg(F.count_distinct(F.when(ok, F.col("rule_id"))).cast("int").alias("emitting_rules"), F.count_distinct(F.when(~ok, F.col("rule_id"))).cast("int").alias("failing_rules"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("emitted"), F.sum(F.when(ok, 0).otherwise(F.col("n"))).alias("failures"))
+    return ask(spark, d, _CANDIDATES).select("k", F.array_join(judging.hard_rejections(), ",").alias("reasons"))
 
 
-_RUNS = [("s1", "default", 9500, 3, 10, 1, 0, "success"), ("s1", "round2", 10000, 1, 10, 0, 0, "success"), ("s1", "hybrid", 0, 0, 10, 0, 0, "success"), ("s2", "default", 9439, 2, 8, 0, 0, "success"), ("s2", "round2", 13818, 2, 9, 0, 1, "success"), ("s2", "hybrid", 9500, 2, 9, 0, 0, "success")]
+#: Places of arms where all else is equal.
+_PLACES = {"hybrid0": 0, "hybrid1": 0, "round20": 1, "round21": 1, "default0": 2}
+_PLACED = " ".join(f"WHEN '{a}' THEN {n}" for a, n in _PLACES.items())
+_VALID_RUNS = f"SELECT * FROM ({_CANDIDATES}) WHERE NOT ({' OR '.join(t for _, t in _HARD)})"
+_SANE = "CASE WHEN median > 0 THEN -CAST(round_even(abs(generated_triples - median) / greatest(1, median) * 20, 0) AS INT) ELSE 0 END"
 
 
-@register(REGISTRY, "val_portfolio_select", values_sql([("s1", "round2"), ("s2", "hybrid")], "scenario, arm"))
+@register(
+    REGISTRY,
+    "val_portfolio_select",
+    f"SELECT scenario, arm, sanity AS triple_sanity, median FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY sanity DESC, critical_issues, selected_targets_with_emission DESC, zero_emission_selected_targets, unknown_reference_issues, overbroad_issues, fk_like_literal_issues, zero_rule_issues, "
+    f"(class_rules > 0)::INT + (data_rules > 0)::INT + (object_rules > 0)::INT DESC, issues_after, CASE arm {_PLACED} ELSE 99 END, arm) AS r FROM (SELECT *, {_SANE} AS sanity FROM (SELECT v.*, CAST(round_even(m.median, 0) AS BIGINT) AS median FROM ({_VALID_RUNS}) v JOIN (SELECT scenario, median(generated_triples) AS median FROM ({_VALID_RUNS}) GROUP BY 1) m USING (scenario)))) WHERE r = 1",
+)
 def _(spark, d):
-    runs = spark.createDataFrame(_RUNS, "scenario string, arm string, triples long, issues int, selected int, zero_rules int, invalid int, status string")
-    return ops.portfolio(runs, ["hybrid", "round2", "default"])
+    return judging.chosen_runs(ask(spark, d, _CANDIDATES), "scenario", "arm", _PLACES)

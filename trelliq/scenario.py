@@ -43,6 +43,45 @@ class Settings:
         return cls(**{k: cast(k, v) for k, v in given.items()})
 
 
+def expanded(value):
+    """A setting with environment variables put in, in lists and maps as well; unknown ones stay as they are."""
+    if isinstance(value, str):
+        return os.path.expandvars(value)
+    if isinstance(value, list):
+        return [expanded(v) for v in value]
+    return {k: expanded(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def read_config(path: str | Path) -> dict:
+    """A run's settings from a YAML file (JSON is YAML too); an empty file has none."""
+    try:
+        import yaml
+    except ImportError:  # JSON alone, where no YAML reader is installed
+        import json
+
+        return expanded(json.loads(Path(path).read_text(encoding="utf-8") or "{}"))
+    return expanded(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
+
+
+#: Settings that take a value, and those that are on or off, by the command's flag.
+VALUE_FLAGS = {"scenario": "--scenario", "work": "--work", "top_k": "--top-k", "sample_fraction": "--fraction", "seed": "--seed"}
+SWITCHES = {"reports": "--reports"}
+
+
+def arguments(config: dict, command: str = "run", scenario: str | None = None, extra: tuple[str, ...] = ()) -> list[list[str]]:
+    """The command lines of a configuration: one for each of its scenarios, or for the one that is named."""
+    named = scenario or config.get("scenarios") or config.get("scenario") or []
+    out = []
+    for one in named.split(",") if isinstance(named, str) else named:
+        held = {**config, "scenario": str(Path(config.get("root", "")) / one), "work": str(Path(config.get("work", "out")) / one)}
+        argv = [command]
+        for key, flag in VALUE_FLAGS.items():
+            if held.get(key) not in (None, ""):
+                argv += [flag, str(held[key])]
+        out.append([*argv, *[flag for key, flag in SWITCHES.items() if held.get(key)], *extra])
+    return out
+
+
 def ontology_file(folder: str | Path) -> Path | None:
     return next((Path(folder) / n for n in ONTOLOGIES if (Path(folder) / n).is_file()), None)
 
