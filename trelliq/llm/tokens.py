@@ -62,15 +62,15 @@ class Lookup:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        #: Of each run: where its ids and its bytes are.
-        self.starts, self.sizes, self.raw_starts, self.raw_sizes = (np.zeros(0, np.int64) for _ in range(4))
+        #: Of each run: where its ids and its bytes are, and its length with its kind.
+        self.starts, self.sizes, self.raw_starts, self.kinds = (np.zeros(0, np.int64) for _ in range(4))
         self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray, kind: np.ndarray) -> None:
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes = every[order]
-        new = {"starts": len(self.ids) + np.cumsum(sizes) - sizes, "sizes": sizes, "raw_starts": len(self.raw) + np.cumsum(length) - length, "raw_sizes": length}
+        new = {"starts": len(self.ids) + np.cumsum(sizes) - sizes, "sizes": sizes, "raw_starts": len(self.raw) + np.cumsum(length) - length, "kinds": kind}
         for name, more in new.items():
             setattr(self, name, np.concatenate([getattr(self, name), more])[order])
         self.ids = np.concatenate([self.ids, ids])
@@ -80,9 +80,12 @@ class Lookup:
         """(ids, sizes) of all runs, one after the other. The runs cover ``data``, in order.
 
         ``make(rows)`` gives the flat ids and sizes of the runs ``rows``. ``salt`` tells equal runs apart that have
-        different ids. A run whose hash is that of other bytes is made by itself.
+        different ids. A run whose hash is that of other bytes is made by itself; runs of one length of up to eight bytes
+        have hashes of their own, so bytes are compared for longer ones only.
         """
         hashes = run_hashes(data, starts, ends)
+        length = ends - starts
+        kind = length << 1 | (salt != 0 if salt is not None else 0)
         if salt is not None:
             hashes ^= salt
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
@@ -99,18 +102,15 @@ class Lookup:
         if new.any():
             pick = first[new]
             ids, sizes = make(pick)
-            self._add(distinct[new], sizes, ids.astype(np.uint32), data, starts[pick], (ends - starts)[pick])
+            self._add(distinct[new], sizes, ids.astype(np.uint32), data, starts[pick], length[pick], kind[pick])
         at = np.searchsorted(self.hashes, distinct)[place]
-        where, size, length = self.starts[at], self.sizes[at], ends - starts
-        odd = self.raw_sizes[at] != length
-        if odd.any():
-            fits, same = np.flatnonzero(~odd), np.zeros(len(data), bool)
-            cover = gather(starts[fits], length[fits])
-            same[cover] = self.raw[gather(self.raw_starts[at[fits]], length[fits])] == data[cover]
-        else:
-            same = self.raw[gather(self.raw_starts[at], length)] == data
-        if len(starts):
-            odd |= ~np.logical_and.reduceat(same, starts)
+        where, size = self.starts[at], self.sizes[at]
+        odd = self.kinds[at] != kind
+        long = np.flatnonzero(~odd & (length > 8))
+        if len(long):
+            n = length[long]
+            same = self.raw[gather(self.raw_starts[at[long]], n)] == data[gather(starts[long], n)]
+            odd[long] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
         held = self.ids
         if odd.any():
             rows = np.flatnonzero(odd)
