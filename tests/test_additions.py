@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trelliq.catalog import Catalog, Column, ForeignKey, TableMeta
 from trelliq.functions import text
-from trelliq.operators import coverage, evaluation, lake, markdown, requests, retrieval
+from trelliq.operators import coverage, decisions, evaluation, lake, markdown, requests, retrieval
 from trelliq.plans import compiler, materialize, program
 from trelliq.plans.compiler import Match
 from trelliq.plans.graphquery import QueryError, graph_query
@@ -223,6 +223,31 @@ def test_every_target_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.every_target(s, t).collect()} == whole and len(whole) == 18
 
 
+def test_candidate_evaluation(spark):
+    ranks = [("s", "bm25", "a", "t1", 2.0, 1), ("s", "bm25", "a", "t2", 1.0, 2), ("s", "bm25", "b", "t1", 1.0, 1), ("s", "bm25", "b", "t2", 1.0, 2), ("s", "dense", "a", "t2", 0.9, 1), ("s", "dense", "b", "t9", 0.8, 1)]
+    rankings = spark.createDataFrame(ranks, "scenario string, method string, source string, target string, score double, rank int")
+    gold = spark.createDataFrame([("s", "a", "t1"), ("s", "b", "t7"), ("s", "c", "t1")], "scenario string, source string, target string")
+    sources = spark.createDataFrame([("s", x, "class" if x != "c" else "data", "r") for x in "abc"], "scenario string, source string, kind string, role string")
+    out = evaluation.candidate_evaluation(rankings, gold, sources)
+    assert out["details"].count() == 6
+    assert {(r.method, r.source, r.failure_category) for r in out["failures"].collect()} == {("bm25", "b", "ambiguous_candidates"), ("bm25", "c", "zero_candidates"), ("dense", "a", "dense_semantic_failure"), ("dense", "b", "dense_semantic_failure"), ("dense", "c", "zero_candidates")}
+    one = {(r.method, r.kind): r.recall_at_k for r in out["metrics_overall"].filter("k = 1").collect()}
+    assert one[("bm25", "class")] == 0.5 and abs(one[("bm25", "all")] - 1 / 3) < 1e-9 and one[("dense", "all")] == 0
+    assert [tuple(r) for r in out["best_methods"].select("scenario", "method", "difficult").collect()] == [("s", "bm25", True)]
+    lines = markdown.candidates(out["metrics_overall"].filter("kind = 'all'"), out["metrics_by_scenario"].filter("kind = 'all'"), out["best_methods"])
+    assert lines[0] == "# Candidate generation" and any(x.startswith("| s | bm25 |") for x in lines)
+
+
+def test_artifacts_of_another_origin(spark):
+    rows = spark.createDataFrame([("a", 1, "t", "p"), ("b", 1, "t", "q")], "source string, rank int, target string, provider string")
+    records = spark.createDataFrame([("t", "label")], "target string, label string")
+    with pytest.raises(Exception, match="incompatible: q"):
+        decisions.load_artifact(rows, rows.select("source"), records, 3, provider="p").collect()
+    lost = spark.createDataFrame([("a",), ("z",)], "source string")
+    with pytest.raises(Exception, match="no artifact row for z"):
+        decisions.load_artifact(rows.filter("provider = 'p'"), lost, records, 3, provider="p").collect()
+
+
 # --- requests and answers
 
 

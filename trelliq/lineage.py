@@ -30,3 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table is dealt out only between these sizes in bytes, the upper one for each core of the cluster.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small for the cluster, dealt to all cores before costly work on its rows; a larger one as it is.
+
+    Spark reads a small table in as few tasks as it has files, and the rest of the cluster waits. What is dealt out is
+    bounded for each core; larger tables are read in more tasks than there are cores anyway.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM <= size <= SPREAD_TO * cores else df

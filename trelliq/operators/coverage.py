@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The names of issues, and words in a table's or column's name that tell of text.
@@ -163,3 +163,74 @@ def repairs(rules: DataFrame, actions: DataFrame, matches: DataFrame, columns: D
     kept = kept.select("position", *[F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in body])
     added = good.filter("action = 'add_data_rule'").select(F.lit(None).cast(rules.schema["position"].dataType).alias("position"), *body)
     return kept.unionByName(added), rejected
+
+
+def round2(rules: DataFrame, actions: DataFrame) -> DataFrame:
+    """(kind, position, rule) after a list of actions: replaced rules, then the dropped ones left out, then added ones behind.
+
+    rules: kind, position, rule; actions: number, action, kind, position, rule. The last replacement of a rule holds; a
+    replacement without a position is added; positions that no rule has do nothing. Positions close up behind drops.
+    """
+    put = actions.filter("action = 'repair' AND rule IS NOT NULL AND position IS NOT NULL").groupBy("kind", "position").agg(F.max_by("rule", "number").alias("_new"))
+    gone = actions.filter("action = 'drop' AND position IS NOT NULL").select("kind", "position").distinct()
+    kept = rules.join(put, ["kind", "position"], "left").join(gone, ["kind", "position"], "left_anti").select("kind", F.lit(0).alias("_late"), F.col("position").cast("long").alias("_at"), F.coalesce("_new", "rule").alias("rule"))
+    more = actions.filter("rule IS NOT NULL AND (action IN ('add_class_rule', 'add_data_rule') OR (action = 'repair' AND position IS NULL))")
+    kind = F.when(F.col("action") == "add_class_rule", "class").when(F.col("action") == "add_data_rule", "data").otherwise(F.col("kind"))
+    every = kept.unionByName(more.select(kind.alias("kind"), F.lit(1).alias("_late"), F.col("number").cast("long").alias("_at"), "rule"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("_late", "_at")) - 1  # a row a rule of the program
+    return every.select("kind", place.cast("long").alias("position"), "rule")
+
+
+def preservation(before: DataFrame, after: DataFrame, limit: float = 0.02) -> DataFrame:
+    """(reason) why a changed set of rules may not replace the old one: too many targets lost, of a kind or in all, or URIs made of other columns.
+
+    Both: kind, source_table, target, id_columns (text; of class rules).
+    """
+    found = before.sparkSession.createDataFrame([], "reason string")
+    for kind in ("all", "class", "data", "object"):
+        b, a = (x.filter(F.lit(kind == "all") | (F.col("kind") == kind)).select("target").distinct() for x in (before, after))
+        one = b.join(a.withColumn("_a", F.lit(True)), "target", "left").agg(F.count_if(F.col("_a").isNull()).alias("lost"), F.count("*").alias("n"))
+        found = found.unionByName(one.filter(F.col("lost") / F.greatest(F.lit(1), F.col("n")) > limit).select(F.lit(f"{kind}_target_coverage_drop_gt_{limit}").alias("reason")))
+    return found.unionByName(template_changes(before, after).limit(1).select(F.lit("uri_template_changed_or_missing").alias("reason")))
+
+
+def template_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source_table, target, reason) of class rules whose URIs are gone or made of other columns. Of equal class rules the last counts."""
+    classes = lambda x, n: x.filter("kind = 'class'").groupBy("source_table", "target").agg(F.max("id_columns").alias(n))
+    j = classes(before, "_b").join(classes(after, "_a").withColumn("_there", F.lit(True)), ["source_table", "target"], "left")
+    changed = (F.coalesce("_b", F.lit("")) != "") & (F.coalesce("_a", F.lit("")) != "") & (F.col("_a") != F.col("_b"))
+    reason = F.when(F.col("_there").isNull(), "missing_in_new").when(changed, "id_columns_changed")
+    return j.select("source_table", "target", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def safe_rules(rules: DataFrame, columns: DataFrame) -> DataFrame:
+    """(rule_id, reason) of rules that an overlay can't take, first reason that holds.
+
+    rules: rule_id, kind, source_table, source_column, source_columns, target_columns, id_columns (arrays), target,
+    target_table. columns: table_name, column_name, is_fk.
+    """
+    names = columns.groupBy("table_name").agg(F.collect_set("column_name").alias("_n"), F.collect_set(F.when(F.col("is_fk"), F.col("column_name"))).alias("_fk"))
+    r = rules.join(names.withColumnRenamed("table_name", "source_table"), "source_table", "left")
+    r = r.join(names.select(F.col("table_name").alias("target_table"), F.col("_n").alias("_tn")), "target_table", "left")
+    unknown = lambda c, n: F.size(F.array_except(c, n)) > 0
+    low = F.lower(F.regexp_extract("target", r"([^#/]*)$", 1))
+    names_one = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ("id", "identifier", "doi", "url", "email", "isbn", "issn", "code")])
+    is_ = lambda k: F.col("kind") == k
+    reason = (
+        F.when(F.col("_n").isNull(), "unknown_source_table").when(is_("class") & unknown("id_columns", "_n"), "unknown_class_id_column").when(is_("data") & ~F.array_contains("_n", F.col("source_column")), "unknown_data_source_column")
+        .when(is_("data") & F.array_contains("_fk", F.col("source_column")) & ~names_one, "fk_like_literal_without_identifier_target").when(is_("object") & F.col("_tn").isNull(), "unknown_object_target_table")
+        .when(is_("object") & unknown("source_columns", "_n"), "unknown_object_source_column").when(is_("object") & unknown("target_columns", "_tn"), "unknown_object_target_column")
+    )
+    return r.select("rule_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def ordered_distinct(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row in order of each key."""
+    return rows.groupBy(*key).agg(F.min(order).alias(order))
+
+
+def run_counts(matches: DataFrame, rules: DataFrame, by: str) -> DataFrame:
+    """by, no_match_rate (null without matches), invalid_rule_count: accepted matches that no rule came of, by numbers alone."""
+    m = matches.groupBy(by).agg(F.avg(F.col("target").isNull().cast("double")).alias("no_match_rate"), F.count("target").alias("_accepted"))
+    r = rules.groupBy(by).agg(F.count("*").alias("_rules"))
+    return m.join(r, by, "left").select(by, "no_match_rate", F.greatest(F.lit(0), F.col("_accepted") - F.coalesce("_rules", F.lit(0))).alias("invalid_rule_count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import spread
+
 K_VALUES = (1, 3, 5, 8, 10, 16, 20)
 
 
@@ -62,6 +64,9 @@ def retrieval_metrics(details: DataFrame, by: list[str], all_of: str | None = No
     return wide.select(*by, long, "mrr", "mean_rank_first_gold", "candidate_coverage", "zero_candidate_rate", "n").select(*by, "x.k", "x.recall_at_k", "mrr", "mean_rank_first_gold", "candidate_coverage", "zero_candidate_rate", "n")
 
 
+# Fixed values in what follows: the names of failure categories by method, and of the buckets of outcomes.
+
+
 def failure_category(method: str, wrong_kind: Column, rank_anywhere: Column, count: Column, gap: Column) -> Column:
     """Why a source's gold target wasn't found, first reason that holds; null where it was."""
     by_method = {"levenshtein": "lexical_rename_failure", "dense": "dense_semantic_failure", "bm25": "bm25_tokenization_failure", "hybrid_levenshtein_dense": "hybrid_fusion_failure", "hybrid_bm25_dense": "hybrid_fusion_failure"}
@@ -100,7 +105,7 @@ def holders(docs: DataFrame, passages: DataFrame, doc: str, item: str, column: s
     few, count = short.count(), passages.count()
     if few > PASSAGES:
         raise ValueError(f"{few} passages of fewer than {GRAM + 2} words")
-    words = docs.select(doc, F.col(column).alias("_text"), F.split(column, " ").alias("_w"))
+    words = spread(docs).select(doc, F.col(column).alias("_text"), F.split(column, " ").alias("_w"))
     spots = F.when(F.size("_w") >= GRAM, F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: F.xxhash64(F.slice("_w", i, GRAM))))
     runs = words.select(doc, F.explode(F.array_distinct(spots)).alias("_k"))
     met = runs.join(F.broadcast(long) if count <= PASSAGES else long, "_k").select(doc, item, "_passage")
@@ -160,3 +165,33 @@ def majority_votes(samples: DataFrame, source: str, ranks: DataFrame, threshold:
 def gold_from_queries(sql_use: DataFrame, graph_use: DataFrame) -> DataFrame:
     """Gold pairs: what a query pair's SQL reads and its graph query names, of the same kind."""
     return sql_use.join(graph_use, ["query_id", "kind"]).select("source_id", "target").distinct()
+
+
+def candidate_evaluation(rankings: DataFrame, gold: DataFrame, sources: DataFrame, max_k: int = 20) -> dict[str, DataFrame]:
+    """The tables of an evaluation of candidate methods: details, failures, metrics by scenario, overall and by role, best methods, gold.
+
+    rankings: scenario, method, source, target, score, rank; gold: scenario, source, target; sources: scenario, source,
+    kind, role. Every method of a scenario is judged on all its gold sources.
+    """
+    methods = rankings.select("scenario", "method").distinct()
+    wanted = gold.join(methods, "scenario")
+    name = F.concat_ws("\u001f", "scenario", "method", "source")
+    keyed = first_ranks(rankings.withColumn("_key", name), wanted.withColumn("_key", name), "_key", "target", max_k)
+    parts = F.split("_key", "\u001f")
+    details = keyed.select(*[parts[i].alias(c) for i, c in enumerate(("scenario", "method", "source"))], *[c for c in keyed.columns if c != "_key"]).join(sources.select("scenario", "source", "kind", "role"), ["scenario", "source"])
+    gaps = top_gap(rankings.withColumn("_key", name), "_key")
+    lost = details.filter("first_rank IS NULL").withColumn("_key", name).join(gaps, "_key", "left").drop("_key")
+    category = F.lit(None).cast("string")
+    for m in [r.method for r in methods.select("method").distinct().collect()]:  # a row a method
+        category = F.when(F.col("method") == m, failure_category(m, F.lit(False), F.col("rank_anywhere"), F.col("candidate_count"), F.col("gap"))).otherwise(category)
+    by_scenario = retrieval_metrics(details, ["scenario", "method", "kind"], "kind")
+    at_most = by_scenario.filter((F.col("kind") == "all") & (F.col("k") == max(K_VALUES))).select("scenario", "method", F.col("recall_at_k").alias("recall"))
+    return {
+        "gold": gold,
+        "details": details,
+        "failures": lost.select("scenario", "method", "source", "kind", "candidate_count", category.alias("failure_category")),
+        "metrics_by_scenario": by_scenario,
+        "metrics_overall": retrieval_metrics(details, ["method", "kind"], "kind"),
+        "metrics_by_role": retrieval_metrics(details, ["method", "role"]),
+        "best_methods": best_methods(at_most, ["scenario"], "method", "recall"),
+    }

@@ -178,3 +178,43 @@ def compile_patterns(selected: DataFrame, columns: DataFrame, keys: DataFrame, t
         made = made.unionByName(typed)
     rule = ["kind", "source_table", "target", "columns", "target_table", "pattern_id", "confidence", "inferred_from"]
     return made.groupBy(*rule).agg(F.min("position").alias("position")), rejected
+
+
+def discriminators(columns: DataFrame, cells: DataFrame) -> DataFrame:
+    """(source_id, table_name, column_name, truthy, equals): class discriminators that the values of (table_name, column_name, value) bear out.
+
+    A boolean column needs a truthy value, or a table without rows; a type column gives one for each of its two to eight
+    values.
+    """
+    from ..functions.text import truthy
+
+    low = F.lower("column_name")
+    typed, boolean = low == "type", low.startswith("is_") | F.contains(F.lower("datatype"), F.lit("bool"))
+    some = columns.filter(typed | boolean).select("table_name", "column_name", typed.alias("_typed"), boolean.alias("_boolean"))
+    c = cells.join(F.broadcast(some) if some.count() <= 100_000 else some, ["table_name", "column_name"]).select("table_name", "column_name", F.nullif(F.col("value").cast("string"), F.lit("")).alias("value"))
+    per = c.groupBy("table_name", "column_name", "value").agg(F.lit(1).alias("n")).groupBy("table_name", "column_name").agg(F.count("value").alias("_values"), F.max(truthy(F.col("value")).cast("int")).alias("_true"))
+    j = some.join(per, ["table_name", "column_name"], "left")
+    name = F.concat(F.lit("source-discriminator:"), "table_name", F.lit("."), "column_name")
+    yes = j.filter(F.col("_boolean") & F.coalesce(F.col("_true") == 1, F.lit(True))).select(name.alias("source_id"), "table_name", "column_name", F.lit(True).alias("truthy"), F.lit(None).cast("string").alias("equals"))
+    few = j.filter(F.col("_typed") & ~F.col("_boolean") & F.col("_values").between(2, 8)).select("table_name", "column_name")
+    values = c.join(few, ["table_name", "column_name"]).filter("value IS NOT NULL").distinct()
+    return yes.unionByName(values.select(F.concat(name, F.lit(":"), "value").alias("source_id"), "table_name", "column_name", F.lit(False).alias("truthy"), F.col("value").alias("equals")))
+
+
+def uri_templates(columns: DataFrame, keys: DataFrame, profiles: DataFrame, scenario: str, base: str) -> DataFrame:
+    """(table_name, id_columns, reason, uri_template): what URIs of each table's rows are made of.
+
+    The primary key, else the unique column without nulls that looks most like an identifier (the first of equal ones),
+    else the table's key. A table whose key refers to another's rows shares their identity. profiles: table_name,
+    column_name, null_rate, distinct_ratio, identifier_likeness.
+    """
+    unique = columns.select("table_name", "column_name", "position").join(profiles, ["table_name", "column_name"]).filter("null_rate = 0 AND distinct_ratio >= 0.98")
+    best = unique.groupBy("table_name").agg(F.max(F.struct("identifier_likeness", (-F.col("position")).alias("p"), "column_name")).alias("u"))
+    pk = columns.groupBy("table_name").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_pk"), F.struct("position", "column_name")))), lambda x: x["column_name"]).alias("pk"), F.min_by("column_name", "position").alias("first"))
+    parent = parent_keys(columns, keys).select(F.col("child").alias("table_name"), F.lit(True).alias("_shared"))
+    t = pk.join(best, "table_name", "left").join(parent, "table_name", "left")
+    has_key = F.size("pk") > 0
+    ids = F.when(has_key, F.col("pk")).when(F.col("u").isNotNull(), F.array("u.column_name")).otherwise(F.array("first"))
+    reason = F.when(F.coalesce("_shared", F.lit(False)), "subclass_pkfk_parent_identity").when(has_key, "primary_key").when(F.col("u").isNotNull(), "unique_non_null_profile").otherwise("fallback_table_key")
+    template = F.concat(F.lit(f"{base}{scenario}/"), "table_name", F.lit("/"), F.array_join(F.transform(ids, lambda c: F.concat(F.lit("{"), c, F.lit("}"))), "_"))
+    return t.select("table_name", F.array_join(ids, ",").alias("id_columns"), reason.alias("reason"), template.alias("uri_template"))

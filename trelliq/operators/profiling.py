@@ -38,9 +38,8 @@ def value_profiles(meta: TableMeta, df: DataFrame) -> DataFrame:
     few rows, and no column's distinct values are shuffled for each other column.
     """
     names = [c for c in meta.names if c in df.columns]
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for i, c in enumerate(names)])).alias("x")).select("x.*")
     n = F.when(F.col("v").isNotNull(), F.col("n"))
-    per = cells.groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(
+    per = _cells(df, names).groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(
         F.sum("n").alias("row_count"), F.coalesce(F.sum(n), F.lit(0)).alias("non_null_count"), F.count("v").alias("distinct_count"), F.min(F.length("v")).alias("lo"), F.max(F.length("v")).alias("hi"), (F.sum(n * F.length("v")) / F.sum(n)).alias("mean"),
     )
     every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(names)], "i int, column_name string")  # a row a column
@@ -92,21 +91,22 @@ def _by(order: str):
 
 
 def row_summary(meta: TableMeta, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null-or-empty rate, distinct values, share of identifier-like values; a row a column, one scan."""
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("string")
-        good = F.when(v != "", v)
-        aggs += [F.count(good).alias(f"{c}|n"), F.count_distinct(good).alias(f"{c}|d"), F.count_if(text.identifier_like(good)).alias(f"{c}|i")]
-    one = df.agg(F.count("*").alias("rows"), *aggs)
-    cols = [
-        F.struct(
-            F.lit(meta.name).alias("table_name"), F.lit(c).alias("column_name"), F.col("rows").alias("row_count"), F.col(f"`{c}|n`").alias("non_empty_count"), (F.col("rows") - F.col(f"`{c}|n`")).alias("null_empty_count"),
-            F.coalesce(F.try_divide(F.col("rows") - F.col(f"`{c}|n`"), F.col("rows")), F.lit(0.0)).alias("null_empty_rate"), F.col(f"`{c}|d`").alias("distinct_count"), F.coalesce(F.try_divide(F.col(f"`{c}|i`"), F.col(f"`{c}|n`")), F.lit(0.0)).alias("identifier_like_rate"),
-        )
-        for c in columns
-    ]
-    return one.select(F.explode(F.array(*cols)).alias("p")).select("p.*")
+    """Null-or-empty rate, distinct values, share of identifier-like values; a row a column, one scan: values are counted before they move."""
+    every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, column_name string")  # a row a column
+    n = F.when(F.col("v").isNotNull(), F.col("n"))
+    per = _cells(df, columns).groupBy("i", "v").agg(F.count("*").alias("n")).groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(n).alias("good"), F.count("v").alias("distinct"), F.sum(F.when(text.identifier_like(F.col("v")), n)).alias("like"),
+    )
+    rows, good, distinct, like = (F.coalesce(c, F.lit(0)) for c in ("rows", "good", "distinct", "like"))
+    return every.join(per, "i", "left").select(
+        F.lit(meta.name).alias("table_name"), "column_name", rows.alias("row_count"), good.alias("non_empty_count"), (rows - good).alias("null_empty_count"),
+        F.coalesce(F.try_divide(rows - good, rows), F.lit(0.0)).alias("null_empty_rate"), distinct.alias("distinct_count"), F.coalesce(F.try_divide(like, good), F.lit(0.0)).alias("identifier_like_rate"),
+    )
+
+
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, v): each cell's column by its number and its text, null if empty."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
 
 
 def value_samples(df: DataFrame, key: list[str], column: str, most: int = 5) -> DataFrame:

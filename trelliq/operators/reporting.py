@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Fixed values in what follows: the names of failure modes, and the sentences that name a likely cause.
+
+
 def failure_mode(sql_rows: Column, graph_rows: Column, precision: Column, recall: Column, categories: Column) -> Column:
     """What went wrong with a query pair, first test that holds; null where nothing did or both sides are empty."""
     low = F.lower(categories)

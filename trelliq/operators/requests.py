@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups whose places in chunks one task fills in, about.
+TASK_GROUPS = 50_000
+
+
 def chunked(rows: DataFrame, group: str, order: str, size: int, within: str | None = None) -> DataFrame:
     """rows with ``chunk``, a number within ``within`` (or over all): whole groups in order share a chunk while they fit.
 
     A group of more than ``size`` rows is cut into chunks of its own. The groups before it that still shared one stay
-    together. Greedy filling goes from group to group in order, so the groups' counts (a row a group) pass through one
-    task for each value of ``within``; the rows themselves don't.
+    together. Greedy filling goes from group to group in order, so the groups' counts (a row a group) of a value of
+    ``within`` pass through one task, some TASK_GROUPS of them at once; the rows themselves don't.
     """
     scope = [within] if within else []
     counts = rows.groupBy(*scope, group).agg(F.count("*").alias("n"))
@@ -19,9 +23,11 @@ def chunked(rows: DataFrame, group: str, order: str, size: int, within: str | No
     def fill(groups):
         import pandas as pd
 
-        groups = groups.sort_values(group, kind="stable")
-        first, held, number = [], 0, 0
-        for n in groups["n"].tolist():
+        groups = groups.sort_values([*scope, group], kind="stable")
+        first, held, number, before = [], 0, 0, None
+        for here, n in zip(groups[within] if within else [0] * len(groups), groups["n"], strict=True):
+            if here != before:
+                held, number, before = 0, 0, here
             if n > size:
                 number += held > 0
                 first.append(number)
@@ -34,10 +40,10 @@ def chunked(rows: DataFrame, group: str, order: str, size: int, within: str | No
         return pd.DataFrame({**{c: groups[c] for c in scope}, group: groups[group], "first": first})
 
     names = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in [*scope, group])
-    keyed = counts.groupBy(*scope) if scope else counts.groupBy(F.lit(0))
-    starts = keyed.applyInPandas(fill, f"{names}, first long")
+    tasks = counts.count() // TASK_GROUPS + 1 if scope else 1
+    starts = counts.groupBy(F.pmod(F.xxhash64(*scope), F.lit(tasks)) if scope else F.lit(0)).applyInPandas(fill, f"{names}, first long")
     w = Window.partitionBy(*scope, group).orderBy(order)
-    placed = rows.withColumn("_i", F.row_number().over(w) - 1).join(starts, [*scope, group])
+    placed = rows.withColumn("_i", F.row_number().over(w) - 1).join(starts, list(dict.fromkeys([*scope, group])))
     return placed.withColumn("chunk", (F.col("first") + F.floor(F.col("_i") / size)).cast("long")).drop("_i", "first")
 
 

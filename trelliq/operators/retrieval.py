@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..lineage import spread
 
 K1, B = 1.5, 0.75
 #: Constant of reciprocal rank fusion.
@@ -55,7 +56,7 @@ def bm25(sources: DataFrame, targets: DataFrame, source: str, target: str, colum
     q = sources.select(source, F.explode(text.tokens(F.col(column))).alias("term")).groupBy(source, "term").agg(F.count("*").alias("qtf"))
     asked = q.select("term").distinct()
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    split = targets.select(target, text.tokens(F.col(column)).alias("_t"))
+    split = spread(targets).select(target, text.tokens(F.col(column)).alias("_t"))
     t = split.select(target, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy(target, "dl", "term").agg(F.count("*").alias("tf"))
     df = t.groupBy("term").agg(F.count("*").alias("df"))
     n, total = split.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("total")).first()  # two numbers

@@ -12,6 +12,9 @@ from ..functions import text
 from ..plans.rules import Rule, numbered
 
 
+# Fixed values throughout: the names of issues.
+
+
 def issues(df: DataFrame, key: list[str], tests: dict[str, Column]) -> DataFrame:
     """A row for each test that holds: the key and the test's name."""
     found = F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()])
@@ -148,19 +151,25 @@ def evidence_score(listed: Column, classes: Column) -> Column:
 
 
 def match_issues(matches: DataFrame, columns: DataFrame) -> DataFrame:
-    """Kind mismatches, and keys matched to properties that aren't identifiers."""
+    """Kind mismatches, keys matched to properties that aren't identifiers, or to identifiers of something else.
+
+    matches: source_id, source_kind, target, target_kind, domain (text of the target's domains).
+    """
     parts = matches.withColumn("table_name", F.regexp_extract("source_id", r"^source-data:([^.]+)\.", 1)).withColumn("column_name", F.regexp_extract("source_id", r"^source-data:[^.]+\.(.+)$", 1))
     m = parts.join(columns.select("table_name", "column_name", "is_fk", "column_role"), ["table_name", "column_name"], "left")
     like = identifier_target(F.col("target"))
     data = F.col("target_kind") == "data_property"
-    fk = F.coalesce("is_fk", F.lit(False))
-    generic = fk | (F.lower("column_name") == "id") | ((F.col("column_role") == "primary_key") & F.lower("column_name").endswith("_id"))
+    fk, low = F.coalesce("is_fk", F.lit(False)), F.lower("column_name")
+    generic = fk | (low == "id") | ((F.col("column_role") == "primary_key") & low.endswith("_id"))
+    here = F.contains(F.lower(F.coalesce("domain", F.lit(""))), F.lower("table_name")) | low.isin("paper", "paperid", "paper_id")
     tests = {
-        "kind_mismatch": F.col("source_kind") != F.col("target_kind"),
         "fk_column_mapped_to_non_identifier_data_property": fk & data & ~like,
+        "fk_column_mapped_to_context_mismatched_identifier_property": fk & data & like & ~here,
         "generic_identifier_mapped_to_non_identifier_data_property": F.coalesce(generic, F.lit(False)) & data & ~like,
     }
-    return issues(m.filter("target is not null"), ["source_id"], tests)
+    chosen = m.filter("target is not null")
+    kinds = chosen.filter("source_kind <> '' AND target_kind <> '' AND source_kind <> target_kind").select("source_id", F.concat(F.lit("kind_mismatch:"), "source_kind", F.lit("->"), "target_kind").alias("issue"))
+    return kinds.unionByName(issues(chosen, ["source_id"], tests))
 
 
 def direct_reachability(child: DataFrame, columns: list[str], parent: DataFrame, ref: list[str]) -> DataFrame:

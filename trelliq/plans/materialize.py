@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions import text
+from ..lineage import spread
 from .rules import Rule, numbered
 
 BASE = "urn:trelliq:source:"
@@ -157,7 +158,7 @@ class RulePlanner:
             made.append(F.when(good, F.struct(s.alias("s"), F.lit(self._predicate(r)).alias("p"), o.alias("o"), literal.alias("is_literal"))))
         if len(made) == 1:
             return self.frames[table].select(made[0].alias("t")).filter("t is not null").select("t.*")
-        return self.frames[table].select(F.explode(F.filter(F.array(*made), lambda t: t.isNotNull())).alias("t")).select("t.*")
+        return spread(self.frames[table]).select(F.explode(F.filter(F.array(*made), lambda t: t.isNotNull())).alias("t")).select("t.*")
 
     def _probed(self, rule: Rule) -> DataFrame:
         row = self._row(rule.source_table)
@@ -167,7 +168,7 @@ class RulePlanner:
         if rule.kind == "data":
             good &= ~missing(row[rule.source_column])
         probes = [row[c].alias(f"_probe_{tag}{i}") for tag, x in sides for i, c in enumerate(x.local[: len(x.remote)])]
-        out = self.frames[rule.source_table].filter(good).select(s.alias("s"), F.lit(self._predicate(rule)).alias("p"), o.alias("o"), literal.alias("is_literal"), *probes)
+        out = spread(self.frames[rule.source_table]).filter(good).select(s.alias("s"), F.lit(self._predicate(rule)).alias("p"), o.alias("o"), literal.alias("is_literal"), *probes)
         for tag, x in sides:
             keys = self._keys(x, tag)
             if keys is None or not x.local:
@@ -284,3 +285,15 @@ def graph_counts(triples: DataFrame) -> DataFrame:
     typed = triples.filter((F.col("p") == TYPE) & ~F.col("is_literal")).select(F.col("o").alias("iri"), F.lit("class").alias("role"), "s", F.lit(None).cast("string").alias("v"))
     used = triples.select(F.col("p").alias("iri"), F.lit("predicate").alias("role"), "s", F.col("o").alias("v"))
     return typed.unionByName(used).groupBy("iri", "role").agg(F.count("*").alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("v").alias("objects"))
+
+
+def evidence(facts: DataFrame, most: int = 5) -> DataFrame:
+    """(iri, n, samples): instances of each class, facts of each predicate, and a predicate's first values in order, for the texts of records.
+
+    Values are ranked before they are gathered, so no predicate's values are held whole.
+    """
+    classes = facts.filter((F.col("p") == TYPE) & ~F.col("is_literal")).groupBy(F.col("o").alias("iri")).agg(F.count_distinct("s").alias("n")).withColumn("samples", F.lit(""))
+    rest = facts.filter(F.col("p") != TYPE)
+    first = rest.select("p", "o").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("p").orderBy("o"))).filter(F.col("_r") <= most)
+    samples = first.groupBy("p").agg(F.array_join(F.sort_array(F.collect_list("o")), ", ").alias("samples"))
+    return classes.unionByName(rest.groupBy("p").agg(F.count("*").alias("n")).join(samples, "p").select(F.col("p").alias("iri"), "n", "samples"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluating, graph, lake, mapping, profiling, reporting, retrieving, sampling, validating
+from . import deciding, evaluating, graph, lake, mapping, profiling, reporting, retrieving, sampling, validating
 
-GROUPS = (mapping, sampling, profiling, lake, retrieving, graph, evaluating, validating, reporting)
+GROUPS = (mapping, sampling, profiling, lake, retrieving, deciding, graph, evaluating, validating, reporting)
 
 
 def queries() -> dict:

@@ -251,7 +251,7 @@ def _(spark, d):
     return rows.select("id", ops.side_score(words, F.col("domain"), 1).alias("rules_score"), ops.evidence_score(F.col("domain"), classes).alias("evidence_score"))
 
 
-_MATCHED = f"SELECT 'source-data:' || table_name || '.' || column_name AS source_id, CASE WHEN x % 5 = 0 THEN 'class' ELSE 'data_property' END AS source_kind, CASE WHEN x % 6 = 0 THEN 'class' ELSE 'data_property' END AS target_kind, CASE WHEN x % 7 = 0 THEN NULL WHEN x % 2 = 0 THEN 'http://lake/customerCode' ELSE 'http://lake/label' END AS target FROM ({COLUMNS}) c"
+_MATCHED = f"SELECT 'source-data:' || table_name || '.' || column_name AS source_id, CASE WHEN x % 5 = 0 THEN 'class' ELSE 'data_property' END AS source_kind, CASE WHEN x % 6 = 0 THEN 'class' ELSE 'data_property' END AS target_kind, CASE WHEN x % 7 = 0 THEN NULL WHEN x % 2 = 0 THEN 'http://lake/customerCode' ELSE 'http://lake/label' END AS target, CASE WHEN x % 3 = 0 THEN 'http://lake/' || upper(table_name) ELSE 'http://lake/Other' END AS domain FROM ({COLUMNS}) c"
 _ID_WORD = "target = 'http://lake/customerCode'"
 
 
@@ -259,7 +259,8 @@ _ID_WORD = "target = 'http://lake/customerCode'"
     REGISTRY,
     "val_match_issues",
     duck(
-        "SELECT source_id, issue FROM (SELECT source_id, unnest([CASE WHEN source_kind <> target_kind THEN 'kind_mismatch' END, CASE WHEN is_fk AND target_kind = 'data_property' AND NOT id THEN 'fk_column_mapped_to_non_identifier_data_property' END, "
+        "SELECT source_id, issue FROM (SELECT source_id, unnest([CASE WHEN source_kind <> target_kind THEN 'kind_mismatch:' || source_kind || '->' || target_kind END, CASE WHEN is_fk AND target_kind = 'data_property' AND NOT id THEN 'fk_column_mapped_to_non_identifier_data_property' END, "
+        "CASE WHEN is_fk AND target_kind = 'data_property' AND id AND NOT contains(lower(domain), table_name) THEN 'fk_column_mapped_to_context_mismatched_identifier_property' END, "
         "CASE WHEN (is_fk OR column_name = 'id' OR (is_pk AND column_name LIKE '%\\_id' ESCAPE '\\')) AND target_kind = 'data_property' AND NOT id THEN 'generic_identifier_mapped_to_non_identifier_data_property' END]) AS issue "
         f"FROM (SELECT *, {_ID_WORD} AS id FROM mm WHERE target IS NOT NULL) mm JOIN w ON mm.source_id = 'source-data:' || w.table_name || '.' || w.column_name) WHERE issue IS NOT NULL",
         mm=_MATCHED,
@@ -522,6 +523,109 @@ def _(spark, d):
     return ops.overlay(a, b, 0.001)
 
 
+_ROUND2 = f"SELECT number, action, kind, CASE WHEN y % 9 = 0 THEN NULL ELSE position END AS position, CASE WHEN x % 8 = 0 THEN NULL ELSE 'new' || CAST(x AS STRING) END AS rule FROM (SELECT t * 10 + position AS number, CASE x % 5 WHEN 0 THEN 'drop' WHEN 1 THEN 'repair' WHEN 2 THEN 'add_class_rule' WHEN 3 THEN 'add_data_rule' ELSE 'keep_with_justification' END AS action, CASE WHEN y % 2 = 0 THEN 'class' ELSE 'data' END AS kind, t % 400 AS position, x, y FROM ({COLUMNS}) c WHERE t % 20 = 0) q"
+_LISTED = "SELECT 'class' AS kind, p_partkey AS position, p_name AS rule FROM part WHERE p_partkey < 300 UNION ALL SELECT 'data', p_partkey, p_type FROM part WHERE p_partkey < 200"
+
+
+@register(
+    REGISTRY,
+    "val_round2",
+    duck(
+        "SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY late, spot) - 1 AS position, rule FROM (SELECT l.kind, 0 AS late, l.position AS spot, coalesce(p.rule, l.rule) AS rule FROM li l LEFT JOIN (SELECT kind, position, max_by(rule, number) AS rule FROM acts WHERE action = 'repair' AND rule IS NOT NULL AND position IS NOT NULL GROUP BY ALL) p ON p.kind = l.kind AND p.position = l.position WHERE NOT EXISTS (SELECT 1 FROM acts a WHERE a.action = 'drop' AND a.kind = l.kind AND a.position = l.position) "
+        "UNION ALL SELECT CASE action WHEN 'add_class_rule' THEN 'class' WHEN 'add_data_rule' THEN 'data' ELSE kind END, 1, number, rule FROM acts WHERE rule IS NOT NULL AND (action LIKE 'add%' OR (action = 'repair' AND position IS NULL)))",
+        acts=_ROUND2,
+        li=_LISTED,
+    ),
+)
+def _(spark, d):
+    return coverage.round2(ask(spark, d, _LISTED), ask(spark, d, _ROUND2))
+
+
+_TEMPLATED = "SELECT kind, source_table, target, CASE WHEN kind = 'class' THEN 'c1' END AS id_columns FROM r"
+_RETEMPLATED = "SELECT kind, source_table, target, CASE WHEN kind = 'class' THEN CASE WHEN x % 9 = 0 THEN 'c2' ELSE 'c1' END END AS id_columns FROM after"
+
+
+def templated(spark, d):
+    b, a = before_after(spark, d)
+    is_class = F.col("kind") == "class"
+    return b.withColumn("id_columns", F.when(is_class, "c1")), a.withColumn("id_columns", F.when(is_class, F.when(F.col("x") % 9 == 0, "c2").otherwise("c1")))
+
+
+_CHANGES = "SELECT b.source_table, b.target, CASE WHEN a.i IS NULL THEN 'missing_in_new' ELSE 'id_columns_changed' END AS reason FROM (SELECT source_table, target, max(id_columns) AS i FROM tb WHERE kind = 'class' GROUP BY ALL) b LEFT JOIN (SELECT source_table, target, max(id_columns) AS i FROM ta WHERE kind = 'class' GROUP BY ALL) a ON a.source_table = b.source_table AND a.target = b.target WHERE a.i IS NULL OR a.i <> b.i"
+_TEMPLATES2 = {"after": _AFTER, "tb": _TEMPLATED, "ta": _RETEMPLATED}
+
+
+@register(REGISTRY, "val_template_diff", duck(_CHANGES, **_TEMPLATES2))
+def _(spark, d):
+    return coverage.template_changes(*templated(spark, d))
+
+
+@register(
+    REGISTRY,
+    "val_replacement_reasons",
+    duck(
+        " UNION ALL ".join(f"SELECT '{k}_target_coverage_drop_gt_0.02' AS reason FROM (SELECT count(*) FILTER (target NOT IN (SELECT target FROM ta WHERE {w})) / greatest(1, count(*)) AS r FROM (SELECT DISTINCT target FROM tb WHERE {w})) WHERE r > 0.02" for k, w in (("all", "TRUE"), ("class", "kind = 'class'"), ("data", "kind = 'data'"), ("object", "kind = 'object'")))
+        + f" UNION ALL SELECT 'uri_template_changed_or_missing' FROM (SELECT count(*) AS n FROM ({_CHANGES})) WHERE n > 0",
+        **_TEMPLATES2,
+    ),
+)
+def _(spark, d):
+    return coverage.preservation(*templated(spark, d))
+
+
+_UNSAFE = "CASE WHEN source_table = 'ghost' THEN 'unknown_source_table' WHEN kind = 'class' AND x % 7 = 0 THEN 'unknown_class_id_column' WHEN kind = 'data' AND source_column = 'nope' THEN 'unknown_data_source_column' WHEN kind = 'data' AND (source_table, source_column) IN (SELECT (child, column_name) FROM k) THEN 'fk_like_literal_without_identifier_target' "
+_UNSAFE += "WHEN kind = 'object' AND target_table NOT IN (SELECT table_name FROM c) THEN 'unknown_object_target_table' WHEN kind = 'object' AND (target_table, target_columns) NOT IN (SELECT (table_name, column_name) FROM c) THEN 'unknown_object_target_column' END"
+
+
+@register(REGISTRY, "val_safe_rules", duck(f"SELECT rule_id, reason FROM (SELECT rule_id, {_UNSAFE} AS reason FROM r) WHERE reason IS NOT NULL"))
+def _(spark, d):
+    r = rules(spark, d).withColumn("id_columns", F.when((F.col("kind") == "class") & (F.col("x") % 7 == 0), F.array(F.lit("lost"))).otherwise(F.array().cast("array<string>")))
+    return coverage.safe_rules(r, fk_columns(spark, d))
+
+
+@register(REGISTRY, "val_ordered_distinct", duck("SELECT kind, target, min(number) AS number FROM r GROUP BY ALL"))
+def _(spark, d):
+    return coverage.ordered_distinct(rules(spark, d), ["kind", "target"], "number")
+
+
+@register(REGISTRY, "rep_run_counts", duck("SELECT a.s AS scenario, no_match_rate, greatest(0, accepted - coalesce(n, 0)) AS invalid_rule_count FROM (SELECT length(source_id) AS s, round(avg(CASE WHEN target IS NULL THEN 1.0 ELSE 0 END), 6) AS no_match_rate, count(target) AS accepted FROM m GROUP BY 1) a LEFT JOIN (SELECT length(rule_id) AS s, count(*) AS n FROM r GROUP BY 1) b ON a.s = b.s"))
+def _(spark, d):
+    m = matches(spark, d).withColumn("scenario", F.length("source_id"))
+    return coverage.run_counts(m, rules(spark, d).withColumn("scenario", F.length("rule_id")), "scenario").withColumn("no_match_rate", F.round("no_match_rate", 6))
+
+
+#: Cells of small tables: values of their columns.
+_CELLS = "SELECT 't' || CAST(l_orderkey - l_orderkey % 40 AS STRING) AS table_name, CASE l_linenumber % 4 WHEN 0 THEN 'is_new' WHEN 1 THEN 'type' WHEN 2 THEN 'flag' ELSE 'name' END AS column_name, CASE l_linenumber % 4 WHEN 1 THEN CAST(l_partkey % (1 + l_orderkey / 40 % 12) AS STRING) WHEN 3 THEN 'x' ELSE CASE WHEN l_orderkey % 80 < 40 AND l_partkey % 2 = 0 THEN ' Yes' ELSE '0' END END AS value FROM lineitem"
+_KINDED = "SELECT DISTINCT 't' || CAST(l_orderkey - l_orderkey % 40 AS STRING) AS table_name, CASE l_linenumber % 4 WHEN 0 THEN 'is_new' WHEN 1 THEN 'type' WHEN 2 THEN 'flag' ELSE 'name' END AS column_name, CASE WHEN l_linenumber % 4 = 2 THEN 'boolean' ELSE 'text' END AS datatype FROM lineitem UNION ALL SELECT 'empty', 'is_there', 'text' FROM region WHERE r_regionkey = 0"
+
+
+@register(
+    REGISTRY,
+    "prof_discriminator_rows",
+    f"WITH x AS ({_CELLS.replace('l_orderkey / 40 % 12', 'l_orderkey // 40 % 12')}), g AS (SELECT table_name, column_name, count(DISTINCT value) AS n, max(CASE WHEN lower(trim(value)) IN ('1', 't', 'true', 'yes', 'y') THEN 1 ELSE 0 END) AS yes FROM x GROUP BY ALL) SELECT 'source-discriminator:' || table_name || '.' || column_name AS source_id, table_name, column_name, TRUE AS truthy, NULL AS equals FROM g WHERE column_name IN ('is_new', 'flag') AND yes = 1 "
+    "UNION ALL SELECT 'source-discriminator:empty.is_there', 'empty', 'is_there', TRUE, NULL UNION ALL SELECT DISTINCT 'source-discriminator:' || x.table_name || '.type:' || value, x.table_name, 'type', FALSE, value FROM x JOIN g ON g.table_name = x.table_name AND g.column_name = 'type' AND g.n BETWEEN 2 AND 8 WHERE x.column_name = 'type'",
+)
+def _(spark, d):
+    cells = ask(spark, d, _CELLS.replace("l_orderkey / 40 % 12", "l_orderkey DIV 40 % 12"))
+    return lake.discriminators(ask(spark, d, _KINDED), cells)
+
+
+_RATES = f"SELECT table_name, column_name, CASE WHEN x % 3 = 0 THEN 0.0 ELSE 0.5 END AS null_rate, CASE WHEN y % 2 = 0 THEN 1.0 ELSE 0.5 END AS distinct_ratio, x % 4 / 4.0 AS identifier_likeness FROM ({COLUMNS}) c"
+
+
+@register(
+    REGISTRY,
+    "prof_uri_templates",
+    f"WITH c AS (SELECT table_name, position, column_name, is_pk AND t % 2 = 0 AS is_pk, x, y, t FROM ({COLUMNS}) c), k AS ({KEYS}), rt AS ({_RATES}), lists AS ({_LISTS}), pks AS ({_PK}), parents AS ({_PARENT}), "
+    "o AS (SELECT table_name, list(column_name ORDER BY position) FILTER (is_pk) AS pk, min_by(column_name, position) AS first FROM c GROUP BY 1), u AS (SELECT table_name, column_name FROM (SELECT c.table_name, c.column_name, row_number() OVER (PARTITION BY c.table_name ORDER BY identifier_likeness DESC, position) AS r FROM c JOIN rt USING (table_name, column_name) WHERE null_rate = 0 AND distinct_ratio >= 0.98) WHERE r = 1) "
+    "SELECT table_name, array_to_string(ids, ',') AS id_columns, reason, 'urn:base:s/' || table_name || '/' || array_to_string(list_transform(ids, lambda z: '{' || z || '}'), '_') AS uri_template FROM (SELECT o.table_name, CASE WHEN pk IS NOT NULL THEN pk WHEN u.column_name IS NOT NULL THEN [u.column_name] ELSE [first] END AS ids, "
+    "CASE WHEN o.table_name IN (SELECT child FROM parents) THEN 'subclass_pkfk_parent_identity' WHEN pk IS NOT NULL THEN 'primary_key' WHEN u.column_name IS NOT NULL THEN 'unique_non_null_profile' ELSE 'fallback_table_key' END AS reason FROM o LEFT JOIN u USING (table_name))",
+)
+def _(spark, d):
+    c = columns(spark, d).withColumn("is_pk", F.col("is_pk") & (F.col("t") % 2 == 0))
+    return lake.uri_templates(c, keys(spark, d), ask(spark, d, _RATES), "s", "urn:base:")
+
+
 # --- requests ----------------------------------------------------------------------------------------------------------
 
 @register(REGISTRY, "val_chunks_by_table", duck("SELECT source_id, chunk FROM (SELECT m.source_id, (row_number() OVER (PARTITION BY m.table_name ORDER BY m.source_id) - 1) // 3 AS chunk FROM m WHERE m.table_name IS NOT NULL)"))
