@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lineage import shared_folder
+from ..lineage import shared_folder, spread
 
 #: Rows of a salted bucket: what one window partition sorts at most, about.
 BUCKET_ROWS = 20_000
@@ -204,7 +204,7 @@ def map_text(docs: DataFrame, text_col: str, keep: list[str], extra: str, make)
                 yield pa.RecordBatch.from_arrays([*arrays, *make(part.column(at))], [*keep, *names])
 
     small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, out)
+    return spread(docs.select(*[F.col(f"`{c}`") for c in sent])).mapInArrow(run, out)
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import spread
 from .common import gather, small_batches, text_slices
 from .tokens import Lookup
 
@@ -418,5 +419,5 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, digest
                     yield pa.RecordBatch.from_arrays([key, lists, pa.array([t.decode() for t in texts])], ["doc_id", "ids", "decoded"])
 
     small_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import spread
 from .common import Scratch, gather, mix, run_hashes, small_batches, text_slices
 from .graph import components
 
@@ -145,6 +146,8 @@ class Frequent:
 def entries(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, shingle, whether the smaller of a pair may enter by it) for the leading groups by which a set may meet a similar one.
 
+    Groups are ordered by their hash, but those in ``frequent`` (sorted) stand last.
+
     Of two similar sets the larger has one of the shared shingles among its first |x| - ceil(t |x|) + 1, the smaller
     (or equal) among its first |y| - ceil(2t/(1+t) |y|) + 1.
     """
@@ -157,7 +160,7 @@ def entries(value: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, simila
     alone = (down - up) * (size + size * down // up) // (down + up) < 1
     probe = np.where(alone, 0, probe)
     doc = np.repeat(np.arange(len(size)), size)
-    last = np.isin(value, frequent)
+    last = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value if len(frequent) else np.zeros(len(value), bool)
     plain = np.cumsum(~last)
     before = np.concatenate([[0], plain])[offsets[:-1]]
     plain_of = np.concatenate([[0], plain])[offsets[1:]] - before
@@ -374,7 +377,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     """
     scratch = Scratch(docs.sparkSession, "shingles")
     small_batches(docs.sparkSession)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    named = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, frequent = ["doc_id", "n", "sid", "point", "rows"], Frequent(TASK_FREQUENT)
