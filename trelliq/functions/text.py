@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a truthy row filter takes (trimmed, lower-cased), abbreviations, and nouns for persons.
@@ -11,6 +11,15 @@ SPELT_OUT = {"conf": ("conference",), "pc": ("program", "committee")}
 PERSONS = {"chairman": "chair", "people": "person"}
 
 
+def each(df: DataFrame, array: str, name: str) -> DataFrame:
+    """A row for each element of an array, none for an empty one.
+
+    An outer explode and a test behind it: of a plain one Spark makes a filter on the array's size before it, for which a
+    costly array is made twice.
+    """
+    return df.withColumn(name, F.explode_outer(array)).drop(array).filter(F.col(name).isNotNull())
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words: ``_`` and ``-`` are spaces, camel case is split, everything but letters, digits and ``_`` separates."""
     spaced = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[_\-]+", " "), r"([a-z0-9])([A-Z])", "$1 $2")

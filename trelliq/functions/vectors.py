@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import spread
+from .text import each
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,7 +36,8 @@ def vector_issue(v: Column, size: int) -> Column:
 
 def hash_embedding(rows: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
     """(key, idx, w): non-zero coordinates of the signed hashing of white-space tokens, each text's of length one."""
-    toks = spread(rows).select(key, F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")).alias("t"))
+    words = spread(rows).select(key, F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "").alias("_t"))
+    toks = each(words, "_t", "t")
     h = toks.select(key, F.sha2("t", 256).alias("h"))
     at = h.select(key, (F.conv(F.substr("h", F.lit(1), F.lit(8)), 16, 10).cast("long") % size).cast("int").alias("idx"), F.when(F.conv(F.substr("h", F.lit(9), F.lit(2)), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"))
     sums = at.groupBy(key, "idx").agg(F.sum("sign").cast("double").alias("s")).filter("s <> 0")

@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: A table is dealt out only between these sizes in bytes, the upper one for each core of the cluster.
-SPREAD_FROM, SPREAD_TO = 1 << 20, 1 << 20
+SPREAD_FROM, SPREAD_TO = 1 << 20, 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

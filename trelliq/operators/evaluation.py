@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import each
 from ..lineage import spread
 
 K_VALUES = (1, 3, 5, 8, 10, 16, 20)
@@ -107,7 +108,7 @@ def holders(docs: DataFrame, passages: DataFrame, doc: str, item: str, column: s
         raise ValueError(f"{few} passages of fewer than {GRAM + 2} words")
     words = spread(docs).select(doc, F.col(column).alias("_text"), F.split(column, " ").alias("_w"))
     spots = F.when(F.size("_w") >= GRAM, F.transform(F.sequence(F.lit(1), F.size("_w") - GRAM + 1), lambda i: F.xxhash64(F.slice("_w", i, GRAM))))
-    runs = words.select(doc, F.explode(F.array_distinct(spots)).alias("_k"))
+    runs = each(words.select(doc, F.array_distinct(spots).alias("_s")), "_s", "_k")
     met = runs.join(F.broadcast(long) if count <= PASSAGES else long, "_k").select(doc, item, "_passage")
     found = met.join(docs.select(doc, F.col(column).alias("_text")).distinct(), doc).filter(F.contains("_text", F.col("_passage"))).select(item, doc).distinct()
     if not few:

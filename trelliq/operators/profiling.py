@@ -106,7 +106,7 @@ def row_summary(meta: TableMeta, df: DataFrame, columns: list[str]) -> DataFrame
 
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, v): each cell's column by its number and its text, null if empty."""
-    return df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return df.select(F.explode_outer(F.array(*[F.struct(F.lit(i).alias("i"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("v")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
 
 
 def value_samples(df: DataFrame, key: list[str], column: str, most: int = 5) -> DataFrame:

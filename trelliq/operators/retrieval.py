@@ -53,16 +53,18 @@ def bm25(sources: DataFrame, targets: DataFrame, source: str, target: str, colum
     Only terms that some source has leave the targets: few of them are broadcast to where texts are split, more are
     joined. Terms are counted per target before anything moves; document frequencies come from the counts.
     """
-    q = sources.select(source, F.explode(text.tokens(F.col(column))).alias("term")).groupBy(source, "term").agg(F.count("*").alias("qtf"))
-    asked = q.select("term").distinct()
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    q = text.each(sources.select(source, text.tokens(F.col(column)).alias("_t")), "_t", "term").groupBy(source, "term").agg(F.count("*").alias("qtf"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     split = spread(targets).select(target, text.tokens(F.col(column)).alias("_t"))
-    t = split.select(target, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy(target, "dl", "term").agg(F.count("*").alias("tf"))
+    t = text.each(split.withColumn("dl", F.size("_t")), "_t", "term").join(few(q.select("term").distinct()), "term", "left_semi")
+    # a target's counts lie together, so that its scores are summed up where they are
+    t = t.groupBy(target, "dl", "term").agg(F.count("*").alias("tf")).repartition(target)
     df = t.groupBy("term").agg(F.count("*").alias("df"))
     n, total = split.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("total")).first()  # two numbers
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.lit(float(total or 0)) / F.lit(float(max(n, 1))))))
     weighted = q.join(df, "term").select(source, "term", (F.col("qtf") * weight).alias("w"))
+    weighted = F.broadcast(weighted) if q.count() <= BROADCAST_ROWS else weighted  # a row a source's term
     return t.select(target, "term", saturated.alias("s")).join(weighted, "term").groupBy(source, target).agg(F.sum(F.col("w") * F.col("s")).alias("score"))
 
 

@@ -158,7 +158,7 @@ class RulePlanner:
             made.append(F.when(good, F.struct(s.alias("s"), F.lit(self._predicate(r)).alias("p"), o.alias("o"), literal.alias("is_literal"))))
         if len(made) == 1:
             return self.frames[table].select(made[0].alias("t")).filter("t is not null").select("t.*")
-        return spread(self.frames[table]).select(F.explode(F.filter(F.array(*made), lambda t: t.isNotNull())).alias("t")).select("t.*")
+        return text.each(spread(self.frames[table]).select(F.array(*made).alias("_all")), "_all", "t").select("t.*")
 
     def _probed(self, rule: Rule) -> DataFrame:
         row = self._row(rule.source_table)

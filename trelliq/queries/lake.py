@@ -191,9 +191,9 @@ def _(spark, d):
 _FILTERS = f"SELECT 'source-discriminator:' || table_name || '.' || column_name AS source_id, 'http://lake/Big_T' || CAST(t % 50 AS STRING) AS target, 'c2' AS filter_column FROM ({COLUMNS}) c WHERE column_name LIKE 'is%'"
 
 
-@register(REGISTRY, "val_missing_discriminators", duck("SELECT source_id, 'missing_discriminator_class_rule' AS issue FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE kind = 'class' AND r.target = f.target AND r.filter_column = f.filter_column AND t % 3 = 0)", f=_FILTERS))
+@register(REGISTRY, "val_missing_discriminators", duck("SELECT source_id, 'missing_discriminator_class_rule' AS issue FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE kind = 'class' AND r.target = f.target AND r.filter_column = f.filter_column AND t % 300 = 0)", f=_FILTERS))
 def _(spark, d):
-    return ops.missing_discriminators(ask(spark, d, _FILTERS), rules(spark, d).filter("t % 3 = 0"))
+    return ops.missing_discriminators(ask(spark, d, _FILTERS), rules(spark, d).filter("t % 300 = 0"))
 
 
 _TARGETS = "SELECT 'data' AS kind, 't-' || CAST(p_partkey % 40 AS STRING) AS id, 'http://lake/p' || CAST(p_partkey % 40 AS STRING) AS uri FROM part WHERE p_partkey % 40 < 30 UNION ALL SELECT 'data', 't-1', 'http://lake/other' FROM part WHERE p_partkey = 0 UNION ALL SELECT 'class', 't-c', 'http://lake/Big_T' || CAST(p_partkey % 50 AS STRING) FROM part"
