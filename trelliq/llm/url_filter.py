@@ -65,7 +65,7 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     padded = F.concat(F.lit("\u0002" * (order - 1)), F.col("_u"), F.lit("\u0003"))
     n = F.length("_u") + 1
     spots = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(padded, i, F.lit(order)))
-    return urls.withColumn("gram", F.explode(spots))
+    return urls.withColumn("gram", F.explode_outer(spots))  # a URL has one spot at least
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER) -> DataFrame:
