@@ -8,6 +8,7 @@ number of vectors; the leaves' vectors are reranked by the exact inner product i
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,13 @@ from .vectors import digests, matrix, usable
 #: Vectors that the trees are fitted on at most, about: a bounded sample by a hash of the vector.
 FIT_ROWS = 20_000
 TREES = 8
-#: Leaves of a tree at most: their number is bounded, so they grow with the data and are split into blocks.
-LEAVES = 32
-#: A query stops when the leaves it took hold so many vectors as a share of all (a vector counts once a tree: its share of distinct ones is about 0.7). Evenly
-#: spread vectors of 64 dimensions are the worst case, for which this share gives a recall above 0.9.
-SHARE = 1.2
+#: Leaves of a tree, at least and at most, and vectors for each: their number is bounded, so they grow with the data and
+#: are split into blocks.
+LEAVES, MOST_LEAVES, LEAF_ROWS = 32, 256, 1024
+#: A query stops when the leaves it took hold so many vectors as a share of all, up to SHARE_ROWS of them (a vector counts
+#: once a tree: its share of distinct ones is about 0.7). Evenly spread vectors of 64 dimensions are the worst case, for
+#: which this gives a recall above 0.9; of more vectors the nearest lie closer, and the share falls with each tenfold.
+SHARE, SHARE_ROWS, SHARE_FALLS, LEAST_SHARE = 1.2, 2000, 0.17, 0.1
 BLOCK = 2048
 #: Queries that meet a block in one task at most, about.
 ASKERS = 8192
@@ -119,7 +122,17 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(1, keepdims=True)))], axis=1)
 
 
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, leaves: int = LEAVES, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def leaves_for(n: int) -> int:
+    """Leaves of a tree over ``n`` vectors."""
+    return min(MOST_LEAVES, max(LEAVES, n // LEAF_ROWS))
+
+
+def share_for(n: int) -> float:
+    """The share of ``n`` vectors that a query's leaves hold."""
+    return max(LEAST_SHARE, SHARE - SHARE_FALLS * math.log10(max(n, SHARE_ROWS) / SHARE_ROWS))
+
+
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, leaves: int | None = None, share: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id is divisible by ``every`` the k others with the largest inner product found.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part. Ties go to the smaller id.
@@ -137,7 +150,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, trees: int = TREES, l
     return out
 
 
-def _nearest_of(base: DataFrame, width: int, k: int, every: int, trees: int, leaves: int, share: float) -> DataFrame:
+def _nearest_of(base: DataFrame, width: int, k: int, every: int, trees: int, leaves: int | None, share: float | None) -> DataFrame:
     """The search over usable vectors of one length."""
     spark = base.sparkSession
     scratch = Scratch(spark, "near")
@@ -145,6 +158,7 @@ def _nearest_of(base: DataFrame, width: int, k: int, every: int, trees: int, lea
     unique = base.groupBy("_h1", "_h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("c"), F.max(F.when(F.col("vec_id") % every == 0, 1).otherwise(0)).alias("asks"))
     unique = scratch.keep(unique, "unique")
     n = unique.count()
+    leaves, share = leaves or leaves_for(n), share or share_for(n)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     longest = float(unique.agg(F.max(norm)).first()[0] or 1.0)
     held = hash_sample(unique.select("_h1", "v"), "_h1", n, FIT_ROWS).select("v").toPandas()["v"].to_numpy()  # FIT_ROWS rows at most, about
