@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -93,6 +94,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def tidy(work):
+    """``work`` on a task's batches, after which the worker gives what it freed back to the system: it lives on for other operators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to give back by hand
+            pass
+
+    return run
+
+
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of slices of about `most` bytes; a longer text is a slice alone. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -113,7 +128,7 @@ def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
 
 
 #: Bytes of text that a task works on at once: what it needs per byte stays below this many bytes a few hundred times.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -204,7 +219,7 @@ def map_text(docs: DataFrame, text_col: str, keep: list[str], extra: str, make)
                 yield pa.RecordBatch.from_arrays([*arrays, *make(part.column(at))], [*keep, *names])
 
     small_batches(docs.sparkSession)
-    return spread(docs.select(*[F.col(f"`{c}`") for c in sent])).mapInArrow(run, out)
+    return spread(docs.select(*[F.col(f"`{c}`") for c in sent])).mapInArrow(tidy(run), out)
 
 
 def fold(id_col: str, folds: int) -> Column:

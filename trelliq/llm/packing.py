@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import spread
-from .common import Scratch, buckets_for, gather, ranked, small_batches, text_slices
+from .common import Scratch, buckets_for, gather, ranked, small_batches, text_slices, tidy
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,7 +59,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
                 yield pa.RecordBatch.from_arrays([key, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     small_batches(docs.sparkSession)
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(pieces, PIECES)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(tidy(pieces), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -287,7 +287,7 @@ def packed_matrices(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         yield from flush()
 
     small_batches(docs.sparkSession)
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(pack, PACKED)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(tidy(pack), PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

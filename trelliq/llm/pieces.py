@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import spread
-from .common import gather, small_batches, text_slices
+from .common import gather, small_batches, text_slices, tidy
 from .tokens import Lookup
 
 #: U+2581, which stands for a space in pieces.
 MARK = "▁"
 #: Kinds of pieces in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMORY = 400_000
+MEMORY = 300_000
 #: Words of more symbols than this are merged rank by rank, all occurrences of a rank at once.
 LONG_WORD = 256
 
@@ -420,4 +420,4 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, digest
 
     small_batches(docs.sparkSession)
     kept = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string")
+    return kept.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string")

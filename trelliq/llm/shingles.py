@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import spread
-from .common import Scratch, gather, mix, run_hashes, small_batches, text_slices
+from .common import Scratch, gather, mix, run_hashes, small_batches, text_slices, tidy
 from .graph import components
 
 log = logging.getLogger(__name__)
@@ -289,7 +289,7 @@ class Roots:
 
 
 #: Pairs of a leaf whose points are compared at once, times groups.
-LEAF_WORK = 1 << 22
+LEAF_WORK = 1 << 19
 
 
 def leaf_pairs(cuts: np.ndarray, flat: np.ndarray, start: np.ndarray, groups: np.ndarray, sizes: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +392,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
         if m:
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(found[keep].view(np.int64)), pa.nulls(m, pa.binary()), pa.array(rows[keep])], names)
 
-    both = scratch.keep(named.mapInArrow(read, "doc_id long, n long, sid long, point binary, rows long"), "sets")
+    both = scratch.keep(named.mapInArrow(tidy(read), "doc_id long, n long, sid long, point binary, rows long"), "sets")
     known = both.filter("rows IS NULL").select("doc_id", "n", "sid", "point")
     often = both.filter("rows IS NOT NULL").groupBy("sid").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= FREQUENT_ROWS)
     often = often.orderBy(F.desc("rows"), "sid").limit(FREQUENT).toPandas()  # FREQUENT rows at most
@@ -413,7 +413,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
                     if s not in seen:
                         fresh[i] = True
                         seen.add(s)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 take = fresh[doc]
                 doc, key, smaller = doc[take], key[take].view(np.int64), smaller[take]
@@ -454,9 +454,9 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
         if sum(map(len, held)):
             yield run(True)
 
-    listed = named.select("_text").mapInArrow(enter, "g long, salt int, sid long, m long")
+    listed = named.select("_text").mapInArrow(tidy(enter), "g long, salt int, sid long, m long")
     listed = listed.repartition("g", "salt").sortWithinPartitions("g", "m", "sid")
-    shared = scratch.keep(listed.mapInArrow(partnered, "g long, sid long, n long"), "entries")
+    shared = scratch.keep(listed.mapInArrow(tidy(partnered), "g long, sid long, n long"), "entries")
 
     # blocks: what the bound on points joins. First by two entries of each set, so that groups of near copies are one
     # block before their many other entries are looked at
@@ -485,7 +485,7 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
 
     keyed = named.withColumn("_key", F.coalesce("doc_id", F.lit(-1 << 63)))
     texts = keyed.join(_small(taking.select("_key").distinct()), "_key", "left_semi").select("_text")
-    sets = texts.mapInArrow(held_sets, "sid long, n long, point binary, shingles binary")
+    sets = texts.mapInArrow(tidy(held_sets), "sid long, n long, point binary, shingles binary")
     if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows: one of each set
         sets = sets.dropDuplicates(["sid"])
     near = scratch.keep(_trees(blocked.withColumn("label", F.col("sid")), sets, similarity, False, scratch), "links")
@@ -616,7 +616,7 @@ def _trees(groups: DataFrame, member: DataFrame, similarity: Fraction, across: b
             yield from run(True)
 
     order = ["g", "i", "j", "sid"]
-    return dealt.select(*names).repartition("g", "i", "j").sortWithinPartitions(*order).mapInArrow(search, "a long, b long")
+    return dealt.select(*names).repartition("g", "i", "j").sortWithinPartitions(*order).mapInArrow(tidy(search), "a long, b long")
 
 
 def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

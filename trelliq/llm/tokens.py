@@ -9,9 +9,9 @@ import numpy as np
 from .common import gather, run_hashes
 
 #: Distinct chunks that a worker remembers from batch to batch; beyond it the memory starts anew (results don't change).
-MEMORY = 600_000
+MEMORY = 300_000
 #: Bytes of chunks that a worker remembers.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 16 << 20
 
 
 def _classes() -> np.ndarray:
