@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
 from ..functions import text
-from ..plans.rules import Rule, numbered
 
 
 # Fixed values throughout: the names of issues.
@@ -32,36 +30,6 @@ def target_provenance(rules: DataFrame, matches: DataFrame) -> DataFrame:
     return bad_target.unionByName(none).unionByName(lost)
 
 
-def schema_issues(rules: list[Rule], catalog: Catalog) -> list[tuple[str, str]]:
-    """(rule id, issue) of what the catalog contradicts; rules are few, so this runs on the driver."""
-    out = []
-    for rule_id, r in numbered(rules):
-        meta = catalog.tables.get(r.source_table)
-        if meta is None:
-            out.append((rule_id, "unknown_source_table"))
-            continue
-        if r.kind == "class" and r.row_filter and r.row_filter.column not in meta.names:
-            out.append((rule_id, "invalid_row_filter"))
-        if r.kind == "data":
-            if r.source_column not in meta.names:
-                out.append((rule_id, "unknown_source_column"))
-            if r.source_column in meta.fk_columns and not r.subject_table:
-                out.append((rule_id, "fk_column_used_as_direct_data_rule"))
-        if r.kind == "object":
-            if r.subject_table or r.object_table:
-                for name, t, columns in (("subject", r.subject_table, r.subject_columns), ("object", r.object_table, r.object_columns)):
-                    if t and t not in catalog.tables:
-                        out.append((rule_id, f"unknown_{name}_table"))
-                    out += [(rule_id, f"unknown_{name}_columns") for c in columns if c not in meta.names]
-            elif r.target_table not in catalog.tables:
-                out.append((rule_id, "unknown_target_table"))
-            else:
-                ref = r.target_columns or catalog.tables[r.target_table].key
-                if not any(fk.columns == r.source_columns and fk.ref_table == r.target_table and fk.ref_columns == ref for fk in meta.foreign_keys):
-                    out.append((rule_id, "object_rule_not_supported_by_fk"))
-    return out
-
-
 def rule_issues(rules: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFrame:
     """(rule_id, issue) of what the schema contradicts, for any number of rules and tables: joins on tables and columns.
 

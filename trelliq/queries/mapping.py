@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Column, ForeignKey, TableMeta, star_catalog
 from ..functions import text
 from ..plans import compiler, materialize, program
-from ..plans.materialize import BASE, TYPE, RulePlanner
-from .corpus import ask
+from ..plans.materialize import TYPE, RulePlanner
 from .base import NS, STAR_RULES, STAR_SQL, cls, data, fact, filtered, iri, link, planner, read, register, table
+from .corpus import ask
 
 REGISTRY: dict = {}
 C, N, O = iri("customer", "c_custkey"), iri("nation", "n_nationkey"), iri("orders", "o_orderkey")  # noqa: E741

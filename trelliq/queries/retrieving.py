@@ -100,6 +100,13 @@ def _(spark, d):
     return ops.ranked(_cosines(spark, d, "error", 16), "source", "target", F.round("score", 6), 16).select("source", "target", F.col("rank").cast("long"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
+@register(REGISTRY, "ret_squared_l2", "SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next"))
+    return e.join(after, "vec_id").select("vec_id", F.round(vectors.squared_l2(F.col("embedding"), F.col("_next")), 6).alias("distance"))
+
+
 @register(REGISTRY, "ret_dense", f"SELECT source, target, s AS score, rank FROM (SELECT source, target, round(score, 6) AS s, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, target) AS rank FROM {_COS}) WHERE rank <= 20")
 def _(spark, d):
     return ops.ranked(_cosines(spark, d, "zero", 20), "source", "target", F.round("score", 6), 20).select("source", "target", "score", F.col("rank").cast("long"))
