@@ -233,3 +233,14 @@ def test_packed_matrices_keep_null_ids_and_clashing_columns(spark):
     got = packing.packed_matrices(df, BPE, capacity=16).collect()
     assert sorted(repr(d) for r in got for d in r.doc_ids) == sorted(repr(r[0]) for r in rows)
     assert {r.id_bytes for r in got} == {2} and {len(r.ids) for r in got} == {32}
+
+
+def test_encoded_texts_decode_to_themselves(spark):
+    import sentencepiece
+
+    ref = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(1, "The house, the garden."), (2, ""), (3, None), (4, "é 漢字 " + "x" * 500)]
+    got = {r.doc_id: r for r in pieces.encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    for i, t in rows:
+        ids = [ref.bos_id(), *ref.encode(t or ""), ref.eos_id()]
+        assert list(got[i].ids) == ids and got[i].decoded == ref.decode(ids)

@@ -44,11 +44,6 @@ FREQUENT, TASK_FREQUENT, FREQUENT_ROWS = 200_000, 1 << 15, 32
 HOT_ROWS = 100_000
 
 
-def differing(size_a: int, size_b: int, similarity: Fraction) -> int:
-    """Shingles in which two sets of these sizes differ at most, if they are similar: |A xor B| <= (1-t)/(1+t) (|A|+|B|)."""
-    return int((1 - similarity) * (size_a + size_b) // (1 + similarity))
-
-
 def point_groups(size: np.ndarray) -> np.ndarray:
     """Groups of a point, a power of two that grows with the set, so that a group holds two to four shingles.
 
