@@ -66,7 +66,7 @@ class Reviewed:
 
 
 class Voted:
-    """Several providers' decisions, of which the one with most votes holds (evaluation.majority_votes has the order of ties)."""
+    """Several providers' decisions, of which the one with most votes holds: ties by mean confidence, rank, a match before none, name."""
 
     def __init__(self, *providers: DecisionProvider):
         self.providers = providers
