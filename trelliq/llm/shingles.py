@@ -390,10 +390,12 @@ def jaccard_groups(docs: DataFrame, words: int = 3, similarity: Fraction = Fract
     both = scratch.keep(named.mapInArrow(tidy(read), "doc_id long, n long, sid long, point binary, rows long"), "sets")
     known = both.filter("rows IS NULL").select("doc_id", "n", "sid", "point")
     often = both.filter("rows IS NOT NULL").groupBy("sid").agg(F.sum("rows").alias("rows")).filter(F.col("rows") >= FREQUENT_ROWS)
-    often = often.orderBy(F.desc("rows"), "sid").limit(FREQUENT).toPandas()  # FREQUENT rows at most
-    last = np.sort(often["sid"].to_numpy(np.int64, copy=True).view(np.uint64))
-    hot = often[often["rows"] > HOT_ROWS].sort_values("sid")
-    hot_key, hot_parts = hot["sid"].to_numpy(np.int64), (hot["rows"].to_numpy() // HOT_ROWS + 1).astype(np.int64)
+    often = often.orderBy(F.desc("rows"), "sid").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    key, rows = often.column("sid").to_numpy(), often.column("rows").to_numpy()
+    last = np.sort(key.view(np.uint64))
+    hot = np.flatnonzero(rows > HOT_ROWS)
+    hot = hot[np.argsort(key[hot])]
+    hot_key, hot_parts = key[hot], (rows[hot] // HOT_ROWS + 1).astype(np.int64)
 
     # rows (entry, set, size): what enters the tree where
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
